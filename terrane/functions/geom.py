@@ -214,7 +214,9 @@ def intersects_polygon_sql(g: str, poly: str) -> str:
                      f"{covers_point_sql(poly, 'gv.x', 'gv.y', 'p')})")
     poly_vertex_in = (f"exists(flatten(flatten({poly}.parts)), pv -> "
                       f"{covers_point_sql(g, 'pv.x', 'pv.y', 'g')})")
-    exact = (f"CASE {g}.kind WHEN 'point' THEN {any_vertex_in} "
+    one_point = covers_point_sql(poly, f"{g}.xmin", f"{g}.ymin", "q")
+    exact = (f"CASE {g}.kind WHEN 'point' THEN (CASE WHEN size({g}.parts) = 1 THEN {one_point} "
+             f"ELSE {any_vertex_in} END) "
              f"WHEN 'line' THEN ({any_vertex_in} OR {edges_cross_sql(g, poly)}) "
              f"ELSE ({any_vertex_in} OR {poly_vertex_in} OR {edges_cross_sql(g, poly)}) END")
     return f"({envelopes_overlap_sql(g, poly)} AND {exact})"
@@ -235,7 +237,7 @@ def _seg_dist_sql(ax, ay, bx, by, px, py, kx="1", ky="1") -> str:
     dx, dy = f"(({bx}) - ({ax})) * {kx}", f"(({by}) - ({ay})) * {ky}"
     wx, wy = f"(({px}) - ({ax})) * {kx}", f"(({py}) - ({ay})) * {ky}"
     l2 = f"({dx} * {dx} + {dy} * {dy})"
-    t = f"(CASE WHEN {l2} = 0 THEN 0D ELSE greatest(0D, least(1D, ({wx} * {dx} + {wy} * {dy}) / {l2})) END)"
+    t = f"(CASE WHEN {l2} = 0 THEN CAST(0 AS DOUBLE) ELSE greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), ({wx} * {dx} + {wy} * {dy}) / {l2})) END)"
     ex, ey = f"({wx} - {t} * {dx})", f"({wy} - {t} * {dy})"
     return f"sqrt({ex} * {ex} + {ey} * {ey})"
 
@@ -250,7 +252,7 @@ def _min_edge_dist_sql(g: str, px: str, py: str, kx="1", ky="1") -> str:
 def distance_deg_sql(g: str, px: str, py: str) -> str:
     """Planar distance in degrees from (px,py) to g; 0 inside a polygon."""
     inside = covers_point_sql(g, px, py, "d")
-    return (f"(CASE WHEN {g}.kind = 'poly' AND {inside} THEN 0D "
+    return (f"(CASE WHEN {g}.kind = 'poly' AND {inside} THEN CAST(0 AS DOUBLE) "
             f"ELSE {_min_edge_dist_sql(g, px, py)} END)")
 
 
@@ -270,7 +272,7 @@ def distance_m_sql(g: str, px: str, py: str) -> str:
     pts = f"array_min(transform(flatten(flatten({g}.parts)), hv -> {haversine_sql(px, py, 'hv.x', 'hv.y')}))"
     inside = covers_point_sql(g, px, py, "m")
     return (f"(CASE WHEN {g}.kind = 'point' THEN {pts} "
-            f"WHEN {g}.kind = 'poly' AND {inside} THEN 0D "
+            f"WHEN {g}.kind = 'poly' AND {inside} THEN CAST(0 AS DOUBLE) "
             f"ELSE {_min_edge_dist_sql(g, px, py, kx, ky)} END)")
 
 
@@ -282,23 +284,23 @@ def _ring_area2_sql(r: str, i: str = "ai") -> str:
     x0, y0 = f"{r}[0].x", f"{r}[0].y"
     term = (f"(({r}[{i}].x - {x0}) * ({r}[{i}+1].y - {y0}) - "
             f"({r}[{i}+1].x - {x0}) * ({r}[{i}].y - {y0}))")
-    return f"aggregate({edge_idx_sql(r)}, 0D, (s, {i}) -> s + {term})"
+    return f"aggregate({edge_idx_sql(r)}, CAST(0 AS DOUBLE), (s, {i}) -> s + {term})"
 
 
 def area_sql(g: str) -> str:
     """Planar polygon area, holes subtracted (0 for points and lines)."""
-    part = (f"aggregate(slice(sequence(0, greatest(size(pp)-1, 0)), 1, size(pp)), 0D, (s2, k) -> s2 + "
+    part = (f"aggregate(slice(sequence(0, greatest(size(pp)-1, 0)), 1, size(pp)), CAST(0 AS DOUBLE), (s2, k) -> s2 + "
             f"CASE WHEN k = 0 THEN abs({_ring_area2_sql('pp[k]')}) "
             f"ELSE -abs({_ring_area2_sql('pp[k]')}) END)")
     return (f"(CASE WHEN {g}.kind = 'poly' THEN "
-            f"aggregate({g}.parts, 0D, (acc, pp) -> acc + {part}) / 2 ELSE 0D END)")
+            f"aggregate({g}.parts, CAST(0 AS DOUBLE), (acc, pp) -> acc + {part}) / 2 ELSE CAST(0 AS DOUBLE) END)")
 
 
 def length_sql(g: str) -> str:
     """Planar length of line paths, or boundary length of polygon rings."""
     seg = "sqrt(power(lr[li+1].x - lr[li].x, 2) + power(lr[li+1].y - lr[li].y, 2))"
-    return (f"(CASE WHEN {g}.kind = 'point' THEN 0D ELSE aggregate(flatten({g}.parts), 0D, "
-            f"(acc, lr) -> acc + aggregate({edge_idx_sql('lr')}, 0D, (s, li) -> s + {seg})) END)")
+    return (f"(CASE WHEN {g}.kind = 'point' THEN CAST(0 AS DOUBLE) ELSE aggregate(flatten({g}.parts), CAST(0 AS DOUBLE), "
+            f"(acc, lr) -> acc + aggregate({edge_idx_sql('lr')}, CAST(0 AS DOUBLE), (s, li) -> s + {seg})) END)")
 
 
 def area(g: str) -> Column:
@@ -385,11 +387,11 @@ def centroid_sql(g: str) -> tuple[str, str]:
         a, b = ("x", "y")
         cross = f"({r}[ci].x * {r}[ci+1].y - {r}[ci+1].x * {r}[ci].y)"
         s = f"({r}[ci].{axis} + {r}[ci+1].{axis})"
-        return f"aggregate({edge_idx_sql(r)}, 0D, (cs, ci) -> cs + {s} * {cross})"
+        return f"aggregate({edge_idx_sql(r)}, CAST(0 AS DOUBLE), (cs, ci) -> cs + {s} * {cross})"
 
     def ring_a2(r):
         cross = f"({r}[ci].x * {r}[ci+1].y - {r}[ci+1].x * {r}[ci].y)"
-        return f"aggregate({edge_idx_sql(r)}, 0D, (cs, ci) -> cs + {cross})"
+        return f"aggregate({edge_idx_sql(r)}, CAST(0 AS DOUBLE), (cs, ci) -> cs + {cross})"
 
     # sign: shells counted positive, holes negative, regardless of winding
     def signed(expr, r, k):
@@ -397,7 +399,7 @@ def centroid_sql(g: str) -> tuple[str, str]:
                 f"(CASE WHEN {ring_a2(r)} < 0 THEN -1 ELSE 1 END) * {expr}")
 
     def poly_sum(expr_fn):
-        return (f"aggregate({g}.parts, 0D, (pa, pp) -> pa + aggregate(slice(sequence(0, greatest(size(pp)-1, 0)), 1, size(pp)), 0D, "
+        return (f"aggregate({g}.parts, CAST(0 AS DOUBLE), (pa, pp) -> pa + aggregate(slice(sequence(0, greatest(size(pp)-1, 0)), 1, size(pp)), CAST(0 AS DOUBLE), "
                 f"(pk, k) -> pk + {signed(expr_fn('pp[k]'), 'pp[k]', 'k')}))")
 
     a2 = poly_sum(ring_a2)
@@ -405,14 +407,14 @@ def centroid_sql(g: str) -> tuple[str, str]:
     my = poly_sum(lambda r: ring_moment(r, "y"))
     seg_len = "sqrt(power(lr[li+1].x - lr[li].x, 2) + power(lr[li+1].y - lr[li].y, 2))"
     def line_sum(expr):
-        return (f"aggregate({rings}, 0D, (la, lr) -> la + aggregate({edge_idx_sql('lr')}, 0D, "
+        return (f"aggregate({rings}, CAST(0 AS DOUBLE), (la, lr) -> la + aggregate({edge_idx_sql('lr')}, CAST(0 AS DOUBLE), "
                 f"(ls, li) -> ls + {expr}))")
     llen = line_sum(seg_len)
     lmx = line_sum(f"{seg_len} * (lr[li].x + lr[li+1].x) / 2")
     lmy = line_sum(f"{seg_len} * (lr[li].y + lr[li+1].y) / 2")
     verts = f"flatten({rings})"
-    px = f"aggregate({verts}, 0D, (s, v) -> s + v.x) / greatest(size({verts}), 1)"
-    py = f"aggregate({verts}, 0D, (s, v) -> s + v.y) / greatest(size({verts}), 1)"
+    px = f"aggregate({verts}, CAST(0 AS DOUBLE), (s, v) -> s + v.x) / greatest(size({verts}), 1)"
+    py = f"aggregate({verts}, CAST(0 AS DOUBLE), (s, v) -> s + v.y) / greatest(size({verts}), 1)"
     cx = (f"(CASE WHEN {g}.kind = 'poly' AND {a2} != 0 THEN {mx} / (3 * {a2}) "
           f"WHEN {g}.kind = 'line' AND {llen} > 0 THEN {lmx} / {llen} ELSE {px} END)")
     cy = (f"(CASE WHEN {g}.kind = 'poly' AND {a2} != 0 THEN {my} / (3 * {a2}) "
