@@ -35,9 +35,11 @@ def bin_tiles(points: DataFrame, zmin: int, zmax: int, lon: str = "lon", lat: st
 
 
 def top_k_per_group(df: DataFrame, group: list[str], order: list[str], k: int,
-                    salt: int = 16, salt_of: str | None = None) -> DataFrame:
-    """Exact top-k rows per group by ``order`` with hot groups split by salt."""
-    s = F.pmod(F.xxhash64(F.col(salt_of or order[0])), F.lit(salt))
+                    salt: int = 16, salt_of: list[str] | None = None) -> DataFrame:
+    """Exact top-k rows per group by ``order`` with hot groups split by salt:
+    the top k of a group is contained in the union of the top k of its salted
+    sub-groups."""
+    s = F.pmod(F.xxhash64(*[F.col(c) for c in (salt_of or order)]), F.lit(salt))
     d = df.withColumn("__salt", s)
     w1 = Window.partitionBy(*group, "__salt").orderBy(*order)
     d = d.withColumn("__r1", F.row_number().over(w1)).where(F.col("__r1") <= k)

@@ -73,6 +73,7 @@ def attribute_rows(layer: DataFrame, geom: str = "geom", key: str = "feature_id"
     return rows.where(F.col("value").isNotNull() & (F.col("value") != "") & (F.col("value") != "NA"))
 
 
-def inspect_at(clicks: DataFrame, layers: list[tuple[str, DataFrame]], radius_m: float = 200.0) -> DataFrame:
+def inspect_at(clicks: DataFrame, layers: list[tuple[str, DataFrame]], radius_m: float = 200.0,
+               poly_layers: set[str] | None = None) -> DataFrame:
     """P10: for every click, the winning (layer, feature) of J4."""
-    return S.nearest_within(clicks, layers, radius_m)
+    return S.nearest_within(clicks, layers, radius_m, poly_layers=poly_layers)

@@ -383,7 +383,7 @@ def nearest_clicks(spark, sf_dir):
     layers = [("points", X.points_layer(spark, sf_dir).select("feature_id", "geom")),
               ("lines", X.lines_layer(spark, sf_dir)),
               ("tracts", X.tracts_layer(spark, sf_dir).select("feature_id", "geom"))]
-    r = IN.inspect_at(_clicks(spark, sf_dir), layers)
+    r = IN.inspect_at(_clicks(spark, sf_dir), layers, poly_layers={"tracts"})
     return r.select("click_id", "layer", "feature_id", F.round("dist_m", 3).alias("dist_m"))
 
 
