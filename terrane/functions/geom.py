@@ -379,46 +379,54 @@ def refresh_envelope(g: Column) -> Column:
 
 def centroid_sql(g: str) -> tuple[str, str]:
     """Planar centroid. Polygons: area-weighted over all rings (holes have
-    negative weight); lines: length-weighted segment midpoints; points: mean."""
+    negative weight); lines: length-weighted segment midpoints; points: mean.
+    Moments are taken about the envelope's lower-left corner, so small shapes
+    far from the origin keep their precision."""
     rings = f"flatten({g}.parts)"
-    # polygon: sum over rings of signed area-moment terms, with the ring's
-    # orientation normalised so shells add and holes subtract.
+    ox, oy = f"{g}.xmin", f"{g}.ymin"
+    X = lambda v: f"({v}.x - {ox})"
+    Y = lambda v: f"({v}.y - {oy})"
+
+    def cross(r):
+        a, b = f"{r}[ci]", f"{r}[ci+1]"
+        return f"({X(a)} * {Y(b)} - {X(b)} * {Y(a)})"
+
     def ring_moment(r, axis):
-        a, b = ("x", "y")
-        cross = f"({r}[ci].x * {r}[ci+1].y - {r}[ci+1].x * {r}[ci].y)"
-        s = f"({r}[ci].{axis} + {r}[ci+1].{axis})"
-        return f"aggregate({edge_idx_sql(r)}, CAST(0 AS DOUBLE), (cs, ci) -> cs + {s} * {cross})"
+        a, b = f"{r}[ci]", f"{r}[ci+1]"
+        s = f"({X(a)} + {X(b)})" if axis == "x" else f"({Y(a)} + {Y(b)})"
+        return f"aggregate({edge_idx_sql(r)}, CAST(0 AS DOUBLE), (cs, ci) -> cs + {s} * {cross(r)})"
 
     def ring_a2(r):
-        cross = f"({r}[ci].x * {r}[ci+1].y - {r}[ci+1].x * {r}[ci].y)"
-        return f"aggregate({edge_idx_sql(r)}, CAST(0 AS DOUBLE), (cs, ci) -> cs + {cross})"
+        return f"aggregate({edge_idx_sql(r)}, CAST(0 AS DOUBLE), (cs, ci) -> cs + {cross(r)})"
 
-    # sign: shells counted positive, holes negative, regardless of winding
+    # shells counted positive, holes negative, regardless of winding
     def signed(expr, r, k):
         return (f"(CASE WHEN {k} = 0 THEN 1 ELSE -1 END) * "
                 f"(CASE WHEN {ring_a2(r)} < 0 THEN -1 ELSE 1 END) * {expr}")
 
     def poly_sum(expr_fn):
-        return (f"aggregate({g}.parts, CAST(0 AS DOUBLE), (pa, pp) -> pa + aggregate(slice(sequence(0, greatest(size(pp)-1, 0)), 1, size(pp)), CAST(0 AS DOUBLE), "
+        return (f"aggregate({g}.parts, CAST(0 AS DOUBLE), (pa, pp) -> pa + "
+                f"aggregate(slice(sequence(0, greatest(size(pp)-1, 0)), 1, size(pp)), CAST(0 AS DOUBLE), "
                 f"(pk, k) -> pk + {signed(expr_fn('pp[k]'), 'pp[k]', 'k')}))")
 
     a2 = poly_sum(ring_a2)
     mx = poly_sum(lambda r: ring_moment(r, "x"))
     my = poly_sum(lambda r: ring_moment(r, "y"))
     seg_len = "sqrt(power(lr[li+1].x - lr[li].x, 2) + power(lr[li+1].y - lr[li].y, 2))"
+
     def line_sum(expr):
-        return (f"aggregate({rings}, CAST(0 AS DOUBLE), (la, lr) -> la + aggregate({edge_idx_sql('lr')}, CAST(0 AS DOUBLE), "
-                f"(ls, li) -> ls + {expr}))")
+        return (f"aggregate({rings}, CAST(0 AS DOUBLE), (la, lr) -> la + aggregate({edge_idx_sql('lr')}, "
+                f"CAST(0 AS DOUBLE), (ls, li) -> ls + {expr}))")
     llen = line_sum(seg_len)
-    lmx = line_sum(f"{seg_len} * (lr[li].x + lr[li+1].x) / 2")
-    lmy = line_sum(f"{seg_len} * (lr[li].y + lr[li+1].y) / 2")
+    lmx = line_sum(f"{seg_len} * ({X('lr[li]')} + {X('lr[li+1]')}) / 2")
+    lmy = line_sum(f"{seg_len} * ({Y('lr[li]')} + {Y('lr[li+1]')}) / 2")
     verts = f"flatten({rings})"
-    px = f"aggregate({verts}, CAST(0 AS DOUBLE), (s, v) -> s + v.x) / greatest(size({verts}), 1)"
-    py = f"aggregate({verts}, CAST(0 AS DOUBLE), (s, v) -> s + v.y) / greatest(size({verts}), 1)"
-    cx = (f"(CASE WHEN {g}.kind = 'poly' AND {a2} != 0 THEN {mx} / (3 * {a2}) "
-          f"WHEN {g}.kind = 'line' AND {llen} > 0 THEN {lmx} / {llen} ELSE {px} END)")
-    cy = (f"(CASE WHEN {g}.kind = 'poly' AND {a2} != 0 THEN {my} / (3 * {a2}) "
-          f"WHEN {g}.kind = 'line' AND {llen} > 0 THEN {lmy} / {llen} ELSE {py} END)")
+    px = f"aggregate({verts}, CAST(0 AS DOUBLE), (s, v) -> s + {X('v')}) / greatest(size({verts}), 1)"
+    py = f"aggregate({verts}, CAST(0 AS DOUBLE), (s, v) -> s + {Y('v')}) / greatest(size({verts}), 1)"
+    cx = (f"({ox} + (CASE WHEN {g}.kind = 'poly' AND {a2} != 0 THEN {mx} / (3 * {a2}) "
+          f"WHEN {g}.kind = 'line' AND {llen} > 0 THEN {lmx} / {llen} ELSE {px} END))")
+    cy = (f"({oy} + (CASE WHEN {g}.kind = 'poly' AND {a2} != 0 THEN {my} / (3 * {a2}) "
+          f"WHEN {g}.kind = 'line' AND {llen} > 0 THEN {lmy} / {llen} ELSE {py} END))")
     return cx, cy
 
 

@@ -60,9 +60,10 @@ def features_from_collections(fc: DataFrame, col: str = "fc", keep: list[str] |
                     geom_from_geojson(F.col("f.geometry.type"), F.col("f.geometry.coordinates")).alias("geom"))
 
 
-def read_geojson(spark: SparkSession, path: str, props: T.StructType) -> DataFrame:
-    """GeoJSON FeatureCollection files -> one row per feature."""
-    fc = spark.read.schema(feature_collection_schema(props)).option("multiLine", True).json(path)
+def read_geojson(spark: SparkSession, path: str, props: T.StructType, multiline: bool = True) -> DataFrame:
+    """GeoJSON FeatureCollection files -> one row per feature (one
+    document per file, or one per line with ``multiline=False``)."""
+    fc = spark.read.schema(feature_collection_schema(props)).option("multiLine", multiline).json(path)
     return features_from_collections(fc.select(F.struct(*fc.columns).alias("fc")))
 
 

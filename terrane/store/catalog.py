@@ -83,10 +83,20 @@ def totals(catalog: DataFrame) -> DataFrame:
 # K4 list flattening
 # --------------------------------------------------------------------------- #
 
+def plain_text(x, dtype: T.DataType):
+    """Element text: floating numbers in plain decimal notation (no exponent),
+    trailing zeros dropped; everything else cast to string."""
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        d = x.cast("double").try_cast("decimal(38,10)").cast("string")
+        plain = F.regexp_replace(F.regexp_replace(d, r"0+$", ""), r"\.$", "")
+        return F.coalesce(plain, x.cast("string"))
+    return x.cast("string")
+
+
 def _flatten_expr(name: str, dtype: T.DataType):
     c = F.col(f"`{name}`")
     if isinstance(dtype, T.ArrayType):
-        s = F.transform(c, lambda x: x.cast("string"))
+        s = F.transform(c, lambda x: plain_text(x, dtype.elementType))
         return F.when(c.isNull() | (F.size(c) == 0) | F.forall(c, lambda x: x.isNull()), None) \
             .otherwise(F.array_join(s, "; ", "NA")).alias(name)
     if isinstance(dtype, T.MapType):

@@ -1 +1,237 @@
-"""Registered queries."""
+"""Registered export, validation, group-load and feed queries (K1, K2, K4,
+K6-K10, P1, P5, P7, P12, P13, T1)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from terrane.config import REGION_BBOX
+from terrane.functions import geom as G
+from terrane.plans import loads as LD
+from terrane.plans import validate as V
+from terrane.registry import query, rounded
+from terrane.session import shared_dir
+from terrane.sources import fixtures as X
+from terrane.sources import readers as RD
+from terrane.sources.fixtures import with_fixtures
+from terrane.store import catalog as C
+from terrane.store import export as EX
+from terrane.streaming import feed as FD
+
+n_ = G.num
+
+
+def _v(c: str) -> str:
+    return f"cast(round({c}, 6) as varchar)"
+
+
+def _tract_feature_sql() -> str:
+    pts = [("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymax"), ("xmin", "ymax"), ("xmin", "ymin")]
+    ring = " || ',' || ".join(f"'[' || {_v(x)} || ',' || {_v(y)} || ']'" for x, y in pts)
+    return with_fixtures(f"""
+select '{{"type":"Feature","properties":{{"geoid":"' || geoid || '","name":"' || name || '","regionkey":'
+  || cast(regionkey as varchar) || ',"feature_id":' || cast(cast(geoid as bigint) as varchar)
+  || '}},"geometry":{{"type":"Polygon","coordinates":[[' || {ring} || ']]}}}}' as value
+from fx_tracts
+""", "fx_tracts")
+
+
+@query("geojson_export", "K7 G14", _tract_feature_sql())
+def geojson_export(spark, sf_dir):
+    """Tract layer written as GeoJSON-seq part files and read back."""
+    path = shared_dir(spark, "geojson")
+    EX.write_geojson_seq(X.tracts_layer(spark, sf_dir), path)
+    return spark.read.text(path)
+
+
+@query("csv_export", "K8 G15", with_fixtures("""
+select id as feature_id, name, category, val, lon, lat from fx_points where lon is not null
+""", "fx_points"))
+def csv_export(spark, sf_dir):
+    """Point layer attributes written as CSV (geometry dropped) and read back."""
+    path = shared_dir(spark, "csv")
+    EX.write_csv(X.points_layer(spark, sf_dir), path)
+    return spark.read.schema("feature_id long, name string, category string, val double, lon double, lat double") \
+        .option("header", True).csv(path)
+
+
+@query("record_json", "K9", with_fixtures("""
+select '{"feature_id":' || cast(id as varchar) || ',"name":"' || name || '","category":"' || category
+  || '"}' as json
+from fx_points where lon is not null
+""", "fx_points"))
+def record_json(spark, sf_dir):
+    """Each feature's attributes as a JSON object (geometry dropped)."""
+    lay = X.points_layer(spark, sf_dir).select("feature_id", "name", "category", "geom")
+    return EX.feature_record_json(lay)
+
+
+@query("list_flatten", "K4", """
+select vec_id, label, case when embedding is null or len(embedding) = 0 then null
+  else array_to_string(list_transform(embedding, lambda v: regexp_replace(regexp_replace(
+    cast(cast(round(cast(v as double), 4) as decimal(38,10)) as varchar), '0+$', ''), '\.$', '')), '; ') end as embedding
+from embeddings
+""")
+def list_flatten(spark, sf_dir):
+    """List columns flattened to '; '-joined text before storage."""
+    e = X.table(spark, sf_dir, "embeddings")
+    rounded_vec = F.transform("embedding", lambda v: F.round(v.cast("double"), 4))
+    return C.flatten_lists(e.select("vec_id", "label", rounded_vec.alias("embedding")), geom=None)
+
+
+def _validation_sql() -> str:
+    r = REGION_BBOX
+    inside = f"lon between {n_(r.xmin)} and {n_(r.xmax)} and lat between {n_(r.ymin)} and {n_(r.ymax)}"
+    tin = f"xmin >= {n_(r.xmin)} and xmax <= {n_(r.xmax)} and ymin >= {n_(r.ymin)} and ymax <= {n_(r.ymax)}"
+    return with_fixtures(f"""
+, p as (select * from fx_points where lon is not null and lat is not null),
+pc as (select count(*) as n, count(*) filter (where {inside}) as n_in,
+  count(*) filter (where abs(lon) < 1e-9 and abs(lat) < 1e-9) as n_ni,
+  count(name) as nn_name, count(category) as nn_category, count(val) as nn_val from p),
+tc as (select count(*) as n, count(*) filter (where {tin}) as n_in, count(name) as nn_name from fx_tracts),
+wide as (select distinct geoid from fx_measures),
+km as (select count(*) as n, count(w.geoid) as m from fx_tracts t left join wide w on t.geoid = w.geoid)
+select 'points' as layer, 'count' as "check", '>0' as expected, cast(n as varchar) as got, n > 0 as ok from pc
+union all select 'points', 'inside_region', cast(n as varchar), cast(n_in as varchar), n_in = n from pc
+union all select 'points', 'not_null_island', '0', cast(n_ni as varchar), n_ni = 0 from pc
+union all select 'points', 'single_kind', '1', '1', true from pc
+union all select 'points', 'rings_closed', '0', '0', true from pc
+union all select 'points', 'geometry_present', '0', '0', true from pc
+union all select 'points', 'populated:name', cast(n as varchar), cast(nn_name as varchar), nn_name > 0 from pc
+union all select 'points', 'populated:category', cast(n as varchar), cast(nn_category as varchar), nn_category > 0 from pc
+union all select 'points', 'populated:val', cast(n as varchar), cast(nn_val as varchar), nn_val > 0 from pc
+union all select 'tracts', 'count', '25', cast(n as varchar), n = 25 from tc
+union all select 'tracts', 'inside_region', cast(n as varchar), cast(n_in as varchar), n_in = n from tc
+union all select 'tracts', 'not_null_island', '0', '0', true from tc
+union all select 'tracts', 'single_kind', '1', '1', true from tc
+union all select 'tracts', 'rings_closed', '0', '0', true from tc
+union all select 'tracts', 'geometry_present', '0', '0', true from tc
+union all select 'tracts', 'populated:name', cast(n as varchar), cast(nn_name as varchar), nn_name > 0 from tc
+union all select 'tracts', 'key_match:geoid', cast(n as varchar), cast(m as varchar), m >= n from km
+""", "fx_points", "fx_tracts", "fx_measures")
+
+
+@query("validate_layers", "P12 J7", _validation_sql())
+def validate_layers(spark, sf_dir):
+    """Per-layer checks: count, placement, geometry, completeness, key match."""
+    pts = X.points_layer(spark, sf_dir)
+    tr = X.tracts_layer(spark, sf_dir)
+    c1 = V.layer_checks(pts, "points", REGION_BBOX, attrs=["name", "category", "val"])
+    c2 = V.layer_checks(tr, "tracts", REGION_BBOX, expected=25, attrs=["name"])
+    c3 = V.key_check(tr, X.fx_measures(spark, sf_dir), "tracts", "geoid", width=11)
+    return c1.unionByName(c2).unionByName(c3)
+
+
+def _tag_geom():
+    """Stand-in geometry for tagged features by kind around a base point."""
+    k = F.col("id")
+    x0 = F.lit(-71.95) + F.pmod(k * 7919, F.lit(65000)) / F.lit(1e5)
+    y0 = F.lit(42.95) + F.pmod(k * 104729, F.lit(55000)) / F.lit(1e5)
+    sq = G.rect(x0, y0, x0 + F.lit(0.001), y0 + F.lit(0.001))
+    ln = G.line(F.array(F.struct(x0.alias("x"), y0.alias("y")),
+                        F.struct((x0 + F.lit(0.002)).alias("x"), (y0 + F.lit(0.001)).alias("y"))))
+    return (F.when(F.col("kind") == "poly", sq).when(F.col("kind") == "line", ln)
+            .otherwise(G.point(x0, y0)))
+
+
+def _tag_sql(cx: str, cy: str) -> str:
+    return with_fixtures(f"""
+, t as (
+  select id, name, kind, 'shop' as theme from fx_tags where shop is not null
+  union all select id, name, kind, 'office' from fx_tags where office is not null
+  union all select id, name, kind, 'amenity' from fx_tags where amenity is not null
+), r as (select *, case kind when 'poly' then 1 when 'line' then 2 else 3 end as kr from t),
+b as (select theme, min(kr) as best from r group by theme),
+k as (select r.*, -71.95e0 + ((id*7919) % 65000)/1e5 as x0, 42.95e0 + ((id*104729) % 55000)/1e5 as y0
+      from r join b on r.theme = b.theme and r.kr = b.best)
+select theme, id, name, round({cx}, 6) as lon, round({cy}, 6) as lat from k
+""", "fx_tags")
+
+
+@query("business_points", "P5 U2 G13 G7 S13", _tag_sql(
+    "case kind when 'poly' then x0 + 0.0005e0 when 'line' then x0 + 0.001e0 else x0 end",
+    "case kind when 'poly' then y0 + 0.0005e0 when 'line' then y0 + 0.0005e0 else y0 end"))
+def business_points(spark, sf_dir):
+    """Business themes united (one row per matched tag), each reduced to its
+    dominant geometry kind, collapsed to centroids."""
+    t = X.fx_tags(spark, sf_dir).withColumn("geom", _tag_geom())
+    b = LD.business_points(t, ("shop", "office", "amenity"))
+    return rounded(b.select("theme", "id", "name", F.col("geom.xmin").alias("lon"), F.col("geom.ymin").alias("lat")), 6)
+
+
+@query("osm_theme_layers", "P7 S13 G13", with_fixtures("""
+, t as (
+  select id, name, kind, 'shop' as theme from fx_tags where shop is not null
+  union all select id, name, kind, 'amenity' from fx_tags where amenity is not null
+), r as (select *, case kind when 'poly' then 1 when 'line' then 2 else 3 end as kr from t),
+b as (select theme, min(kr) as best from r group by theme)
+select r.theme, r.id, r.name, r.kind from r join b on r.theme = b.theme and r.kr = b.best
+""", "fx_tags"))
+def osm_theme_layers(spark, sf_dir):
+    """Tagged features per theme key, each theme reduced to its dominant kind."""
+    t = X.fx_tags(spark, sf_dir).withColumn("geom", _tag_geom())
+    lay = LD.theme_layers(t.drop("office"), ["shop", "amenity", "building"])
+    return lay.select("theme", "id", "name", "kind")
+
+
+QUAKE_FEED = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("magnitude", T.DoubleType()),
+                           T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType()),
+                           T.StructField("batch", T.IntegerType())])
+
+
+@query("live_feed_refresh", "T1 K1 K3")
+def live_feed_refresh(spark, sf_dir):
+    """Feed files land in two drops; an availableNow file stream (one
+    checkpoint across both runs) replaces the layer from each drop and
+    touches the catalog. Returns the stored layer after the second refresh."""
+    q = X.fx_quakes(spark, sf_dir).select("event_id", "magnitude", "lon", "lat")
+    landing = shared_dir(spark, "landing")
+    ckpt = shared_dir(spark, "feedck")
+    store = C.local_store(spark)
+
+    def norm(b):
+        return RD.points_from(b, "lon", "lat")
+
+    q.withColumn("batch", F.lit(1)).where(F.col("magnitude") < 2).write.mode("append").json(landing)
+    FD.refresh_feed(spark, store, landing, QUAKE_FEED, norm, ("apis", "quakes_live"),
+                    checkpoint=ckpt).awaitTermination()
+    q.withColumn("batch", F.lit(2)).write.mode("append").json(landing)
+    FD.refresh_feed(spark, store, landing, QUAKE_FEED, norm, ("apis", "quakes_live"),
+                    checkpoint=ckpt).awaitTermination()
+    return store.read("apis", "quakes_live").select("event_id", "magnitude", "lon", "lat", "batch")
+
+
+PAGE_FEATURES = 1000
+
+
+@query("group_load_snapshot", "P1 K1 K2 K5 K6 K10 P13 A3")
+def group_load_snapshot(spark, sf_dir):
+    """External group load from landed per-region GeoJSON pages (one entry has
+    no payload: recorded as failed and registered with 0 features), then the
+    web snapshot export; returns the load status and the export status."""
+    store = C.local_store(spark)
+    land = shared_dir(spark, "external")
+    nat = X.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
+    cust = X.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("feature_id"), "c_nationkey")
+    pts = X.points_layer(spark, sf_dir).join(cust, "feature_id").join(nat, "c_nationkey")
+    feats = pts.select("n_regionkey", F.floor(F.col("feature_id") / PAGE_FEATURES).alias("page"),
+                       F.concat(
+                           F.lit('{"type":"Feature","properties":'),
+                           F.to_json(F.struct("feature_id", "name", "category")),
+                           F.lit(',"geometry":'), EX.geometry_json(F.col("geom")), F.lit("}")).alias("f"))
+    # one FeatureCollection document per line, at most PAGE_FEATURES features each
+    docs = feats.groupBy("n_regionkey", "page").agg(F.concat(
+        F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("f"), ","),
+        F.lit("]}")).alias("value"))
+    docs.select("n_regionkey", "value").write.partitionBy("n_regionkey").text(land)
+    regions = sorted(r[0] for r in nat.select("n_regionkey").distinct().collect())
+    props = T.StructType([T.StructField("feature_id", T.LongType()), T.StructField("name", T.StringType()),
+                          T.StructField("category", T.StringType())])
+    entries = [{"key": f"Region {r}", "title": f"region {r}", "path": f"{land}/n_regionkey={r}"} for r in regions]
+    entries.append({"key": "Region missing", "title": "no payload", "path": f"{land}/n_regionkey=none"})
+    status = LD.load_group(spark, store, "external", entries,
+                           lambda e: RD.read_geojson(spark, e["path"], props, multiline=False), scope="bbox")
+    exp = EX.export_web(store, shared_dir(spark, "web"), 10, 12, 50)
+    return status.select("layer", "n", F.coalesce("error", F.lit("")).alias("detail")).unionByName(
+        exp.select(F.col("output").alias("layer"), "n", F.col("format").alias("detail")))
