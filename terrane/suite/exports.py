@@ -70,7 +70,7 @@ def record_json(spark, sf_dir):
 @query("list_flatten", "K4", """
 select vec_id, label, case when embedding is null or len(embedding) = 0 then null
   else array_to_string(list_transform(embedding, lambda v: regexp_replace(regexp_replace(
-    cast(cast(round(cast(v as double), 4) as decimal(38,10)) as varchar), '0+$', ''), '\.$', '')), '; ') end as embedding
+    cast(cast(round(cast(v as double), 4) as decimal(38,10)) as varchar), '0+$', ''), '[.]$', '')), '; ') end as embedding
 from embeddings
 """)
 def list_flatten(spark, sf_dir):
