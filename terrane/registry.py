@@ -43,5 +43,5 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def load_all() -> dict[str, Entry]:
     # importing the suite modules registers their queries
-    from terrane.suite import spatial, tables, text, sources, knowledge, exports  # noqa: F401
+    from terrane.suite import spatial, tables, text, sources, knowledge, exports, feeds  # noqa: F401
     return REGISTRY
