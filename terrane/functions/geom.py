@@ -259,8 +259,8 @@ def distance_deg_sql(g: str, px: str, py: str) -> str:
 def haversine_sql(x1: str, y1: str, x2: str, y2: str) -> str:
     """Great-circle metres on the sphere of radius EARTH_RADIUS_M."""
     r = num(EARTH_RADIUS_M)
-    return (f"(2 * {r} * asin(sqrt(power(sin(radians(({y2}) - ({y1})) / 2), 2) + "
-            f"cos(radians({y1})) * cos(radians({y2})) * power(sin(radians(({x2}) - ({x1})) / 2), 2))))")
+    return (f"(2 * {r} * asin(sqrt(least(CAST(1 AS DOUBLE), power(sin(radians(({y2}) - ({y1})) / 2), 2) + "
+            f"cos(radians({y1})) * cos(radians({y2})) * power(sin(radians(({x2}) - ({x1})) / 2), 2)))))")
 
 
 def distance_m_sql(g: str, px: str, py: str) -> str:
@@ -500,3 +500,46 @@ def geom_from_wkt(text) -> Column:
 def kind_of_layer(kinds: Column) -> Column:
     """A layer's kind is its single distinct kind, else 'point'."""
     return F.when(F.size(kinds) == 1, F.element_at(kinds, 1)).otherwise(F.lit("point"))
+
+
+# --------------------------------------------------------------------------- #
+# flat edge / vertex arrays: computed once per geometry, used by join refines
+# --------------------------------------------------------------------------- #
+
+def edges_array_sql(g: str) -> str:
+    """Every path / ring edge of ``g`` as array<struct<ax, ay, bx, by>> (a
+    one-vertex path gives a zero-length edge)."""
+    return (f"flatten(transform(flatten({g}.parts), er -> transform("
+            f"IF(size(er) = 1, array(0), {edge_idx_sql('er')}), ei -> named_struct("
+            f"'ax', er[ei].x, 'ay', er[ei].y, 'bx', er[least(ei + 1, size(er) - 1)].x, "
+            f"'by', er[least(ei + 1, size(er) - 1)].y))))")
+
+
+def vertices_array_sql(g: str) -> str:
+    return f"flatten(flatten({g}.parts))"
+
+
+def pip_edges_sql(edges: str, px: str, py: str, v: str = "e") -> str:
+    """Boundary-inclusive even-odd point-in-polygon over a flat edge array
+    (all rings of all parts; holes fall out of the even-odd rule)."""
+    on_edge = (f"exists({edges}, {v} -> (({v}.bx - {v}.ax) * ({py} - {v}.ay) - ({v}.by - {v}.ay) * ({px} - {v}.ax) = 0) "
+               f"AND {px} BETWEEN least({v}.ax, {v}.bx) AND greatest({v}.ax, {v}.bx) "
+               f"AND {py} BETWEEN least({v}.ay, {v}.by) AND greatest({v}.ay, {v}.by))")
+    odd = (f"(size(filter({edges}, {v} -> (({v}.ay > {py}) != ({v}.by > {py})) "
+           f"AND ((({px}) - {v}.ax) * ({v}.by - {v}.ay) - ({v}.bx - {v}.ax) * (({py}) - {v}.ay)) "
+           f"* sign({v}.by - {v}.ay) < 0)) % 2 = 1)")
+    return f"({on_edge} OR {odd})"
+
+
+def intersects_arrays_sql(f_geom: str, f_edges: str, f_verts: str,
+                          p_geom: str, p_edges: str, p_verts: str) -> str:
+    """G9 refine with precomputed arrays: feature (point / line / polygon) vs
+    polygon, boundary inclusive, envelope test first."""
+    one_point = f"({f_geom}.xmin BETWEEN {p_geom}.xmin AND {p_geom}.xmax AND {f_geom}.ymin BETWEEN {p_geom}.ymin AND {p_geom}.ymax AND {pip_edges_sql(p_edges, f'{f_geom}.xmin', f'{f_geom}.ymin')})"
+    vin = f"exists({f_verts}, fv -> {pip_edges_sql(p_edges, 'fv.x', 'fv.y', 'pe')})"
+    pin = f"exists({p_verts}, pv -> {pip_edges_sql(f_edges, 'pv.x', 'pv.y', 'fe')})"
+    cross = ("exists(" + f_edges + ", a -> exists(" + p_edges + ", b -> "
+             + segments_intersect_sql("a.ax", "a.ay", "a.bx", "a.by", "b.ax", "b.ay", "b.bx", "b.by") + "))")
+    exact = (f"CASE {f_geom}.kind WHEN 'point' THEN (CASE WHEN size({f_geom}.parts) = 1 THEN {one_point} "
+             f"ELSE {vin} END) WHEN 'line' THEN ({vin} OR {cross}) ELSE ({vin} OR {pin} OR {cross}) END")
+    return f"({envelopes_overlap_sql(f_geom, p_geom)} AND {exact})"

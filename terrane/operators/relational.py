@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions import text as TX
+from terrane.session import materialize
 
 
 # --------------------------------------------------------------------------- #
@@ -163,13 +164,14 @@ def global_ordinal(df: DataFrame, order: list[str], name: str = "ordinal",
     """1-based position of every row in the total order ``order`` (keys must
     be unique). Rows are range-partitioned and sorted (Spark's sort), numbered
     within their partition, and offset by the row counts of earlier
-    partitions; only one count per partition reaches the driver side, so no
-    partition holds more than its range. The sorted data is checkpointed to
-    the shared folder so a recomputation sees the same partitioning."""
+    partitions; only one count per partition is combined, so no partition
+    holds more than its range. The sorted data (with its partition ids) is
+    written as a table in the shared folder, so a recomputation sees the
+    same partitioning."""
     s = df.orderBy(*order)
     s = s.withColumn("__pid", F.spark_partition_id())
     if checkpoint:
-        s = s.checkpoint(eager=True)
+        s = materialize(s, "ordinal")
     w = Window.partitionBy("__pid").orderBy(*order)
     s = s.withColumn("__rn", F.row_number().over(w))
     counts = s.groupBy("__pid").agg(F.count("*").alias("__n"))

@@ -67,3 +67,12 @@ def shared_dir(spark: SparkSession, name: str | None = None) -> str:
         return base.rstrip("/") + "/" + sub
     path = os.path.join(base, sub)
     return path
+
+
+def materialize(df, name: str = "stage"):
+    """Cut lineage by writing ``df`` as a Parquet table in the shared folder
+    and reading it back: the plan runs once, and a recomputation after an
+    executor loss reads the table instead of re-running upstream stages."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
