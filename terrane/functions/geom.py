@@ -351,11 +351,28 @@ def utm_sql(lon: str, lat: str, lon0: float = UTM19_LON0):
     return easting, northing
 
 
+def _utm_vertex_stages(verts: str, lon0: float) -> str:
+    """Project an array of vertices with chained transforms so t, xi' and
+    eta' are computed once per vertex (a single lambda would repeat them)."""
+    a_rect, alpha, e = _utm_constants()
+    ka = num(UTM_K0 * a_rect)
+    s1 = (f"transform({verts}, uv -> named_struct('phi', radians(uv.y), "
+          f"'lam', radians(uv.x - ({num(lon0)}))))")
+    s2 = (f"transform({s1}, u1 -> named_struct('t', sinh(atanh(sin(u1.phi)) - {num(e)} * "
+          f"atanh({num(e)} * sin(u1.phi))), 'lam', u1.lam))")
+    s3 = (f"transform({s2}, u2 -> named_struct('xi', atan(u2.t / cos(u2.lam)), "
+          f"'eta', atanh(sin(u2.lam) / sqrt(1 + u2.t * u2.t))))")
+    e_terms = " + ".join(f"{num(a)} * cos({2 * j} * u3.xi) * sinh({2 * j} * u3.eta)"
+                         for j, a in enumerate(alpha, start=1))
+    n_terms = " + ".join(f"{num(a)} * sin({2 * j} * u3.xi) * cosh({2 * j} * u3.eta)"
+                         for j, a in enumerate(alpha, start=1))
+    return (f"transform({s3}, u3 -> named_struct('x', {num(UTM_FALSE_EASTING)} + {ka} * (u3.eta + {e_terms}), "
+            f"'y', {ka} * (u3.xi + {n_terms})))")
+
+
 def to_utm_sql(g: str, lon0: float = UTM19_LON0, srid: int = 32619) -> str:
     """Reproject every vertex of a 4326 geometry to UTM metres."""
-    e, n = utm_sql("uv.x", "uv.y", lon0)
-    parts = (f"transform({g}.parts, up -> transform(up, ur -> transform(ur, uv -> "
-             f"named_struct('x', {e}, 'y', {n}))))")
+    parts = (f"transform({g}.parts, up -> transform(up, ur -> {_utm_vertex_stages('ur', lon0)}))")
     return (f"(CASE WHEN {g} IS NULL THEN NULL ELSE "
             f"named_struct('kind', {g}.kind, 'parts', {parts}, "
             f"'xmin', CAST(NULL AS DOUBLE), 'ymin', CAST(NULL AS DOUBLE), "
@@ -541,5 +558,5 @@ def intersects_arrays_sql(f_geom: str, f_edges: str, f_verts: str,
     cross = ("exists(" + f_edges + ", a -> exists(" + p_edges + ", b -> "
              + segments_intersect_sql("a.ax", "a.ay", "a.bx", "a.by", "b.ax", "b.ay", "b.bx", "b.by") + "))")
     exact = (f"CASE {f_geom}.kind WHEN 'point' THEN (CASE WHEN size({f_geom}.parts) = 1 THEN {one_point} "
-             f"ELSE {vin} END) WHEN 'line' THEN ({vin} OR {cross}) ELSE ({vin} OR {pin} OR {cross}) END")
+             f"ELSE {vin} END) WHEN 'line' THEN ({cross} OR {vin}) ELSE ({cross} OR {vin} OR {pin}) END")
     return f"({envelopes_overlap_sql(f_geom, p_geom)} AND {exact})"
