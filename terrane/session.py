@@ -21,6 +21,9 @@ _DEFAULTS = {
     "spark.sql.optimizer.nestedSchemaPruning.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # collect_list/min(struct) aggregates keep hashing for more keys before
+    # falling back to sort-based aggregation
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
 }
 
 
