@@ -109,6 +109,17 @@ def fx_triples(spark, sf_dir) -> DataFrame:
                     F.col("lang").alias("value"))
 
 
+def fx_squares(spark, sf_dir) -> DataFrame:
+    """Two edge-adjacent squares per located customer (a drawing of two
+    shapes, or a parcel and its neighbour): A = [x, x+s] x [y, y+s] and
+    B = [x+s, x+2s] x [y, y+s], with s varying by customer."""
+    p = fx_points(spark, sf_dir).where(F.col("lon").isNotNull())
+    s = F.lit(0.002) + F.pmod(F.col("id"), F.lit(7)) * F.lit(0.0005)
+    return p.select("id", F.col("lon").alias("x0"), F.col("lat").alias("y0"),
+                    (F.col("lon") + s).alias("x1"), (F.col("lat") + s).alias("y1"),
+                    (F.col("lon") + s + s).alias("x2"))
+
+
 # ---- layers in the engine's layer schema (feature_id, attributes..., geom) ----
 
 def points_layer(spark, sf_dir) -> DataFrame:
@@ -143,6 +154,10 @@ SQL = {
        else -71.95e0 + ((c_custkey*7919) % 65000)/1e5 end as lon,
   42.95e0 + ((c_custkey*104729) % 55000)/1e5 as lat
 from customer""",
+    "fx_squares": """select id, lon as x0, lat as y0, lon + (0.002e0 + (id % 7) * 0.0005e0) as x1,
+  lat + (0.002e0 + (id % 7) * 0.0005e0) as y1,
+  lon + (0.002e0 + (id % 7) * 0.0005e0) + (0.002e0 + (id % 7) * 0.0005e0) as x2
+from fx_points where lon is not null""",
     "fx_tracts": """select lpad(cast(n_nationkey as varchar(11)),11,'0') as geoid, n_name as name,
   n_regionkey as regionkey,
   -71.95e0 + 0.13e0*(n_nationkey % 5) as xmin,

@@ -195,3 +195,131 @@ def schools_load(spark, sf_dir):
     return spark.createDataFrame([("school_districts", n1), ("school_districts_region", n2),
                                   ("public_schools_districts", n3), ("enrollment_districts", n4)],
                                  "layer string, n long")
+
+
+# ---------------------------------------------------------------------------
+# queries over customer-derived parcels (their work grows with the tables)
+# ---------------------------------------------------------------------------
+
+from terrane.plans import measure as M  # noqa: E402
+from terrane.suite.spatial import _seg_len_utm  # noqa: E402
+
+
+def _parcels(spark, sf_dir):
+    q = X.fx_squares(spark, sf_dir)
+    a = q.select(F.col("id").alias("query_id"), F.lit("A").alias("shape_id"),
+                 G.rect("x0", "y0", "x1", "y1").alias("geom"))
+    b = q.select(F.col("id").alias("query_id"), F.lit("B").alias("shape_id"),
+                 G.rect("x1", "y0", "x2", "y1").alias("geom"))
+    return a, b
+
+
+def _corners(pts):
+    out = []
+    for i, (x, y) in enumerate(pts):
+        e, n = G.utm_sql(x, y)
+        out.append(f"{e} as e{i}, {n} as n{i}")
+    return ", ".join(out)
+
+
+def _quad_area(a: str) -> str:
+    return (f"abs((({a}e1 - {a}e0) * ({a}n2 - {a}n0) - ({a}e2 - {a}e0) * ({a}n1 - {a}n0)) + "
+            f"(({a}e2 - {a}e0) * ({a}n3 - {a}n0) - ({a}e3 - {a}e0) * ({a}n2 - {a}n0))) / 2")
+
+
+def _wkt_num(c):
+    return f"cast(round({c}, 6) as varchar)"
+
+
+@query("parcel_shapes", "G3 G4 G5 G7 G14", with_fixtures(f"""
+, c as (select id, x0, y0, x1, y1, {_corners([("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1")])} from fx_squares)
+select id as feature_id, round({_quad_area('')}, 3) as area_m2,
+  round(sqrt(power(e1 - e0, 2) + power(n1 - n0, 2)) + sqrt(power(e2 - e1, 2) + power(n2 - n1, 2))
+      + sqrt(power(e3 - e2, 2) + power(n3 - n2, 2)) + sqrt(power(e0 - e3, 2) + power(n0 - n3, 2)), 3) as perim_m,
+  round((x0 + x1) / 2, 6) as cx, round((y0 + y1) / 2, 6) as cy,
+  'POLYGON ((' || {_wkt_num('x0')} || ' ' || {_wkt_num('y0')} || ', ' || {_wkt_num('x1')} || ' ' || {_wkt_num('y0')}
+    || ', ' || {_wkt_num('x1')} || ' ' || {_wkt_num('y1')} || ', ' || {_wkt_num('x0')} || ' ' || {_wkt_num('y1')}
+    || ', ' || {_wkt_num('x0')} || ' ' || {_wkt_num('y0')} || '))' as wkt
+from c
+""", "fx_points", "fx_squares"))
+def parcel_shapes(spark, sf_dir):
+    """Per parcel polygon: UTM area and perimeter, planar centroid, WKT."""
+    a, _ = _parcels(spark, sf_dir)
+    u = a.select(F.col("query_id").alias("feature_id"), "geom", G.to_utm("geom").alias("ugeom"))
+    cx, cy = G.centroid_sql("geom")
+    return u.select("feature_id", F.round(G.area("ugeom"), 3).alias("area_m2"),
+                    F.round(G.length("ugeom"), 3).alias("perim_m"),
+                    F.round(F.expr(cx), 6).alias("cx"), F.round(F.expr(cy), 6).alias("cy"),
+                    G.to_wkt("geom").alias("wkt"))
+
+
+@query("parcels_city", "J2 F1 G9", with_fixtures(f"""
+select id as feature_id from fx_squares
+where x0 <= {n_(CITY_BBOX.xmax)} and x1 >= {n_(CITY_BBOX.xmin)} and y0 <= {n_(CITY_BBOX.ymax)} and y1 >= {n_(CITY_BBOX.ymin)}
+""", "fx_points", "fx_squares"))
+def parcels_city(spark, sf_dir):
+    """Parcel polygons intersecting the city polygon (spatial semi join)."""
+    a, _ = _parcels(spark, sf_dir)
+    city = spark.range(1).select(F.lit(1).alias("qid"),
+                                 G.rect(CITY_BBOX.xmin, CITY_BBOX.ymin, CITY_BBOX.xmax, CITY_BBOX.ymax).alias("geom"))
+    pairs = S.intersects_join(city, a.select(F.col("query_id").alias("feature_id"), "geom"), ["qid"], ["feature_id"])
+    return pairs.select("feature_id").distinct()
+
+
+def _measure_parcels_sql():
+    pa = [("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1")]
+    pb = [("x1", "y0"), ("x2", "y0"), ("x2", "y1"), ("x1", "y1")]
+    ca = ", ".join(f"{G.utm_sql(x, y)[0]} as ae{i}, {G.utm_sql(x, y)[1]} as an{i}" for i, (x, y) in enumerate(pa))
+    cb = ", ".join(f"{G.utm_sql(x, y)[0]} as be{i}, {G.utm_sql(x, y)[1]} as bn{i}" for i, (x, y) in enumerate(pb))
+    outer = [("x0", "y0", "x1", "y0"), ("x1", "y0", "x2", "y0"), ("x2", "y0", "x2", "y1"),
+             ("x2", "y1", "x1", "y1"), ("x1", "y1", "x0", "y1"), ("x0", "y1", "x0", "y0")]
+    perim = " + ".join(_seg_len_utm(*e) for e in outer)
+    return with_fixtures(f"""
+, c as (select id, x0, y0, x1, y1, x2, {ca}, {cb} from fx_squares),
+m as (select id, {_quad_area('a')} + {_quad_area('b')} as area_m2, {perim} as perim_m from c)
+select id as query_id, round(area_m2, 3) as area_m2, round(area_m2 / {n_(G.M2_PER_ACRE)}, 3) as area_acres,
+  round(perim_m, 3) as perim_m, round(perim_m * {n_(G.FT_PER_M)}, 3) as perim_ft
+from m
+""", "fx_points", "fx_squares")
+
+
+@query("draw_measure_parcels", "P8 A6 A7 G3 G4 G5 G6 X11", _measure_parcels_sql())
+def draw_measure_parcels(spark, sf_dir):
+    """Batch draw-to-measure: every drawing is two edge-adjacent squares;
+    summed area and the perimeter of their union (shared edge dissolved)."""
+    a, b = _parcels(spark, sf_dir)
+    return rounded(M.measure_shapes(a.unionByName(b)), 3)
+
+
+@query("type_intersect", "U4", """
+with l as (select p_type, min(p_partkey) as first_partkey from part group by p_type),
+r as (select distinct p_type from part where p_size > 40)
+select l.p_type, l.first_partkey from l where l.p_type in (select p_type from r) order by first_partkey
+""")
+def type_intersect(spark, sf_dir):
+    """Part types in order of first appearance, intersected with the types of
+    large parts, keeping the first list's order."""
+    p = X.table(spark, sf_dir, "part")
+    left = p.groupBy("p_type").agg(F.min("p_partkey").alias("first_partkey"))
+    right = p.where(F.col("p_size") > 40).select("p_type")
+    return R.intersect_ordered(left, right, "p_type", "first_partkey")
+
+
+@query("filter_columns_counts", "S24 F13 A3", with_fixtures("""
+, p as (select * from fx_points where lon is not null and lat is not null)
+select 1 as ordinal, 'feature_id' as column_name, count(id) as n_values from p
+union all select 2, 'name', count(name) from p
+union all select 3, 'category', count(category) from p
+union all select 4, 'val', count(val) from p
+union all select 5, 'lon', count(lon) from p
+union all select 6, 'lat', count(lat) from p
+""", "fx_points"))
+def filter_columns_counts(spark, sf_dir):
+    """Filterable columns of the point layer in ordinal order with the number
+    of populated values of each (one aggregate pass)."""
+    layer = X.points_layer(spark, sf_dir)
+    cols = FL.filter_columns(layer)
+    counts = layer.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(cols)])
+    rows = F.array(*[F.struct(F.lit(i + 1).alias("ordinal"), F.lit(c).alias("column_name"),
+                              F.col(f"c{i}").alias("n_values")) for i, c in enumerate(cols)])
+    return counts.select(F.explode(rows).alias("r")).select("r.*")
