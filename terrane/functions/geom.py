@@ -560,3 +560,39 @@ def intersects_arrays_sql(f_geom: str, f_edges: str, f_verts: str,
     exact = (f"CASE {f_geom}.kind WHEN 'point' THEN (CASE WHEN size({f_geom}.parts) = 1 THEN {one_point} "
              f"ELSE {vin} END) WHEN 'line' THEN ({cross} OR {vin}) ELSE ({cross} OR {vin} OR {pin}) END")
     return f"({envelopes_overlap_sql(f_geom, p_geom)} AND {exact})"
+
+
+def is_rect_sql(g: str) -> str:
+    """True for a one-ring axis-aligned rectangle (closed, 5 vertices, every
+    edge horizontal or vertical, every vertex on the envelope's corners)."""
+    r = f"{g}.parts[0][0]"
+    return (f"(size({g}.parts) = 1 AND size({g}.parts[0]) = 1 AND size({r}) = 5 "
+            f"AND forall({r}, rv -> (rv.x = {g}.xmin OR rv.x = {g}.xmax) AND (rv.y = {g}.ymin OR rv.y = {g}.ymax)) "
+            f"AND forall(sequence(0, 3), ri -> {r}[ri].x = {r}[ri + 1].x OR {r}[ri].y = {r}[ri + 1].y) "
+            f"AND {g}.xmin < {g}.xmax AND {g}.ymin < {g}.ymax)")
+
+
+def seg_hits_rect_sql(a: str, g: str) -> str:
+    """Closed segment ``a`` (ax, ay, bx, by) meets the axis-aligned box of
+    ``g``: the envelopes overlap and the box's corners are not all strictly on
+    one side of the segment's line (separating-axis test)."""
+    env = (f"(greatest({a}.ax, {a}.bx) >= {g}.xmin AND least({a}.ax, {a}.bx) <= {g}.xmax "
+           f"AND greatest({a}.ay, {a}.by) >= {g}.ymin AND least({a}.ay, {a}.by) <= {g}.ymax)")
+    corners = [(f"{g}.xmin", f"{g}.ymin"), (f"{g}.xmax", f"{g}.ymin"),
+               (f"{g}.xmax", f"{g}.ymax"), (f"{g}.xmin", f"{g}.ymax")]
+    o = [f"(({a}.bx - {a}.ax) * ({cy} - {a}.ay) - ({a}.by - {a}.ay) * ({cx} - {a}.ax))" for cx, cy in corners]
+    all_pos = " AND ".join(f"{x} > 0" for x in o)
+    all_neg = " AND ".join(f"{x} < 0" for x in o)
+    return f"({env} AND NOT (({all_pos}) OR ({all_neg})))"
+
+
+def intersects_rect_sql(f_geom: str, f_edges: str, p_geom: str) -> str:
+    """G9 against an axis-aligned rectangle polygon: points by comparison,
+    lines by the separating-axis test per edge, polygons additionally by the
+    rectangle's corner lying inside them (rectangle within the polygon)."""
+    inside_pt = (f"({f_geom}.xmin BETWEEN {p_geom}.xmin AND {p_geom}.xmax "
+                 f"AND {f_geom}.ymin BETWEEN {p_geom}.ymin AND {p_geom}.ymax)")
+    edges_hit = f"exists({f_edges}, ra -> {seg_hits_rect_sql('ra', p_geom)})"
+    corner_in = pip_edges_sql(f_edges, f"{p_geom}.xmin", f"{p_geom}.ymin", "rc")
+    return (f"(CASE {f_geom}.kind WHEN 'point' THEN (CASE WHEN size({f_geom}.parts) = 1 THEN {inside_pt} "
+            f"ELSE {edges_hit} END) WHEN 'line' THEN {edges_hit} ELSE ({edges_hit} OR {corner_in}) END)")

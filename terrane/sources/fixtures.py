@@ -140,6 +140,11 @@ def lines_layer(spark, sf_dir) -> DataFrame:
     """Line layer: vertices of one line ordered by (linenumber, partkey, suppkey).
     A line is one feature row, so its vertex list is the feature's own value."""
     v = fx_vertices(spark, sf_dir)
+    # hash-partition the vertex rows by line first: the one shuffle the
+    # aggregation needs anyway, and the gathering then runs in parallel even
+    # when the scan has few splits
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    v = v.repartition(n, "line_id")
     verts = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "x", "y")))
     lines = v.groupBy("line_id").agg(verts.alias("vs"))
     path = F.transform("vs", lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y")))
