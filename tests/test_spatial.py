@@ -151,3 +151,39 @@ def test_union_boundary_length_overlap_and_shared_edges(spark):
     out = {r.query_id: r.perimeter for r in S.union_boundary_length(shapes).collect()}
     assert out[1] == pytest.approx(12.0, abs=1e-6)
     assert out[2] == pytest.approx(6.0, abs=1e-6)
+
+
+def _seg_int(p1, p2, q1, q2):
+    def o(a, b, c):
+        return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    if max(p1[0], p2[0]) < min(q1[0], q2[0]) or max(q1[0], q2[0]) < min(p1[0], p2[0]):
+        return False
+    if max(p1[1], p2[1]) < min(q1[1], q2[1]) or max(q1[1], q2[1]) < min(p1[1], p2[1]):
+        return False
+    return o(p1, p2, q1) * o(p1, p2, q2) <= 0 and o(q1, q2, p1) * o(q1, q2, p2) <= 0
+
+
+def test_lines_vs_rectangles_and_polygons_brute_force(spark):
+    """Lines against a rectangle (fast path) and a triangle (general path)."""
+    polys = {1: [(0, 0), (4, 0), (4, 4), (0, 4)], 2: [(3, 3), (7, 3), (5, 6)]}
+    rnd = random.Random(7)
+    paths = {i: [(round(rnd.uniform(-2, 8), 1), round(rnd.uniform(-2, 8), 1)) for _ in range(rnd.randint(1, 4))]
+             for i in range(300)}
+    lines = None
+    for i, path in paths.items():
+        d = spark.range(1).select(F.lit(i).cast("long").alias("feature_id"), G.line(F.array(*[
+            F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in path])).alias("geom"))
+        lines = d if lines is None else lines.unionByName(d)
+    shapes = _shapes_df(spark, polys)
+    got = {(r.shape_id, r.feature_id) for r in
+           S.intersects_join(shapes, lines, ["shape_id"], ["feature_id"], cell=1.0).collect()}
+    want = set()
+    for k, cs in polys.items():
+        ring = cs + [cs[0]]
+        for i, path in paths.items():
+            hit = any(_pip(cs, x, y) for x, y in path)
+            for a, b in zip(path[:-1], path[1:]):
+                hit = hit or any(_seg_int(a, b, p, q) for p, q in zip(ring[:-1], ring[1:]))
+            if hit:
+                want.add((k, i))
+    assert got == want and len(want) > 20
