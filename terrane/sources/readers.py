@@ -204,19 +204,21 @@ VECTOR_TYPES = ("esriGeometryPoint", "esriGeometryMultipoint", "esriGeometryPoly
 
 
 def discover(base: str, folder_docs: DataFrame, layer_docs: DataFrame) -> DataFrame:
-    """Folder documents (folder, json) and service-layer documents
-    (service_url, json) -> vector layers (url, name, ordinal) de-duplicated by
-    URL; a missing name falls back to the layer id. ``ordinal`` is discovery
-    order (folder, service, layer)."""
-    svc = folder_docs.select("folder", F.posexplode(F.from_json("json", SERVICES)["services"]).alias("si", "s"))
+    """Folder documents (folder, [page,] json) and service-layer
+    documents (service_url, json) -> vector layers (url, name, ordinal)
+    de-duplicated by URL; a missing name falls back to the layer id.
+    ``ordinal`` is discovery order (folder, page, service, layer)."""
+    if "page" not in folder_docs.columns:
+        folder_docs = folder_docs.withColumn("page", F.lit(0))
+    svc = folder_docs.select("folder", "page", F.posexplode(F.from_json("json", SERVICES)["services"]).alias("si", "s"))
     svc = svc.where(F.col("s.type").isin(*FEATURE_SERVICES)).select(
-        "folder", "si", F.concat(F.lit(base + "/"), F.col("s.name"), F.lit("/"), F.col("s.type")).alias("service_url"))
+        "folder", "page", "si", F.concat(F.lit(base + "/"), F.col("s.name"), F.lit("/"), F.col("s.type")).alias("service_url"))
     lay = layer_docs.select("service_url", F.posexplode(F.from_json("json", LAYERS)["layers"]).alias("li", "l"))
     lay = lay.where(F.col("l.geometryType").isin(*VECTOR_TYPES))
     j = svc.join(lay, "service_url")
     out = j.select(F.concat(F.col("service_url"), F.lit("/"), F.col("l.id").cast("string")).alias("url"),
                    F.coalesce(F.col("l.name"), F.col("l.id").cast("string")).alias("name"),
-                   F.struct("folder", "si", "li").alias("ordinal"))
+                   F.struct("folder", "page", "si", "li").alias("ordinal"))
     return out.groupBy("url").agg(F.min(F.struct("ordinal", "name")).alias("m")).select(
         "url", F.col("m.name").alias("name"), F.col("m.ordinal").alias("ordinal"))
 

@@ -323,3 +323,61 @@ def filter_columns_counts(spark, sf_dir):
     rows = F.array(*[F.struct(F.lit(i + 1).alias("ordinal"), F.lit(c).alias("column_name"),
                               F.col(f"c{i}").alias("n_values")) for i, c in enumerate(cols)])
     return counts.select(F.explode(rows).alias("r")).select("r.*")
+
+
+SUPPLIER_PREFERRED = ["NATION_1/", "NATION_2/", "NATION_3/", "NATION_5/", "NATION_8/"]
+
+
+@query("discovery_suppliers", "S22 U3 F16 W2 X1 F19 P2", """
+with s as (
+  select n.n_name as folder, floor(s_suppkey / 1000) as page, s_suppkey,
+    n.n_name || '/' || s_name as service,
+    case s_suppkey % 3 when 0 then 'MapServer' when 1 then 'FeatureServer' else 'ImageServer' end as type
+  from supplier join nation n on s_nationkey = n.n_nationkey
+), l as (
+  select 0 as li, 0 as id, 'Parcels' as name, 'esriGeometryPolygon' as gt
+  union all select 1, 1, null, 'esriGeometryPoint'
+  union all select 2, 2, 'Imagery', 'esriGeometryRaster'
+), j as (
+  select 'https://host/' || s.service || '/' || s.type || '/' || cast(l.id as varchar) as url,
+    coalesce(l.name, cast(l.id as varchar)) as name, s.folder, s.page, s.s_suppkey, l.li
+  from s, l where s.type in ('MapServer', 'FeatureServer')
+    and l.gt in ('esriGeometryPoint', 'esriGeometryMultipoint', 'esriGeometryPolyline', 'esriGeometryPolygon')
+), r as (
+  select *, case when strpos(url, 'NATION_1/') > 0 then 1 when strpos(url, 'NATION_2/') > 0 then 2
+    when strpos(url, 'NATION_3/') > 0 then 3 when strpos(url, 'NATION_5/') > 0 then 4
+    when strpos(url, 'NATION_8/') > 0 then 5 end as pref_rank,
+    regexp_replace(lower(regexp_replace(name, '[^A-Za-z0-9]+', '_', 'g')), '^_|_$', '', 'g') as slug
+  from j
+)
+select url, name, slug, pref_rank from r where pref_rank is not null and length(slug) > 0
+qualify row_number() over (partition by slug order by pref_rank, folder, page, s_suppkey, li) = 1
+""")
+def discovery_suppliers(spark, sf_dir):
+    """Server discovery over one service per supplier: paged folder listings
+    -> feature services -> vector layers, de-duplicated by URL, ranked by
+    preferred folder, table slugs de-duplicated keeping the best copy."""
+    from terrane.functions import text as TX
+    sup = X.table(spark, sf_dir, "supplier")
+    nat = X.table(spark, sf_dir, "nation")
+    s = sup.join(nat, sup.s_nationkey == nat.n_nationkey).select(
+        F.col("n_name").alias("folder"), F.floor(F.col("s_suppkey") / 1000).alias("page"), "s_suppkey",
+        F.concat(F.col("n_name"), F.lit("/"), F.col("s_name")).alias("service"),
+        F.when(F.pmod("s_suppkey", F.lit(3)) == 0, "MapServer").when(F.pmod("s_suppkey", F.lit(3)) == 1, "FeatureServer")
+        .otherwise("ImageServer").alias("type"))
+    listing = (s.groupBy("folder", "page")
+               .agg(F.sort_array(F.collect_list(F.struct("s_suppkey", F.struct(F.col("service").alias("name"),
+                                                                                  F.col("type")).alias("svc")))).alias("ss")))
+    folder_docs = listing.select("folder", "page", F.to_json(F.struct(
+        F.transform("ss", lambda x: x["svc"]).alias("services"))).alias("json"))
+    lay = F.array(
+        F.struct(F.lit(0).alias("id"), F.lit("Parcels").alias("name"), F.lit("esriGeometryPolygon").alias("geometryType")),
+        F.struct(F.lit(1).alias("id"), F.lit(None).cast("string").alias("name"), F.lit("esriGeometryPoint").alias("geometryType")),
+        F.struct(F.lit(2).alias("id"), F.lit("Imagery").alias("name"), F.lit("esriGeometryRaster").alias("geometryType")))
+    layer_docs = s.select(F.concat(F.lit("https://host/"), F.col("service"), F.lit("/"), F.col("type")).alias("service_url"),
+                          F.to_json(F.struct(lay.alias("layers"))).alias("json"))
+    layers = RD.discover("https://host", folder_docs, layer_docs)
+    ranked = (layers.withColumn("pref_rank", R.preferred_rank(F.col("url"), SUPPLIER_PREFERRED))
+              .where(F.col("pref_rank").isNotNull()).withColumn("slug", TX.slug(F.col("name")))
+              .where(FL.non_empty("slug")))
+    return R.first_by_rank(ranked, "slug", [F.col("pref_rank"), F.col("ordinal")]).select("url", "name", "slug", "pref_rank")
