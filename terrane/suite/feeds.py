@@ -381,3 +381,31 @@ def discovery_suppliers(spark, sf_dir):
               .where(F.col("pref_rank").isNotNull()).withColumn("slug", TX.slug(F.col("name")))
               .where(FL.non_empty("slug")))
     return R.first_by_rank(ranked, "slug", [F.col("pref_rank"), F.col("ordinal")]).select("url", "name", "slug", "pref_rank")
+
+
+@query("manifest_suppliers", "S21 P1 X1", """
+with e as (
+  select lower(n_name) || ':' || s_name as key, 'Layer of ' || s_name as title,
+    'https://host/' || n_name || '/MapServer/' || cast(s_suppkey as varchar) as url,
+    case when s_suppkey % 4 = 0 then 'see notes' end as note
+  from supplier join nation on s_nationkey = n_nationkey
+)
+select key, title, url, note, regexp_replace(lower(regexp_replace(key, '[^A-Za-z0-9]+', '_', 'g')), '^_|_$', '', 'g') as table_name
+from e
+""")
+def manifest_suppliers(spark, sf_dir):
+    """Manifest documents (per nation and page of 1,000 suppliers) -> entries
+    -> table names by slug."""
+    from terrane.functions import text as TX
+    sup = X.table(spark, sf_dir, "supplier")
+    nat = X.table(spark, sf_dir, "nation")
+    e = sup.join(nat, sup.s_nationkey == nat.n_nationkey).select(
+        "n_name", F.floor(F.col("s_suppkey") / 1000).alias("page"),
+        F.struct(F.concat(F.lower("n_name"), F.lit(":"), F.col("s_name")).alias("key"),
+                 F.concat(F.lit("Layer of "), F.col("s_name")).alias("title"),
+                 F.concat(F.lit("https://host/"), F.col("n_name"), F.lit("/MapServer/"),
+                          F.col("s_suppkey").cast("string")).alias("url"),
+                 F.when(F.pmod("s_suppkey", F.lit(4)) == 0, F.lit("see notes")).alias("note")).alias("e"))
+    docs = e.groupBy("n_name", "page").agg(F.to_json(F.struct(F.collect_list("e").alias("external_arcgis"))).alias("json"))
+    entries = RD.manifest_entries(docs.select(F.from_json("json", RD.MANIFEST).alias("m")))
+    return entries.select("key", "title", "url", "note", TX.slug("key").alias("table_name"))
