@@ -180,7 +180,9 @@ QUAKE_FEED = T.StructType([T.StructField("event_id", T.LongType()), T.StructFiel
                            T.StructField("batch", T.IntegerType())])
 
 
-@query("live_feed_refresh", "T1 K1 K3")
+@query("live_feed_refresh", "T1 K1 K3", with_fixtures("""
+select event_id, magnitude, lon, lat, 2 as batch from fx_quakes
+""", "fx_quakes"))
 def live_feed_refresh(spark, sf_dir):
     """Feed files land in two drops; an availableNow file stream (one
     checkpoint across both runs) replaces the layer from each drop and

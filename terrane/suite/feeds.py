@@ -155,7 +155,12 @@ def category_intersect(spark, sf_dir):
     return R.intersect_ordered(order, present, "schema_name", "position")
 
 
-@query("api_group_load", "P3 K1 K2")
+@query("api_group_load", "P3 K1 K2", with_fixtures("""
+select 'apis.usgs_earthquakes' as layer, 'map+db' as target, count(*) as n, count(*) as catalog_n from fx_quakes
+union all select 'apis.purpleair', 'map+db', count(*), count(*) from fx_points where lon is not null
+union all select 'apis.nasa_firms', 'map+db', count(*), count(*) from fx_points where lon is not null
+union all select 'apis.epa_frs_facilities', 'db', count(distinct l_orderkey), count(distinct l_orderkey) from lineitem
+""", "fx_quakes", "fx_points"))
 def api_group_load(spark, sf_dir):
     """API group load: each source's payload through its reader / normaliser
     into the store (point sources as layers, tabular ones as tables)."""
