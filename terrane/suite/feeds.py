@@ -184,7 +184,23 @@ def api_group_load(spark, sf_dir):
     return out.join(cat, "layer")
 
 
-@query("schools_load", "P4 F8 J2 S25")
+def _schools_sql():
+    from terrane.suite import tables as TB  # noqa: F401  (registers enrollment_totals)
+    from terrane.registry import REGISTRY
+    enr = REGISTRY["enrollment_totals"].sql
+    b = CITY_BBOX
+    return with_fixtures(f"""
+, ids as (select geoid from fx_tracts where regionkey = 1)
+select 'school_districts' as layer, count(*) as n from ids
+union all select 'school_districts_region', count(*) from fx_tracts
+  where xmin <= {n_(b.xmax)} and xmax >= {n_(b.xmin)} and ymin <= {n_(b.ymax)} and ymax >= {n_(b.ymin)}
+union all select 'public_schools_districts', count(*) from fx_points
+  where lon is not null and lpad(cast(id % 25 as varchar), 11, '0') in (select geoid from ids)
+union all select 'enrollment_districts', (select count(*) from ({enr}))
+""", "fx_tracts", "fx_points")
+
+
+@query("schools_load", "P4 F8 J2 S25", _schools_sql())
 def schools_load(spark, sf_dir):
     """Schools group: district polygons by id list and by region, school
     points by district id list, enrollment rows; written through the store."""
