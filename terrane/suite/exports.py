@@ -207,7 +207,16 @@ def live_feed_refresh(spark, sf_dir):
 PAGE_FEATURES = 1000
 
 
-@query("group_load_snapshot", "P1 K1 K2 K5 K6 K10 P13 A3")
+@query("group_load_snapshot", "P1 K1 K2 K5 K6 K10 P13 A3", with_fixtures("""
+, c as (
+  select n.n_regionkey as r, count(*) as n from fx_points p join customer cu on p.id = cu.c_custkey
+  join nation n on n.n_nationkey = cu.c_nationkey where p.lon is not null and p.lat is not null group by 1
+)
+select 'external.region_' || cast(r as varchar) as layer, n, '' as detail from c
+union all select 'external.region_missing', cast(0 as bigint), 'read: AnalysisException'
+union all select 'external__region_' || cast(r as varchar), n, 'geojson' from c
+union all select 'catalog', (select count(*) from c) + 1, 'json'
+""", "fx_points"))
 def group_load_snapshot(spark, sf_dir):
     """External group load from landed per-region GeoJSON pages (one entry has
     no payload: recorded as failed and registered with 0 features), then the
