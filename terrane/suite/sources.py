@@ -257,7 +257,10 @@ def layer_discovery(spark, sf_dir):
     return best.select("url", "name", "slug", "pref_rank")
 
 
-@query("filter_columns_points", "S24 F13")
+@query("filter_columns_points", "S24 F13", """
+select 1 as ordinal, 'feature_id' as column_name union all select 2, 'name' union all select 3, 'category'
+union all select 4, 'val' union all select 5, 'lon' union all select 6, 'lat'
+""")
 def filter_columns_points(spark, sf_dir):
     """Columns the filter builder offers for the point layer (ordinal order)."""
     layer = X.points_layer(spark, sf_dir)
