@@ -37,7 +37,7 @@ CITY_BBOX = BBox(-71.668185, 43.151772, -71.456903, 43.309419)
 REGION_BBOX = BBox(-71.95, 42.95, -71.30, 43.50)
 CENTROID = (-71.538, 43.207)
 DOWNTOWN = (-71.5374, 43.2069)
-SCHOOL_DISTRICT_IDS = {"concord": "3302460", "merrimack_valley": "3304760"}
+SCHOOL_DISTRICT_IDS = {"city": "3302460", "valley": "3304760"}
 FIPS = {"state": "33", "county": "013"}
 CITY_ENTITY_ID = "Q28249"
 SCHEMAS = ("city", "external", "osm", "apis", "schools", "business", "knowledge", "web")

@@ -23,10 +23,9 @@ def test_nice_label(spark):
 
 
 def test_wiki_url(spark):
-    got = _one(spark, TX.wiki_url, ["Concord, New Hampshire", "NHTI – Concord's Community College",
-                                    "Already%20encoded"])
-    assert got == ["https://en.wikipedia.org/wiki/Concord,_New_Hampshire",
-                   "https://en.wikipedia.org/wiki/NHTI_%E2%80%93_Concord's_Community_College",
+    got = _one(spark, TX.wiki_url, ["Springfield, Ohio", "Café – O'Brien's (Annex)", "Already%20encoded"])
+    assert got == ["https://en.wikipedia.org/wiki/Springfield,_Ohio",
+                   "https://en.wikipedia.org/wiki/Caf%C3%A9_%E2%80%93_O'Brien's_(Annex)",
                    "https://en.wikipedia.org/wiki/Already%20encoded"]
 
 
