@@ -85,3 +85,17 @@ def test_flatten_lists(spark):
                                "id int, xs array<double>, m map<string,int>")
     got = {r.id: (r.xs, r.m) for r in C.flatten_lists(df, geom=None).collect()}
     assert got == {1: ("1.5; NA", "a=1"), 2: (None, None), 3: (None, None), 4: ("0.0001", "b=2")}
+
+
+def test_discover_layers_plan(spark):
+    rows = [("u/Other/MapServer/0", "Parcels", "MapServer", 1),
+            ("u/CityGeneral/MapServer/0", "Parcels", "MapServer", 2),
+            ("u/Public/FeatureServer/0", "Parcels", "FeatureServer", 3),
+            ("u/Public/FeatureServer/1", "Zoning (All)", "FeatureServer", 4),
+            ("u/Public/FeatureServer/1", "Zoning (All)", "FeatureServer", 5),
+            ("u/Public/ImageServer/0", "Imagery", "ImageServer", 6),
+            ("u/CityGeneral/MapServer/9", "___", "MapServer", 7)]
+    df = spark.createDataFrame(rows, "url string, name string, type string, ordinal int")
+    out = {r.slug: (r.url, r.pref_rank) for r in R.discover_layers(df, ["Public/", "CityGeneral/"]).collect()}
+    # not preferred -> dropped; best rank wins the shared slug; empty slug dropped
+    assert out == {"parcels": ("u/Public/FeatureServer/0", 1), "zoning_all": ("u/Public/FeatureServer/1", 1)}
