@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -55,15 +56,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all "
+                               "executors share; a driver-local folder can't be read by executors")
         d = tempfile.mkdtemp(prefix="terrane-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
+    ship_package(spark)
     return d
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per session, so that
+    functions that run there find it whatever folder the driver started in."""
+    sc = spark.sparkContext
+    if getattr(sc, "_terrane_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="terrane-package-")
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "terrane"), "zip",
+                                     os.path.dirname(root), os.path.basename(root)))
+    sc._terrane_shipped = True
+
+
 def shared_dir(spark: SparkSession, name: str | None = None) -> str:
-    """A fresh sub-folder of the shared checkpoint folder (never machine-local
-    on a cluster, since the folder comes from the session)."""
+    """A fresh sub-folder of the shared checkpoint folder; on a cluster the
+    session names that folder, and without it this raises."""
     base = ensure_checkpoint_dir(spark)
     sub = f"{name or 'scratch'}-{uuid.uuid4().hex[:12]}"
     if "://" in base:
