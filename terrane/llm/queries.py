@@ -10,9 +10,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from terrane.llm.bpe import bpe_roundtrip_digests
-from terrane.llm.common import documents
+from terrane.llm.common import documents, table
 from terrane.llm.exact import exact_decisions
+from terrane.llm.packing import pack_documents
+from terrane.llm.quality import classify
 from terrane.llm.sharding import shard_documents
+from terrane.llm.topk import exact_topk
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -28,6 +31,21 @@ def op2_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_roundtrip_digests(documents(spark, sf_dir), BYTE_BPE)
 
 
+def op4_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1,024 ids."""
+    return pack_documents(documents(spark, sf_dir), BYTE_BPE)
+
+
+def op5_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best other vectors of every 20th vector, exactly."""
+    return exact_topk(table(spark, sf_dir, "embeddings")).select("query_id", "rank", "vec_id", "score")
+
+
+def op9_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by the factorisation machine."""
+    return classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op7_digest_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies of every document by the digest index."""
     return exact_decisions(documents(spark, sf_dir)).select(
@@ -36,9 +54,22 @@ def op7_digest_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_rendezvous_sharding, op2_pair_index_bpe, op7_digest_index_dedup)}
+        op1_rendezvous_sharding, op2_pair_index_bpe, op4_certified_packing, op5_block_topk,
+        op7_digest_index_dedup, op9_factorisation_quality)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_block_topk": """
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT::DOUBLE) AS v
+          FROM embeddings
+          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+          SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+          FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+               vec_id, score
+        FROM s QUALIFY rank <= 20""",
     "op7_digest_index_dedup": r"""
         WITH d AS (
           SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h
