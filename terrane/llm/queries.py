@@ -13,6 +13,7 @@ from terrane.llm.bpe import bpe_roundtrip_digests
 from terrane.llm.common import documents, table
 from terrane.llm.exact import exact_decisions
 from terrane.llm.packing import pack_documents
+from terrane.llm.pii import span_report
 from terrane.llm.quality import classify
 from terrane.llm.sharding import shard_documents
 from terrane.llm.topk import exact_topk
@@ -41,6 +42,11 @@ def op5_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings")).select("query_id", "rank", "vec_id", "score")
 
 
+def op6_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, and the terms that reveal it."""
+    return span_report(documents(spark, sf_dir))
+
+
 def op9_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents by the factorisation machine."""
     return classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
@@ -55,7 +61,7 @@ def op7_digest_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_rendezvous_sharding, op2_pair_index_bpe, op4_certified_packing, op5_block_topk,
-        op7_digest_index_dedup, op9_factorisation_quality)}
+        op6_disclosure_pii, op7_digest_index_dedup, op9_factorisation_quality)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_block_topk": """
