@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from terrane.llm.bpe import bpe_roundtrip_digests
 from terrane.llm.common import documents, table
 from terrane.llm.exact import exact_decisions
+from terrane.llm.ngram_join import near_copy_components
 from terrane.llm.packing import pack_documents
 from terrane.llm.pii import span_report
 from terrane.llm.quality import classify
@@ -58,10 +59,15 @@ def op7_digest_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near copies among all documents."""
+    return near_copy_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_rendezvous_sharding, op2_pair_index_bpe, op4_certified_packing, op5_block_topk,
-        op6_disclosure_pii, op7_digest_index_dedup, op9_factorisation_quality)}
+        op6_disclosure_pii, op7_digest_index_dedup, op9_factorisation_quality, op10_adaptive_prefix_join)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_block_topk": """
