@@ -54,6 +54,12 @@ class FastIds:
             raise ValueError("vocabulary is not a byte-level BPE")
         pattern = r"[^\x01]*\x01" if self.marked else PairIndexBpe.BYTE_LEVEL
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        #: the file type of ids: two bytes where the vocabulary allows
+        self.kind = "<u2" if max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) < 2 ** 16 else "<u4"
+
+    def id_bytes(self, text: str) -> bytes:
+        """The ids as little-endian integers of ``kind``."""
+        return self.ids(text).astype(self.kind).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
         if self.special(text):

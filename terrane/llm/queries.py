@@ -17,6 +17,7 @@ from terrane.llm.packing import pack_documents
 from terrane.llm.pii import span_report
 from terrane.llm.quality import classify
 from terrane.llm.sharding import shard_documents
+from terrane.llm.tokenfile import token_file_report
 from terrane.llm.topk import exact_topk
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,6 +34,11 @@ def op2_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_roundtrip_digests(documents(spark, sf_dir), BYTE_BPE)
 
 
+def op3_perfect_hash_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written to token files and read back through the index."""
+    return token_file_report(documents(spark, sf_dir), WORD_BPE)
+
+
 def op4_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1,024 ids."""
     return pack_documents(documents(spark, sf_dir), BYTE_BPE)
@@ -66,7 +72,7 @@ def op10_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_rendezvous_sharding, op2_pair_index_bpe, op4_certified_packing, op5_block_topk,
+        op1_rendezvous_sharding, op2_pair_index_bpe, op3_perfect_hash_files, op4_certified_packing, op5_block_topk,
         op6_disclosure_pii, op7_digest_index_dedup, op9_factorisation_quality, op10_adaptive_prefix_join)}
 
 ORACLE_SQL: dict[str, str] = {
