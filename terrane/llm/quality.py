@@ -32,7 +32,7 @@ from terrane.llm.common import utf8_of
 SAMPLE_ROWS = 6_000       # labelled rows the machine is fitted on, at most
 WORD_SPACE = 1 << 14
 FACTORS = 8
-EPOCHS = 6
+UPDATES = 2_000           # gradient steps, whatever the size of the sample
 BINS = 8
 THRESHOLD = 0.3
 N_STATS = 16
@@ -102,7 +102,7 @@ class FactorisationMachine:
                    z["w"].astype(np.float64), z["v"].astype(np.float64))
 
     @classmethod
-    def fit(cls, texts: list[bytes], labels: np.ndarray, rate=0.1, decay=2e-5, batch=64) -> FactorisationMachine:
+    def fit(cls, texts: list[bytes], labels: np.ndarray, rate=0.1, decay=2e-5, batch=32) -> FactorisationMachine:
         """AdaGrad on the logistic loss; the order and start values are seeded."""
         docs = [statistics_and_words(t) for t in texts]
         stats = np.array([s for s, _ in docs])
@@ -116,7 +116,7 @@ class FactorisationMachine:
         share = np.clip(y.mean(), 0.01, 0.99)
         fm.w0 = float(np.log(share / (1 - share)))
         g0, gw, gv = 1.0, np.full(size, 1e-2), np.full((size, FACTORS), 1e-2)
-        for _ in range(EPOCHS):
+        for _ in range(max(1, UPDATES // -(-len(rows) // batch))):
             order = rng.permutation(len(rows))
             for lo in range(0, len(order), batch):
                 some = order[lo:lo + batch]
