@@ -81,58 +81,56 @@ def _valid(kind: str, match: Column) -> Column:
     return F.length(digits).between(9, 15)
 
 
-def _prefix_sums(lengths: Column) -> Column:
-    """Sums of all elements before each one, in blocks of 64: an array of
-    block totals first, then at most 63 more elements for each."""
-    n, block = F.size(lengths), 64
-    add = lambda a, x: a + x
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once: inside a lambda, any other
+    expression would be worked out anew for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _totals(lengths: Column, block: int) -> Column:
+    """Sums of all elements before each block of ``block`` elements."""
     zero = F.lit(0).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(block)),
+    add = lambda a, x: a + x
+    blocks = F.transform(F.sequence(F.lit(0), F.size(lengths) - 1, F.lit(block)),
                          lambda at: F.aggregate(F.slice(lengths, at + 1, F.lit(block)), zero, add))
-    totals = F.aggregate(blocks, F.array(zero),
-                         lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    return F.transform(lengths, lambda _, i: (
-        F.get(totals, (i / block).cast("int"))
-        + F.aggregate(F.slice(lengths, (i - i % block) + 1, i % block), zero, add)))
-
-
-def _matches(text: Column, pattern: str, needs: str | None, name: str) -> list[tuple[str, Column]]:
-    """Column definitions, in order, ending with ``name``: an array of
-    struct(start, end, match, before, after) of all matches; before and after
-    are the gaps around the match."""
-    there = text.rlike(needs) if needs else F.lit(True)
-    found, gaps = f"_{name}_found", f"_{name}_gaps"
-    ends = F.transform(F.arrays_zip(F.col(found).alias("m"), F.col(gaps).alias("g")),
-                       lambda x: F.coalesce(F.length(x["g"]), F.lit(0)) + F.coalesce(F.length(x["m"]), F.lit(0)))
-    return [
-        (found, F.when(there, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-         .otherwise(F.array().cast("array<string>"))),
-        (gaps, F.when(F.size(found) > 0, F.split(text, pattern, -1))),
-        (f"_{name}_sums", F.when(F.size(found) > 0, _prefix_sums(ends))),
-        (name, F.when(F.size(found) > 0, F.transform(F.col(found), lambda m, i: F.struct(
-            (F.get(f"_{name}_sums", i) + F.length(F.get(gaps, i))).alias("start"),
-            (F.get(f"_{name}_sums", i) + F.length(F.get(gaps, i)) + F.length(m)).alias("end"),
-            m.alias("match"), F.right(F.get(gaps, i), F.lit(CONTEXT)).alias("before"),
-            F.left(F.get(gaps, i + 1), F.lit(CONTEXT)).alias("after"))))
-         .otherwise(F.array().cast("array<struct<start:int,end:int,match:string,before:string,after:string>>"))),
-    ]
-
-
-def _define(df: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:
-    for name, column in steps:
-        df = df.withColumn(name, column)
-    return df
+    return F.aggregate(blocks, F.array(zero), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+
+
+_SPANS = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
+
+
+def _spans(text: Column, pattern: str, needs: str | None = None) -> Column:
+    """All matches as struct(start, end, match, before, after); before and
+    after are the gaps around a match. A start is the sum of the gaps and
+    matches before it, taken in blocks of 64 so that the work stays linear."""
+    block = 64
+    none = F.array().cast(_SPANS)
+
+    def placed(found, gaps, lens, sums):
+        def one(m, i):
+            inside = F.aggregate(F.slice(lens, (i - i % block) + 1, i % block), F.lit(0), lambda a, x: a + x)
+            start = F.get(sums, (i / block).cast("int")) + inside + F.length(F.get(gaps, i))
+            return _let(start, lambda at: F.struct(
+                at.alias("start"), (at + F.length(m)).alias("end"), m.alias("match"),
+                F.right(F.get(gaps, i), F.lit(CONTEXT)).alias("before"),
+                F.left(F.get(gaps, i + 1), F.lit(CONTEXT)).alias("after")))
+        return F.transform(found, one)
+
+    def with_gaps(found, gaps):
+        lens = F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))
+        return _let(lens, lambda n: _let(_totals(n, block), lambda sums: placed(found, gaps, n, sums)))
+
+    matched = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(
+        F.size(found) > 0, _let(F.split(text, pattern, -1), lambda gaps: with_gaps(found, gaps))).otherwise(none))
+    return F.when(text.rlike(needs), matched).otherwise(none) if needs else matched
 
 
 def base_spans(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` plus, per kind, an array _<kind> of its valid matches."""
     whole = text_or_empty(text)
-    for kind, pattern in KINDS.items():
-        name = f"_{kind}_all"
-        df = _define(df, _matches(whole, pattern, _NEEDS[kind], name))
-        df = df.withColumn(f"_{kind}", F.filter(F.col(name), lambda m: _valid(kind, m["match"])))
-        df = df.drop(name, *(f"_{name}_{x}" for x in ("found", "gaps", "sums")))
-    return df
+    return df.select("*", *[
+        F.filter(_spans(whole, pattern, _NEEDS[kind]), lambda m: _valid(kind, m["match"])).alias(f"_{kind}")
+        for kind, pattern in KINDS.items()])
 
 
 def _terms(text: Column) -> Column:
@@ -183,15 +181,15 @@ def with_spans(docs: DataFrame, generalise: float = GENERALISE, remove: float =
     held = materialize(found.groupBy("_digest").agg(
         F.map_from_entries(F.collect_set(F.struct("term", "ratio"))).alias("_ratios")), "pii-texts")
     out = base_spans(rows).join(held, "_digest", "left")
-    out = _define(out, _matches(F.when(F.col("_ratios").isNotNull(), text_or_empty()).otherwise(""),
-                                TERM, None, "_words"))
-    known = F.filter(F.col("_words"), lambda w: F.map_contains_key(F.col("_ratios"), F.lower(w["match"])))
-    return (out.withColumn("_terms", F.when(F.col("_ratios").isNotNull(), F.transform(known, lambda w: F.struct(
-                w["start"].alias("start"), w["end"].alias("end"), w["match"].alias("match"),
-                F.when(F.element_at(F.col("_ratios"), F.lower(w["match"])) >= remove - 1e-9, "removed")
-                .otherwise("generalised").alias("action"))))
-            .otherwise(F.array().cast("array<struct<start:int,end:int,match:string,action:string>>")))
-            .drop("_words", "__words_found", "__words_gaps", "__words_sums", "_ratios", "_digest"))
+    none = F.array().cast("array<struct<start:int,end:int,match:string,action:string>>")
+    known = F.filter(_spans(text_or_empty(), TERM),
+                     lambda w: F.map_contains_key(F.col("_ratios"), F.lower(w["match"])))
+    named = F.transform(known, lambda w: F.struct(
+        w["start"].alias("start"), w["end"].alias("end"), w["match"].alias("match"),
+        F.when(F.element_at(F.col("_ratios"), F.lower(w["match"])) >= remove - 1e-9, "removed")
+        .otherwise("generalised").alias("action")))
+    return (out.withColumn("_terms", F.when(F.col("_ratios").isNotNull(), named).otherwise(none))
+            .drop("_ratios", "_digest"))
 
 
 def _tagged(kind: str) -> Column:
