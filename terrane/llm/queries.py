@@ -16,6 +16,7 @@ from terrane.llm.ngram_join import near_copy_components
 from terrane.llm.packing import pack_documents
 from terrane.llm.pii import span_report
 from terrane.llm.quality import classify
+from terrane.llm.repeats import removal_report
 from terrane.llm.sharding import shard_documents
 from terrane.llm.tokenfile import token_file_report
 from terrane.llm.topk import exact_topk
@@ -54,6 +55,12 @@ def op6_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_report(documents(spark, sf_dir))
 
 
+def op8_suffix_family_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 50 bytes that a document with a smaller id holds, removed
+    from all documents."""
+    return removal_report(documents(spark, sf_dir))
+
+
 def op9_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents by the factorisation machine."""
     return classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
@@ -73,7 +80,7 @@ def op10_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_rendezvous_sharding, op2_pair_index_bpe, op3_perfect_hash_files, op4_certified_packing, op5_block_topk,
-        op6_disclosure_pii, op7_digest_index_dedup, op9_factorisation_quality, op10_adaptive_prefix_join)}
+        op6_disclosure_pii, op7_digest_index_dedup, op8_suffix_family_repeats, op9_factorisation_quality, op10_adaptive_prefix_join)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_block_topk": """
