@@ -10,10 +10,23 @@ from pyspark.sql import functions as F
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Rows of an Arrow batch: batches hold whole texts, and a worker holds a few
+#: batches at a time.
+BATCH_ROWS = 1_000
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts small in this session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

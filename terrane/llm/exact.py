@@ -66,7 +66,8 @@ def batch_groups(rows: DataFrame) -> DataFrame:
             .select("digest", F.col("f.id").alias("keep_id"), F.col("f.row").alias("keep_row")))
 
 
-def exact_decisions(docs: DataFrame, index: DigestIndex | None = None, batches: int = 2) -> DataFrame:
+def exact_decisions(docs: DataFrame, index: DigestIndex | None = None, batches: int = 2,
+                    row_id: str | None = None) -> DataFrame:
     """doc_id, row_id, keep_id, group_size, kept, text_sha256 of every row.
 
     The rows enter the index as ``batches`` ranges of ascending ids, so that
@@ -74,9 +75,9 @@ def exact_decisions(docs: DataFrame, index: DigestIndex | None = None, batches:
     the scan's own row number, stable for a stored table. Each later join has
     a stored table on either side, which lets Spark split a hot digest."""
     spark = docs.sparkSession
-    rows = materialize(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"),
-        F.monotonically_increasing_id().alias("row_id")), "digests")
+    number = F.monotonically_increasing_id() if row_id is None else F.col(row_id)
+    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"),
+                                   number.alias("row_id")), "digests")
     if index is None:
         index = DigestIndex(spark, shared_dir(spark, "digest-index"), fanout(spark))
     cuts = rows.agg(F.percentile_approx(
@@ -99,7 +100,12 @@ def exact_decisions(docs: DataFrame, index: DigestIndex | None = None, batches:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows of which an earlier equal text stays."""
-    gone = materialize(exact_decisions(docs).filter(~F.col("kept")).select("row_id"), "copies")
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.join(gone, numbered["__row"] == gone["row_id"], "left_anti").drop("__row")
+    """``docs`` without the rows of which an earlier equal text stays. The
+    numbered rows are stored first, so that a row keeps its number whatever
+    order the input comes in when it is read again."""
+    numbered = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("input"),
+                                       F.monotonically_increasing_id().alias("number")), "numbered")
+    gone = materialize(exact_decisions(numbered.select("input.doc_id", "input.text", "number"), row_id="number")
+                       .filter(~F.col("kept")).select("row_id"), "copies")
+    return (numbered.join(gone, numbered["number"] == gone["row_id"], "left_anti")
+            .select(*[F.col("input").getField(c).alias(c) for c in docs.columns]))

@@ -11,11 +11,12 @@ sizes leave necessary beyond the longer of the two rests. Candidates are
 verified on the whole sets.
 
 Hot groups. Equal sets are one node from the start. Of the nodes that share a
-shingle, each is first compared with one pivot, the smallest; verified links
-make stars. After that only pairs between different stars are left to compare,
-and of these only pairs with one side outside the token's largest star are
-made. A group of thousands of near copies so costs about one comparison per
-copy and shingle, and no link between different stars is missed.
+shingle, each is first compared with one pivot, the least changed; verified
+links make stars. After that only pairs between different stars are left to
+compare, and of these only pairs with one side outside the token's largest star
+are made, at tokens whose rank allows the shared number. A group of thousands
+of near copies so costs about one comparison per copy and shingle, and no link
+between different stars is missed.
 
 Shingles and sets are compared by 64-bit hashes.
 
@@ -33,7 +34,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.llm.common import fanout, mix64, utf8_of
@@ -233,7 +234,8 @@ def _opened(data: bytes):
 
 
 def shared_postings(docs: DataFrame, sketch: np.ndarray, hot: int = HOT) -> DataFrame:
-    """token, node, n, l of the prefix tokens that two nodes or more share."""
+    """token, node, n, l, df, rank, s of the prefix tokens that ``df`` > 1 nodes
+    share; the node has ``s`` of them, and ``rank`` more frequent ones."""
     made = materialize(_postings(docs, sketch, hot), "postings")
 
     def meet(t: pa.Table) -> pa.Table:
@@ -244,24 +246,29 @@ def shared_postings(docs: DataFrame, sketch: np.ndarray, hot: int = HOT) -> Data
         token, rest = token[order], rest[order]
         fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (rest[1:, 0] != rest[:-1, 0])))
         token, rest = token[fresh], rest[fresh]
-        same = token[1:] == token[:-1]
-        keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        token, rest = token[keep], rest[keep]
-        return pa.table({"token": pa.array(token.astype(np.int64)),
-                         **{c: pa.array(rest[:, i]) for i, c in enumerate(("node", "n", "l"))}})
+        _, where, df = np.unique(token, return_inverse=True, return_counts=True)
+        keep = df[where] > 1
+        return pa.table({"token": pa.array(token[keep].astype(np.int64)),
+                         **{c: pa.array(rest[keep, i]) for i, c in enumerate(("node", "n", "l"))},
+                         "df": pa.array(df[where][keep])})
 
     quiet = (made.filter(F.col("bucket").isNotNull()).select("bucket", "data").groupBy("bucket")
-             .applyInArrow(meet, "token long, node long, n long, l long"))
-    loud = made.filter(F.col("token").isNotNull()).select("token", "node", "n", "l").distinct()
-    return quiet.unionByName(loud)
-
-
-def _may_link(shared):
-    """Condition on n_a, l_a, n_b, l_b and the number of shared prefix tokens."""
+             .applyInArrow(meet, "token long, node long, n long, l long, df long"))
+    loud = materialize(made.filter(F.col("token").isNotNull()).select("token", "node", "n", "l").distinct(), "loud")
+    held = materialize(loud.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "loud-tokens")
+    met = materialize(quiet.unionByName(loud.join(held, "token").select("token", "node", "n", "l", "df")), "met")
+    # a node's shared tokens, the most frequent first: as many as a text has
+    frequent = Window.partitionBy("node").orderBy(F.desc("df"), "token")
+    return (met.withColumn("rank", F.row_number().over(frequent) - 1)
+            .withColumn("s", F.count("*").over(Window.partitionBy("node"))))
+
+
+def _least_shared():
+    """Prefix tokens that a and b must share, from n_a, l_a, n_b, l_b."""
     need = lambda n: F.ceil(F.col(n) * PERCENT / 100)
     both = F.ceil((F.col("n_a") + F.col("n_b")) * PERCENT / (100 + PERCENT))
     rest = F.greatest(need("n_a") - F.col("l_a"), need("n_b") - F.col("l_b"))
-    return shared >= F.greatest(F.least("l_a", "l_b"), both - rest)
+    return F.greatest(F.least("l_a", "l_b"), both - rest)
 
 
 def _sizes_fit():
@@ -304,38 +311,50 @@ def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
 
 
 def _star_links(shared: DataFrame, docs: DataFrame, owners: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Verified links of nodes with the smallest node that shares a token."""
-    pivots = materialize(shared.groupBy("token").agg(F.min("node").alias("a")), "pivots")
+    """Verified links of nodes with a pivot of a token: the node that has the
+    fewest prefix tokens to itself, as the least changed copy of a group has."""
+    own = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + F.col("l")) - F.col("s")
+    pivots = materialize(shared.groupBy("token").agg(F.min(F.struct(own.alias("own"), "node")).alias("p"))
+                         .select("token", F.col("p.node").alias("a")), "pivots")
     near = (shared.select("token", F.col("node").alias("b")).join(pivots, "token").filter("a <> b")
             .groupBy("a", "b").agg(F.count("*").alias("c")))
-    pairs = (near.join(nodes.select(*(F.col(x).alias(f"{x}_b" if x != "node" else "b") for x in nodes.columns)), "b")
-             .join(nodes.select(*(F.col(x).alias(f"{x}_a" if x != "node" else "a") for x in nodes.columns)), "a")
-             .filter(_sizes_fit() & _may_link(F.col("c"))).select("a", "b"))
+    pairs = _with_sizes(near, nodes).filter(_sizes_fit() & (F.col("c") >= _least_shared())).select("a", "b")
     return verified(materialize(pairs, "star-pairs"), docs, owners)
 
 
-def _cross_links(shared: DataFrame, stars: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
-    """Verified links between nodes of different stars."""
+def _with_sizes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    for side in "ba":
+        pairs = pairs.join(nodes.select(*(F.col(x).alias(side if x == "node" else f"{x}_{side}")
+                                          for x in nodes.columns)), side)
+    return pairs
+
+
+def _cross_links(shared: DataFrame, stars: DataFrame, docs: DataFrame, owners: DataFrame,
+                 nodes: DataFrame) -> DataFrame:
+    """Verified links between nodes of different stars.
+
+    Two nodes that must share k prefix tokens have a rarest shared token with
+    k - 1 more frequent ones at least before it in both: a pair is made only
+    at tokens whose rank allows that, which the frequent tokens do not."""
     placed = materialize(shared.join(stars, "node", "left").withColumn("star", F.coalesce("star", "node")), "placed")
     per = placed.groupBy("token", "star").agg(F.count("*").alias("m"))
-    mixed = materialize(per.groupBy("token").agg(F.max_by("star", F.struct("m", "star")).alias("main"),
-                                                 F.count("*").alias("k")).filter("k > 1").select("token", "main"),
-                        "mixed")
+    mixed = materialize(per.groupBy("token").agg(F.max(F.struct("m", "star")).alias("p"), F.count("*").alias("k"))
+                        .filter("k > 1").select("token", F.col("p.star").alias("main")), "mixed")
     member = materialize(placed.join(mixed, "token"), "members")
     side = lambda s: member.select("token", "main", *(
-        F.col(x).alias(f"{x}_{s}") for x in ("node", "n", "l", "star")))
+        F.col(x).alias(f"{x}_{s}") for x in ("node", "n", "l", "rank", "star")))
     left, right = side("a").filter("star_a <> main").drop("main"), side("b")
     made = left.join(right, "token").filter(
         (F.col("star_a") != F.col("star_b")) & ((F.col("star_b") == F.col("main")) | (F.col("node_a") < F.col("node_b")))
-        & _sizes_fit())
-    a, b = F.col("node_a") < F.col("node_b"), F.least("node_a", "node_b")
-    pick = lambda x, low: F.when(a == F.lit(low), F.col(f"{x}_a")).otherwise(F.col(f"{x}_b"))
-    pairs = (made.select(b.alias("a"), F.greatest("node_a", "node_b").alias("b"),
-                         pick("n", True).alias("n_a"), pick("l", True).alias("l_a"),
-                         pick("n", False).alias("n_b"), pick("l", False).alias("l_b"))
-             .groupBy("a", "b", "n_a", "l_a", "n_b", "l_b").agg(F.count("*").alias("c"))
-             .filter(_may_link(F.col("c"))).select("a", "b"))
-    return verified(materialize(pairs, "cross-pairs"), docs, owners)
+        & _sizes_fit() & (F.least("rank_a", "rank_b") + 1 >= _least_shared()))
+    pairs = materialize(made.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+                        .distinct(), "cross-made")
+    tokens = materialize(shared.groupBy("node").agg(F.collect_set("token").alias("tokens")), "node-tokens")
+    both = pairs.join(tokens.select(F.col("node").alias("a"), F.col("tokens").alias("t_a")), "a")
+    both = materialize(both, "cross-a").join(tokens.select(F.col("node").alias("b"), F.col("tokens").alias("t_b")), "b")
+    counted = both.select("a", "b", F.size(F.array_intersect("t_a", "t_b")).alias("c"))
+    chosen = _with_sizes(materialize(counted, "cross-counted"), nodes).filter(F.col("c") >= _least_shared())
+    return verified(materialize(chosen.select("a", "b"), "cross-pairs"), docs, owners)
 
 
 def near_copy_components(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -352,7 +371,7 @@ def near_copy_components(docs: DataFrame, hot: int = HOT) -> DataFrame:
     up = materialize(star.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("star")), "stars-1")
     over = up.select(F.col("node").alias("star"), F.col("star").alias("top"))
     stars = materialize(up.join(over, "star", "left").select("node", F.coalesce("top", "star").alias("star")), "stars")
-    cross = materialize(_cross_links(shared, stars, docs, owners), "cross-links")
+    cross = materialize(_cross_links(shared, stars, docs, owners, nodes), "cross-links")
     # components of whole stars: links within a star are contracted
     at = lambda c: stars.select(F.col("node").alias(c), F.col("star").alias(f"star_{c}"))
     links = (star.unionByName(cross).join(at("a"), "a", "left").join(at("b"), "b", "left")
@@ -374,4 +393,4 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     found = materialize(near_copy_components(docs), "components")
     gone = materialize(found.filter((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id")))
                        .select(F.col("doc_id").alias("gone")).distinct(), "near-copies")
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")

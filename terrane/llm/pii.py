@@ -20,8 +20,8 @@ matches and of the gaps between them, in code points.
 
 Edge cases: null and empty texts have no spans; copies of a text count once
 and repeated rows get the same spans; a corpus without personal data adds no
-term; empty tables give no rows; other columns pass through (``sanitise``) or
-play no part. Patterns use possessive repeats, so very long digit or letter
+term; empty tables give no rows; other columns, whatever their names, pass
+through (``sanitise``) or play no part. Patterns use possessive repeats, so very long digit or letter
 runs neither recurse nor backtrack.
 """
 
@@ -219,7 +219,9 @@ def span_report(docs: DataFrame) -> DataFrame:
 def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     """``docs`` with base spans replaced by their kind in brackets, generalised
     terms by ``[word]`` and removed terms by nothing; a null text stays null."""
-    s = with_spans(docs, **thresholds)
+    # the input's columns travel in one struct: whatever their names, none clashes
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_input"), "text")
+    s = with_spans(packed, **thresholds)
     tagged = F.concat(
         *[_tagged(k) for k in KINDS],
         F.transform(F.col("_terms"), lambda m: F.struct(
@@ -238,4 +240,5 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     clean = F.when(F.size("_tags") > 0, F.concat(
         F.col("_done.out"), F.substr(F.col("text"), F.col("_done.at") + 1, F.length("text")))).otherwise(F.col("text"))
     out = s.withColumn("text", F.when(F.col("text").isNotNull(), clean))
-    return out.select(*docs.columns)
+    return out.select(*[F.col("text") if c == "text" else F.col("_input").getField(c).alias(c)
+                        for c in docs.columns])

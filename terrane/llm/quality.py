@@ -13,7 +13,8 @@ The machine is fitted in one task on a bounded sample of labelled rows
 
 Edge cases: null and empty texts are scored by their (empty) statistics; rows
 without labels are scored like all others; with no labelled rows at all every
-score is 0.5; repeated rows get repeated results; an empty table gives none.
+score is 0.5; repeated rows get repeated results; an empty table gives none;
+columns of the input named score or predicted are replaced, others pass.
 """
 
 from __future__ import annotations
@@ -175,9 +176,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
 def quality_scores(docs: DataFrame, model: bytes | None, keep_text: bool = True) -> DataFrame:
     """``docs`` (with or without its text) plus score and predicted; Arrow
     batches go through the machine."""
-    kept = [f for f in docs.schema.fields if keep_text or f.name != "text"]
+    own = {"score", "predicted", *([] if keep_text else ["text"])}
+    kept = [f for f in docs.schema.fields if f.name not in own]
     schema = T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     text_at = docs.columns.index("text")
+    places = [docs.columns.index(f.name) for f in kept]
     names = [f.name for f in kept]
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -186,7 +189,7 @@ def quality_scores(docs: DataFrame, model: bytes | None, keep_text: bool = True)
         for b in batches:
             scores = [fm.score(*statistics_and_words(t)) if fm else 0.5 for t in utf8_of(b.column(text_at))]
             yield pa.RecordBatch.from_arrays(
-                [*(c for i, c in enumerate(b.columns) if keep_text or i != text_at), pa.array(scores, pa.float64()),
+                [*(b.column(i) for i in places), pa.array(scores, pa.float64()),
                  pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())],
                 [*names, "score", "predicted"])
 

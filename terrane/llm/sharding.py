@@ -43,7 +43,7 @@ def rendezvous(key: Column, weights: list[float], seed: int = 0) -> tuple[Column
 def assign_shards(docs: DataFrame, key: str, weights: list[float], added_weight: float = 1.0,
                   seed: int = 0) -> DataFrame:
     """``docs`` plus shard and grown_shard (the shard once another one of
-    ``added_weight`` is there)."""
+    ``added_weight`` is there); columns of these names are replaced."""
     shard, score = rendezvous(F.col(key), weights, seed)
     n = len(weights)
     out = docs.withColumn("_best", F.struct(shard.alias("shard"), score.alias("score")))
