@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 # Layer categories (schema -> label, colour) in display order.
 CATEGORIES = {
-    "city": ("City of Concord", "#2563eb"),
+    "city": ("City", "#2563eb"),
     "schools": ("Schools", "#dc2626"),
     "business": ("Business", "#db2777"),
     "osm": ("OpenStreetMap", "#7c3aed"),

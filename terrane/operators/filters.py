@@ -32,11 +32,14 @@ def parse_number(val: str) -> float | None:
     return float(v) if _NUMERIC.match(v) else None
 
 
-def build_filter(col: str, op: str, value: str | None = None) -> Column:
+def build_filter(col: str, op: str, value: str | None = None, dtype: T.DataType | None = None) -> Column:
     """one (column, operator, value) condition. The value is trimmed;
     LIKE / ILIKE wrap it as %value% (its own % and _ stay wildcards); null
     tests ignore the value. Identifiers are quoted, values are literals, so no
-    SQL text is assembled."""
+    SQL text is assembled. A value that parses as a number compares as a
+    number with a numeric column and as a string with a text column; without
+    the column's ``dtype``, row by row, as a number where the row's value is
+    one. Any other value compares as a string."""
     if op not in FILTER_OPS:
         raise ValueError(f"unsupported operator {op!r}")
     c = F.col(f"`{col}`")
@@ -50,27 +53,37 @@ def build_filter(col: str, op: str, value: str | None = None) -> Column:
     if op == "ILIKE":
         return c.cast("string").ilike(f"%{v}%")
     num = parse_number(v)
-    lit = F.lit(num) if num is not None else F.lit(v)
-    return {"=": c == lit, "!=": c != lit, ">": c > lit, "<": c < lit,
-            ">=": c >= lit, "<=": c <= lit}[op]
+
+    def compare(left, lit):
+        return {"=": left == lit, "!=": left != lit, ">": left > lit, "<": left < lit,
+                ">=": left >= lit, "<=": left <= lit}[op]
+
+    as_text = compare(c.cast("string"), F.lit(v))
+    if num is None or isinstance(dtype, T.StringType):
+        return as_text
+    if isinstance(dtype, T.NumericType):
+        return compare(c, F.lit(num))
+    as_number = c.cast("string").try_cast("double")
+    return F.when(as_number.isNotNull(), compare(as_number, F.lit(num))).otherwise(as_text)
+
+
+def padded_key(c: Column, width: int | None) -> Column:
+    """A key as text, left-padded with zeros to ``width``; longer keys stay
+    whole (lpad would cut them)."""
+    c = c.cast("string")
+    return F.when(F.length(c) < width, F.lpad(c, width, "0")).otherwise(c) if width else c
 
 
 def in_list(col: str, ids: list[str], width: int | None = None) -> Column:
     """F8: key in a literal id list, keys normalised to text (left-padded)."""
-    c = F.col(col).cast("string")
-    if width:
-        c = F.lpad(c, width, "0")
-    return c.isin(list(ids))
+    return padded_key(F.col(col), width).isin(list(ids))
 
 
 def semi_filter(df: DataFrame, keys: DataFrame, col: str, key_col: str,
                 width: int | None = None) -> DataFrame:
     """F8 with a key table: a left-semi join on text-normalised keys."""
-    def norm(c):
-        c = F.col(c).cast("string")
-        return F.lpad(c, width, "0") if width else c
-    k = keys.select(norm(key_col).alias("__k")).distinct()
-    return df.withColumn("__k", norm(col)).join(k, "__k", "left_semi").drop("__k")
+    k = keys.select(padded_key(F.col(key_col), width).alias("__k")).distinct()
+    return df.withColumn("__k", padded_key(F.col(col), width)).join(k, "__k", "left_semi").drop("__k")
 
 
 def catalog_listing(catalog: DataFrame, exclude: tuple[tuple[str, str], ...] = (("external", "usa_structures"),)) -> DataFrame:

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.operators.filters import padded_key
 from terrane.functions import text as TX
 from terrane.session import materialize
 
@@ -36,9 +37,11 @@ def first_per_key(df: DataFrame, key: str | list[str], order: list[str],
     ordinal); a null key is a key. ``min(struct(order..., cols...))`` is a
     partial aggregate, so a hot key costs one row per map task."""
     keys = [key] if isinstance(key, str) else list(key)
-    s = F.min(F.struct(*[F.col(o) for o in order], *[F.col(c) for c in cols])).alias("__f")
+    # own field names: a column may be both in the order and in the result
+    s = F.min(F.struct(*[F.col(f"`{o}`").alias(f"o{i}") for i, o in enumerate(order)],
+                       *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])).alias("__f")
     g = df.groupBy(*keys).agg(s)
-    return g.select(*keys, *[F.col(f"__f.{c}").alias(c) for c in cols])
+    return g.select(*keys, *[F.col(f"__f.c{i}").alias(c) for i, c in enumerate(cols)])
 
 
 def facility_rollup(records: DataFrame, key: str = "registry_id", program: str = "pgm_sys_acrnm",
@@ -78,23 +81,25 @@ def pivot_wide(long: DataFrame, key: str, var: str, values: list[str],
 # --------------------------------------------------------------------------- #
 
 def attach(layer: DataFrame, table: DataFrame, key: str, table_key: str | None = None,
-           width: int | None = None, agg: dict[str, Column] | None = None) -> DataFrame:
+           width: int | None = None, agg: dict[str, Column] | None = None,
+           order: list[str] | None = None) -> DataFrame:
     """Attach a table to a layer on a key. Keys are normalised to text
     (left-padded to ``width`` when given, F8); the table is reduced to one row
-    per key first (``agg`` or first row), then left-joined. Spark chooses a
-    broadcast join only when the reduced table is under its threshold."""
+    per key first, then left-joined: by ``agg``, or to the key's first row by
+    ``order`` (columns that number the input rows; without it the smallest row
+    by all columns). Spark chooses a broadcast join only when the reduced table
+    is under its threshold."""
     tk = table_key or key
 
     def norm(c):
-        c = F.col(c).cast("string")
-        return F.lpad(c, width, "0") if width else c
+        return padded_key(F.col(c), width)
 
     t = table.withColumn("__k", norm(tk))
     if agg:
         t = t.groupBy("__k").agg(*[v.alias(k) for k, v in agg.items()])
     else:
         cols = [c for c in table.columns if c != tk]
-        t = first_per_key(t, "__k", cols[:1], cols) if cols else t.select("__k").distinct()
+        t = first_per_key(t, "__k", order or [], cols) if cols else t.select("__k").distinct()
     lay = layer.withColumn("__k", norm(key))
     return lay.join(t, "__k", "left").drop("__k")
 
@@ -105,8 +110,7 @@ def match_rate(layer: DataFrame, table: DataFrame, key: str, table_key: str | No
     tk = table_key or key
 
     def norm(df, c):
-        c = F.col(c).cast("string")
-        return df.select((F.lpad(c, width, "0") if width else c).alias("__k"))
+        return df.select(padded_key(F.col(c), width).alias("__k"))
 
     keys = norm(table, tk).distinct().withColumn("__hit", F.lit(1))
     j = norm(layer, key).join(keys, "__k", "left")

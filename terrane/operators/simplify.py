@@ -1,23 +1,22 @@
-"""Topology-preserving-per-feature Douglas-Peucker simplification.
+"""Douglas-Peucker simplification, feature by feature.
 
-The one operator that runs Python: a recursive vertex selection has no
-column-expression form. It runs in ``mapInArrow`` over Arrow batches (no
-per-row serialisation), with an iterative stack per path. Rings stay closed
-and keep at least four vertices; lines keep their end points.
+A recursive vertex selection has no column-expression form, so this runs in
+``mapInArrow``, with an iterative stack per path over flat coordinate arrays.
+Rings stay closed and keep at least four vertices; lines keep their end points.
+Neighbouring features are not kept in step.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions import geom as G
 
-# Simplify non-point layers above this many rows, with this
-# tolerance in degrees.
-SIMPLIFY_MIN_ROWS = 4000
+# Fixed value: tolerance in degrees.
 SIMPLIFY_TOLERANCE = 0.00004
 
 
@@ -52,52 +51,62 @@ def dp_keep(xs: np.ndarray, ys: np.ndarray, tol: float) -> np.ndarray:
     return keep
 
 
-def _simplify_path(path, tol: float, closed: bool):
-    if path is None:
-        return path
-    xs = np.array([v["x"] for v in path], dtype=float)
-    ys = np.array([v["y"] for v in path], dtype=float)
+def _keep_path(xs: np.ndarray, ys: np.ndarray, tol: float, closed: bool) -> np.ndarray:
     keep = dp_keep(xs, ys, tol)
     if closed and keep.sum() < 4 and len(xs) >= 4:
-        # a ring needs four vertices: add back the farthest-from-chord ones
+        # a ring needs four vertices: add back those farthest from its start
         order = np.argsort(-np.hypot(xs - xs[0], ys - ys[0]))
-        for i in order:
-            if keep.sum() >= 4:
-                break
-            keep[i] = True
-    return [{"x": float(x), "y": float(y)} for x, y, k in zip(xs, ys, keep) if k]
+        keep[order[~keep[order]][:4 - int(keep.sum())]] = True
+    return keep
+
+
+def _simplified(geoms: pa.StructArray, tol: float) -> pa.StructArray:
+    """The geometries with fewer vertices: Arrow offsets and flat coordinate
+    arrays throughout, no Python object per vertex."""
+    names = [f.name for f in geoms.type]
+    fields = dict(zip(names, geoms.flatten()))
+    parts = fields["parts"].combine_chunks() if isinstance(fields["parts"], pa.ChunkedArray) else fields["parts"]
+    rings, paths = parts.flatten(), parts.flatten().flatten()
+    verts = paths.flatten()
+    xs, ys = (np.asarray(v, dtype=float) for v in verts.flatten())
+    ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(paths), 0).to_numpy(zero_copy_only=False))))
+    rings_of = pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False)
+    paths_of = pc.fill_null(pc.list_value_length(rings), 0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.repeat(np.arange(len(parts)), rings_of), paths_of)
+    kinds = np.array(fields["kind"].to_pylist(), dtype=object)[row]
+    keep = np.ones(len(xs), dtype=bool)
+    for i, kind in enumerate(kinds):
+        if kind != "point":
+            lo, hi = ends[i], ends[i + 1]
+            keep[lo:hi] = _keep_path(xs[lo:hi], ys[lo:hi], tol, kind == "poly")
+    sums = np.concatenate(([0], np.cumsum(keep)))
+    new_paths = _relisted(paths, sums[ends], verts.filter(pa.array(keep)))
+    new_rings = _relisted(rings, np.concatenate(([0], np.cumsum(paths_of))), new_paths)
+    fields["parts"] = _relisted(parts, np.concatenate(([0], np.cumsum(rings_of))), new_rings)
+    return pa.StructArray.from_arrays([fields[n] for n in names], names=names, mask=geoms.is_null())
+
+
+def _relisted(old: pa.ListArray, offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=old.is_null())
 
 
 def _simplify_batches(tol: float, geom: str):
     def run(batches):
         for b in batches:
-            rows = b.to_pylist()
-            for r in rows:
-                g = r.get(geom)
-                if g is None or g["kind"] == "point":
-                    continue
-                closed = g["kind"] == "poly"
-                g["parts"] = [[_simplify_path(ring, tol, closed) for ring in part] for part in g["parts"]]
-            yield pa.RecordBatch.from_pylist(rows, schema=b.schema)
+            at = b.schema.get_field_index(geom)
+            new = _simplified(b.column(at), tol) if len(b) else b.column(at)
+            yield pa.RecordBatch.from_arrays(
+                [new if i == at else c for i, c in enumerate(b.columns)], b.schema.names)
     return run
 
 
 def simplify(df: DataFrame, tol: float = SIMPLIFY_TOLERANCE, geom: str = "geom") -> DataFrame:
-    """Simplify every geometry of ``df``; the envelope is recomputed."""
+    """Simplify every line and polygon of ``df``, whatever the layer's size;
+    points pass unchanged, other columns pass as Arrow columns, and the
+    envelope is recomputed."""
     out = df.mapInArrow(_simplify_batches(tol, geom), df.schema)
     return out.withColumn(geom, G.refresh_envelope(F.col(geom)))
 
 
-def simplify_layer(df: DataFrame, tol: float = SIMPLIFY_TOLERANCE, geom: str = "geom",
-                   min_rows: int = SIMPLIFY_MIN_ROWS) -> DataFrame:
-    """The layer rule: simplify only non-point layers of more than ``min_rows``
-    rows (checked by reading at most min_rows + 1 rows)."""
-    from terrane.operators.spatial import fits
-    non_point = df.where(F.col(f"{geom}.kind") != "point").limit(1).count() > 0
-    if non_point and not fits(df, min_rows):
-        return simplify(df, tol, geom)
-    return df
-
-
 def vertex_count(geom: str = "geom"):
     return F.size(F.flatten(F.flatten(F.col(f"{geom}.parts"))))

@@ -13,7 +13,7 @@ from terrane.plans.inspect import _label_from_name
 
 def filter_layer(layer: DataFrame, col: str, op: str, value: str | None = None) -> DataFrame:
     """Rows of ``layer`` matching one builder condition."""
-    return layer.where(FL.build_filter(col, op, value))
+    return layer.where(FL.build_filter(col, op, value, layer.schema[col].dataType))
 
 
 def filter_report(layer: DataFrame, table: str, col: str, op: str, value: str | None = None):

@@ -14,7 +14,6 @@ from terrane.operators import spatial as S
 # Columns tried, in order, as a card's title (case-insensitive).
 TITLE_CANDIDATES = ("name", "primary_name", "title", "sch_name", "school_name", "facility",
                     "fac_name", "label")
-CARD_MAX_ROWS = 8000
 CARD_FIELDS = 6
 
 
@@ -36,10 +35,11 @@ def _label_from_name(name: str) -> str:
 
 
 def feature_cards(layer: DataFrame, schema: str, table: str, geom: str = "geom",
-                  max_rows: int = CARD_MAX_ROWS) -> DataFrame:
-    """One card per feature, only for layers of at most ``max_rows`` rows
-    (checked by reading at most max_rows + 1 rows): title, category label and
-    colour, and the first six cleaned (label, value) fields."""
+                  max_rows: int | None = None) -> DataFrame:
+    """One card per feature: title, category label and colour, and the
+    first six cleaned (label, value) fields. Cards are a row-wise projection,
+    so any layer size costs the same per row. ``max_rows``, off by default, is
+    a screen limit: a larger layer then keeps its rows with empty fields."""
     id_col = "feature_id" if "feature_id" in layer.columns else None
     attrs = [c for c in layer.columns if c != geom]
     shown = FL.shown_columns(layer.select(*attrs))
@@ -58,7 +58,9 @@ def feature_cards(layer: DataFrame, schema: str, table: str, geom: str = "geom",
                        ST.category_label(F.lit(schema)).alias("category_label"),
                        ST.category_color(F.lit(schema)).alias("category_color"),
                        fields.alias("fields"))
-    return out if S.fits(layer, max_rows) else out.limit(0)
+    if max_rows is not None and not S.fits(layer, max_rows):
+        return out.withColumn("fields", F.slice("fields", 1, 0))
+    return out
 
 
 def attribute_rows(layer: DataFrame, geom: str = "geom", key: str = "feature_id") -> DataFrame:

@@ -78,12 +78,20 @@ def pages_until_short(pages: DataFrame, page_size: int, offset: str = "offset",
                       first_offset: int = 0) -> DataFrame:
     """Keep pages in offset order up to and including the first page
     with fewer than ``page_size`` features (an empty page ends the scan, and
-    is itself empty), optionally at most ``max_pages`` pages. The stop offset
-    is one global minimum (a single-row aggregate)."""
-    stop = pages.where(F.col(count) < page_size).agg(F.min(offset).alias("stop")).first()["stop"]
-    out = pages
-    if stop is not None:
-        out = out.where(F.col(offset) <= stop)
+    is itself empty), and before the first offset that is missing. A page
+    limit, ``max_pages``, is off by default. Both stops are minima over the
+    pages' (offset, count), joined as one row."""
+    meta = pages.select(F.col(offset).alias("__at"), F.col(count).alias("__n"))
+    nexts = meta.select((F.col("__at") + page_size).alias("__at"))
+    short = meta.where(F.col("__n") < page_size).agg(F.min("__at").alias("__short"))
+    # a page whose predecessor is absent: the scan ended before it
+    gap = (meta.where(F.col("__at") > first_offset).join(nexts, "__at", "left_anti")
+           .agg(F.min("__at").alias("__gap")))
+    stops = short.join(gap, F.lit(True))
+    out = (pages.join(F.broadcast(stops), F.lit(True))       # one row
+           .where((F.col("__short").isNull() | (F.col(offset) <= F.col("__short")))
+                  & (F.col("__gap").isNull() | (F.col(offset) < F.col("__gap"))))
+           .drop("__short", "__gap"))
     if max_pages is not None:
         out = out.where(F.col(offset) < first_offset + max_pages * page_size)
     return out

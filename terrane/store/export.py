@@ -75,9 +75,9 @@ def catalog_json(catalog: DataFrame) -> DataFrame:
 
 def export_web(store, out_dir: str, zmin: int = 10, zmax: int = 14, cap: int = 200) -> DataFrame:
     """Every 'db' table -> Parquet named schema__table (K6); every
-    non-empty 'map+db' layer -> GeoJSON-seq (K7) plus tile bins thinned to
-    ``cap`` features per tile (K11, at each feature's envelope corner);
-    the catalog -> JSON (K10). Returns one status row per output. The loop is
+    non-empty 'map+db' layer -> GeoJSON-seq (K7) plus, per tile, its counts and
+    the features that thinning to ``cap`` keeps (K11, at each feature's envelope
+    corner), with their attributes; the catalog -> JSON (K10). Returns one status row per output. The loop is
     over catalog rows (metadata), each export is its own distributed job."""
     spark = store.spark
     cat = store.catalog().select("schema_name", "table_name", "target", "n_features").collect()
@@ -97,6 +97,10 @@ def export_web(store, out_dir: str, zmin: int = 10, zmax: int = 14, cap: int = 2
             pts = df.select(F.col("geom.xmin").alias("lon"), F.col("geom.ymin").alias("lat"),
                             key.alias("feature_id"))
             kept, counts = TL.thin_tiles(pts, zmin, zmax, cap)
+            features = df.withColumn("__key", key)
+            (kept.select("z", "tx", "ty", F.col("feature_id").alias("__key")).distinct()
+             .join(features, "__key").drop("__key").withColumn("layer", F.lit(name))
+             .write.mode("overwrite").parquet(f"{out_dir}/tile_features/{name}"))
             counts.withColumn("layer", F.lit(name)).write.mode("overwrite").parquet(f"{out_dir}/tiles/{name}")
             status.append((name, "geojson", int(r.n_features)))
     catalog_json(store.catalog()).write.mode("overwrite").text(f"{out_dir}/catalog.json")

@@ -50,11 +50,11 @@ from c where c_nationkey % 2 = 1 and n_name in ('NATION_3', 'NATION_7') and lon
 """, "fx_points"))
 def health_records(spark, sf_dir):
     """JSON records scanned with a schema, state + county equality filters,
-    the 50,000-record service cap, nested coordinates -> points."""
+    nested coordinates -> points."""
     path = shared_dir(spark, "records")
     _places_records(spark, sf_dir, path)
     r = RD.read_json_records(spark, path, PLACES)
-    r = r.where((F.col("stateabbr") == "NH") & F.col("countyname").isin("NATION_3", "NATION_7")).limit(50000)
+    r = r.where((F.col("stateabbr") == "NH") & F.col("countyname").isin("NATION_3", "NATION_7"))
     lon, lat = RD.coords(F.col("geolocation.coordinates"))
     r = r.select("countyname", "measure", "data_value", lon.alias("lon"), lat.alias("lat")).drop("geolocation")
     pts = RD.points_from(r, "lon", "lat")
@@ -112,17 +112,15 @@ def alerts_state(spark, sf_dir):
 @query("sensors_bbox", "S20 S6 F1 W5 P15", with_fixtures(f"""
 select id, round(lon, 6) as longitude, round(lat, 6) as latitude from fx_points
 where lon between {n_(CITY_BBOX.xmin)} and {n_(CITY_BBOX.xmax)} and lat between {n_(CITY_BBOX.ymin)} and {n_(CITY_BBOX.ymax)}
-order by id limit 1000
 """, "fx_points"))
 def sensors_bbox(spark, sf_dir):
-    """Monitor locations (nested coordinates struct) inside the city bbox,
-    capped at the service's 1,000 results, lowest ids first."""
+    """Monitor locations (nested coordinates struct) inside the city bbox."""
     p = X.fx_points(spark, sf_dir)
     docs = p.select("id", F.struct(F.col("lon").alias("longitude"), F.col("lat").alias("latitude")).alias("coordinates"))
     flat = docs.select("id", F.col("coordinates.longitude").alias("longitude"),
                        F.col("coordinates.latitude").alias("latitude"))
     inside = S.point_bbox_filter(flat, CITY_BBOX, "longitude", "latitude")
-    return rounded(inside.orderBy("id").limit(1000), 6)
+    return rounded(inside, 6)
 
 
 @query("landmark_points", "X5 S12 G1 G2", with_fixtures("""

@@ -71,11 +71,10 @@ select event_type as species, strftime(ts, '%Y-%m-%d') as observed_on,
   'obs/' || cast(event_id as varchar) as uri,
   case when event_id % 50 = 0 then null else round(-71.95e0 + ((user_id*7919) % 65000)/1e5, 6) end as lon,
   case when event_id % 50 = 0 then null else round(42.95e0 + ((user_id*104729) % 55000)/1e5, 6) end as lat
-from events where floor(event_id / 200) + 1 <= 15
+from events
 """)
 def observation_pages(spark, sf_dir):
-    """Observation pages of 200, at most 15 pages, stopping at a short page;
-    nested taxon / coordinates projected, empty coordinates -> null."""
+    """Observation pages of 200, stopping at a short or missing page; nested taxon / coordinates projected, empty coordinates -> null."""
     e = X.fx_quakes(spark, sf_dir).join(X.table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
     res = F.struct(F.struct(F.col("event_type").alias("name")).alias("taxon"),
                    F.date_format("ts", "yyyy-MM-dd").alias("observed_on"),
@@ -87,7 +86,7 @@ def observation_pages(spark, sf_dir):
                                     F.count("*").alias("n_features")))
     pages = pages.select("offset", "n_features",
                          F.to_json(F.struct(F.transform("rs", lambda s: s["r"]).alias("results"))).alias("text"))
-    kept = RD.pages_until_short(pages, 200, max_pages=15)
+    kept = RD.pages_until_short(pages, 200)
     rows = kept.select(F.explode(F.from_json("text", INAT)["results"]).alias("r"))
     lon, lat = RD.coords(F.col("r.geojson.coordinates"))
     return rounded(rows.select(F.col("r.taxon.name").alias("species"), F.col("r.observed_on").alias("observed_on"),

@@ -140,6 +140,7 @@ def draw_counts_regions(spark, sf_dir):
 
 from terrane.config import CENTROID, CITY_BBOX  # noqa: E402
 from terrane.operators import filters as FL  # noqa: E402
+from terrane.operators import relational as R  # noqa: E402
 from terrane.operators import simplify as SM  # noqa: E402
 from terrane.operators import tiles as TL  # noqa: E402
 from terrane.plans import filter_report as FR  # noqa: E402
@@ -258,16 +259,15 @@ def bbox_lines_city(spark, sf_dir):
 @query("occurrences_city", "S17 S12 G16 F5 W5", with_fixtures(f"""
 , {_PTS}
 select id as feature_id, round(lon, 6) as lon, round(lat, 6) as lat from pts
-where {_pip_literal(_CITY_RING, 'lon', 'lat')} order by id limit 9000
+where {_pip_literal(_CITY_RING, 'lon', 'lat')}
 """, "fx_points"))
 def occurrences_city(spark, sf_dir):
-    """Occurrences inside the city polygon given as WKT text, capped at 9,000
-    (the service cap), lowest ids first."""
-    area = spark.range(1).select(G.geom_from_wkt(F.lit(CITY_BBOX.wkt())).alias("area"))
-    pts = X.points_layer(spark, sf_dir)
-    hits = pts.join(F.broadcast(area), how="left_semi",
-                    on=F.expr(G.intersects_polygon_sql("geom", "area")))
-    return rounded(hits.select("feature_id", "lon", "lat").orderBy("feature_id").limit(9000), 6)
+    """Occurrences inside the city polygon given as WKT text: envelope filter,
+    then the exact test against the literal polygon."""
+    pts = S.bbox_filter(X.points_layer(spark, sf_dir), CITY_BBOX)
+    hits = (pts.withColumn("area", G.geom_from_wkt(F.lit(CITY_BBOX.wkt())))
+            .where(F.expr(G.intersects_polygon_sql("geom", "area"))))
+    return rounded(hits.select("feature_id", "lon", "lat"), 6)
 
 
 @query("districts_city", "J2 F8", with_fixtures(f"""
@@ -490,11 +490,11 @@ def tile_thinning(spark, sf_dir):
 
 @query("simplify_lines", "G8")
 def simplify_lines(spark, sf_dir):
-    """Vertex counts before/after the layer simplification rule (non-point
-    layer above 4,000 rows, tolerance 0.00004 deg)."""
+    """Vertex counts of every line before and after simplification (tolerance
+    0.00004 deg)."""
     lines = X.lines_layer(spark, sf_dir)
     before = lines.select("feature_id", SM.vertex_count().alias("n_before"))
-    after = SM.simplify_layer(lines).select("feature_id", SM.vertex_count().alias("n_after"))
+    after = SM.simplify(lines).select("feature_id", SM.vertex_count().alias("n_after"))
     return before.join(after, "feature_id")
 
 
@@ -532,3 +532,75 @@ def filter_nulls(spark, sf_dir):
     p = X.fx_points(spark, sf_dir)
     return p.where(FL.build_filter("lon", "IS NULL", "ignored") & FL.build_filter("category", "=", "MACHINERY")) \
         .select("id", "name")
+
+
+# ---------------------------------------------------------------------------
+# A7 / G6 union perimeter of shapes that overlap in awkward ways
+# ---------------------------------------------------------------------------
+
+
+@query("union_perimeter", "A7 G6", """
+select c_custkey as query_id, round(3.0 * (10 + c_custkey % 50) + 4.0 * (5 + c_custkey % 17), 3) as perimeter
+from customer
+""")
+def union_perimeter(spark, sf_dir):
+    """Perimeter of the union of three rectangles per customer, sized and
+    turned by the customer's key: one w x h; one of half the height wound the
+    other way, its base half on the first one's base; one on top that meets the
+    first one's upper side between its corners. The turned edges coincide only
+    nearly. Closed form: 3 w + 4 h."""
+    c = X.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id"))
+    w, h = (F.col("query_id") % 50 + 10).cast("double"), (F.col("query_id") % 17 + 5).cast("double")
+    turn, zero = (F.col("query_id") % 12) * 0.1, F.lit(0.0)
+
+    def ring(*corners):
+        return F.array(F.array(*[F.struct((x * F.cos(turn) - y * F.sin(turn)).alias("x"),
+                                          (x * F.sin(turn) + y * F.cos(turn)).alias("y")) for x, y in corners]))
+
+    shapes = {"a": ring((zero, zero), (w, zero), (w, h), (zero, h)),
+              "b": ring((w / 2, zero), (w / 2, h / 2), (w * 1.5, h / 2), (w * 1.5, zero)),
+              "c": ring((w / 4, h), (w * 0.75, h), (w * 0.75, h * 2), (w / 4, h * 2))}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("shape_id"), G.polygon(r).alias("geom"))
+                               for k, r in shapes.items()]))
+    df = c.select("query_id", each.alias("s")).select("query_id", "s.shape_id", "s.geom")
+    return S.union_boundary_length(df).select("query_id", F.round("perimeter", 3).alias("perimeter"))
+
+
+# ---------------------------------------------------------------------------
+# F6 / F8 / J7 keys and values of unlike form
+# ---------------------------------------------------------------------------
+
+
+@query("filter_text_number", "F6 P9", """
+select o_orderkey, o_orderpriority from orders where o_orderpriority < '3'
+""")
+def filter_text_number(spark, sf_dir):
+    """Builder: a value that looks like a number against a text column compares
+    as text."""
+    o = X.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    rows, _, _ = FR.filter_report(o, "orders", "o_orderpriority", "<", " 3 ")
+    return rows
+
+
+@query("long_keys", "F8", """
+select c_custkey from customer c
+where exists (select 1 from orders o where o.o_custkey = c.c_custkey)
+""")
+def long_keys(spark, sf_dir):
+    """Key filter with padding to three places: longer keys stay whole."""
+    c = X.table(spark, sf_dir, "customer").select("c_custkey")
+    return FL.semi_filter(c, X.table(spark, sf_dir, "orders"), "c_custkey", "o_custkey", width=3)
+
+
+@query("attach_first", "J7 A2", """
+select c_custkey, o.o_orderkey, o.o_orderpriority
+from customer left join (
+  select o_custkey, min(o_orderkey) as o_orderkey, arg_min(o_orderpriority, o_orderkey) as o_orderpriority
+  from orders group by o_custkey) o on o.o_custkey = c_custkey
+""")
+def attach_first(spark, sf_dir):
+    """Each customer with the first of its orders (by order key), without an
+    aggregate."""
+    c = X.table(spark, sf_dir, "customer").select("c_custkey")
+    o = X.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
+    return R.attach(c, o, "c_custkey", "o_custkey", width=5, order=["o_orderkey"])

@@ -127,8 +127,8 @@ from p
 
 @query("feature_cards", "X16 F13 F18 X2 X18", _card_sql())
 def feature_cards(spark, sf_dir):
-    """Feature cards for a point layer of at most 8,000 rows: title column,
-    category, first six cleaned attribute fields."""
+    """Feature cards of every point: title column, category, first six cleaned
+    attribute fields."""
     layer = X.points_layer(spark, sf_dir)
     cards = IN.feature_cards(layer, "apis", "points")
     return cards.select("feature_id", "title", "category_label", "category_color",

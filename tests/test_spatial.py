@@ -153,6 +153,31 @@ def test_union_boundary_length_overlap_and_shared_edges(spark):
     assert out[2] == pytest.approx(6.0, abs=1e-6)
 
 
+def test_union_boundary_length_any_winding(spark):
+    import math
+
+    def turned(ring, a):
+        return [(x * math.cos(a) - y * math.sin(a), x * math.sin(a) + y * math.cos(a)) for x, y in ring]
+
+    sq = [(0, 0), (10, 0), (10, 10), (0, 10)]
+    groups = {
+        1: ([sq, sq[::-1]], 40.0),                                                       # identical, other winding
+        2: ([sq, [(5, 0), (15, 0), (15, 10), (5, 10)][::-1]], 50.0),                     # one baseline
+        3: ([turned(sq, 0.3), turned([(3, 10), (7, 10), (7, 14), (3, 14)], 0.3)], 48.0),  # T-junction, slanted
+        4: ([turned(sq, 0.7), turned([(4, 10), (13, 10), (13, 15), (4, 15)], 0.7)[::-1]], 56.0),  # sliding
+        5: ([sq, [(2, 2), (4, 2), (4, 4), (2, 4)]], 40.0),                               # nested
+    }
+    shapes = None
+    for q, (rings, _) in groups.items():
+        for i, r in enumerate(rings):
+            one = spark.range(1).select(F.lit(q).alias("query_id"), F.lit(i).alias("shape_id"),
+                                        G.literal_polygon(r).alias("geom"))
+            shapes = one if shapes is None else shapes.unionByName(one)
+    got = {r.query_id: r.perimeter for r in S.union_boundary_length(shapes).collect()}
+    for q, (_, want) in groups.items():
+        assert got[q] == pytest.approx(want, abs=1e-3), q
+
+
 def _seg_int(p1, p2, q1, q2):
     def o(a, b, c):
         return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
