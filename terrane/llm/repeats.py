@@ -48,8 +48,8 @@ from terrane.session import materialize, shared_dir
 LENGTH = 50
 GRAM = 16
 CONTEXTS = 16
-BATCH_ROWS = 4_000
-_PIECE = 1 << 20
+BATCH_ROWS = 2_000
+_PIECE = 1 << 17
 _EDGE = 2 * LENGTH
 _NO_ID = 2 ** 63 - 1
 _MARK = 2 ** 32 - 1
@@ -457,7 +457,7 @@ def repeated_spans(docs: DataFrame, batch_rows: int = BATCH_ROWS, contexts: int
     """rid, ord (doc_id), n_bytes, spans (begin, end of each removed run, in
     bytes) and kept_sha256 of every row."""
     texts = _batches(docs, batch_rows)
-    buckets = fanout(docs.sparkSession)
+    buckets = 2 * fanout(docs.sparkSession)          # smaller families, less memory a task
     one = materialize(texts.groupBy("batch").applyInArrow(_anchor_pass(buckets, contexts), _OUT), "anchors")
     two = materialize(one.filter(F.col("kind") == _ANCHOR).groupBy("bucket")
                       .applyInArrow(_anchor_scan, _OUT), "anchor-scan")
