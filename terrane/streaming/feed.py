@@ -11,12 +11,20 @@ session's shared checkpoint folder so a restarted query resumes exactly.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from terrane.session import shared_dir
+from terrane.session import ensure_checkpoint_dir
+
+
+def feed_checkpoint(spark: SparkSession, landing: str, schema: str, table: str) -> str:
+    """The feed's own folder under the shared checkpoint folder: the same for
+    each start, so that a restart goes on where the last run ended."""
+    name = f"feed-{schema}-{table}-{zlib.crc32(landing.encode()):08x}"
+    return ensure_checkpoint_dir(spark).rstrip("/") + "/" + name
 
 
 def refresh_feed(spark: SparkSession, store, landing: str, schema: T.StructType,
@@ -33,6 +41,6 @@ def refresh_feed(spark: SparkSession, store, landing: str, schema: T.StructType,
         store.write_layer(out, s, t, source, scope)
 
     w = (stream.writeStream.foreachBatch(replace)
-         .option("checkpointLocation", checkpoint or shared_dir(spark, f"feed-{s}-{t}")))
+         .option("checkpointLocation", checkpoint or feed_checkpoint(spark, landing, s, t)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     return w.start()
