@@ -137,6 +137,12 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
+def _ratio(n: int) -> Column:
+    """PMI over IC from n_c, n_t and n_ct; null where all texts have the entity."""
+    pmi = F.log(F.lit(float(n)) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
+    return F.when(F.col("n_c") < n, pmi / F.log(F.lit(float(n)) / F.col("n_c")))
+
+
 def disclosing_terms(spans: DataFrame, text: str = "text", generalise: float = GENERALISE,
                      support: int = SUPPORT) -> DataFrame:
     """_digest, term and ratio (the term's largest disclosure) of every text
@@ -155,16 +161,19 @@ def disclosing_terms(spans: DataFrame, text: str = "text", generalise: float = G
     n_c = near.groupBy("kind", "value").agg(F.count("*").alias("n_c")).filter(F.col("n_c") >= support)
     n_ct = (near.withColumn("term", F.explode("terms")).groupBy("kind", "value", "term")
             .agg(F.count("*").alias("n_ct")).filter(F.col("n_ct") >= support))
-    pairs = materialize(n_ct.join(n_c, ["kind", "value"]), "pii-pairs")
+    # a term stands in as many texts at least as it stands near any entity in:
+    # with that for n_t the ratio is an upper bound, which ordinary words fail
+    n = spans.select("_digest").distinct().count()
+    n_near = (near.select("_digest", F.explode("terms").alias("term")).distinct()
+              .groupBy("term").agg(F.count("*").alias("n_t")))
+    pairs = materialize(n_ct.join(n_c, ["kind", "value"]).join(n_near, "term")
+                        .filter(_ratio(n) >= generalise - 1e-9).drop("n_t"), "pii-pairs")
     wanted = pairs.select("term").distinct()
     places = materialize(
         spans.select("_digest", F.explode(_terms(text_or_empty(text))).alias("term"))
         .join(wanted, "term", "left_semi").distinct(), "pii-places")
     n_t = places.groupBy("term").agg(F.count("*").alias("n_t"))
-    n = spans.select("_digest").distinct().count()
-    share = lambda c: F.log(F.lit(float(n)) / F.col(c))
-    pmi = F.log(F.lit(float(n)) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
-    found = (pairs.join(n_t, "term").filter(F.col("n_c") < n).withColumn("ratio", pmi / share("n_c"))
+    found = (pairs.join(n_t, "term").withColumn("ratio", _ratio(n))
              # a whisker for the rounding of the two logarithms
              .filter(F.col("ratio") >= generalise - 1e-9)
              .groupBy("term").agg(F.max("ratio").alias("ratio")))
