@@ -492,8 +492,9 @@ def point_from_wkt(text) -> Column:
 
 
 def geom_from_wkt(text) -> Column:
-    """WKT text of POINT / LINESTRING / POLYGON (single part) to geometry.
-    Rings are parsed with split/transform, all inside the JVM."""
+    """WKT text of POINT / LINESTRING / POLYGON and their MULTI forms to
+    geometry (other types -> null). Rings are parsed with split/transform, all
+    inside the JVM."""
     t = F.upper(F.trim(_c(text)))
     body = F.regexp_extract(t, r"^[A-Z]+\s*\((.*)\)$", 1)
 
@@ -504,14 +505,22 @@ def geom_from_wkt(text) -> Column:
             F.get(F.split(F.trim(p), r"\s+"), 1).try_cast("double").alias("y")))
 
     kind = F.regexp_extract(t, r"^([A-Z]+)", 1)
-    rings = F.transform(F.split(F.regexp_replace(body, r"^\s*\(|\)\s*$", ""), r"\)\s*,\s*\("),
-                        parse_path)
+    def parse_paths(s):
+        return F.transform(F.split(F.regexp_replace(s, r"^\s*\(|\)\s*$", ""), r"\)\s*,\s*\("), parse_path)
+
+    rings = parse_paths(body)
     pt = point_from_wkt(_c(text))
     ln = line(parse_path(body))
     pg = _geom_from_parts("poly", F.array(rings), 4326)
     return (F.when(kind == "POINT", pt)
             .when(kind == "LINESTRING", ln)
-            .when(kind == "POLYGON", pg))
+            .when(kind == "POLYGON", pg)
+            .when(kind == "MULTIPOINT", _geom_from_parts(
+                "point", F.transform(parse_path(body), lambda v: F.array(F.array(v))), 4326))
+            .when(kind == "MULTILINESTRING", _geom_from_parts(
+                "line", F.transform(rings, lambda p: F.array(p)), 4326))
+            .when(kind == "MULTIPOLYGON", _geom_from_parts(
+                "poly", F.transform(F.split(body, r"\)\s*\)\s*,\s*\(\s*\("), parse_paths), 4326)))
 
 
 def kind_of_layer(kinds: Column) -> Column:

@@ -138,19 +138,21 @@ def landmark_points(spark, sf_dir):
                             F.col("geom.srid").alias("srid")), 6)
 
 
-@query("category_intersect", "U4 W6 X18", """
-with s as (select distinct lower(r_name) as schema_name from region
-           union select 'osm' union select 'city' union select 'web')
-select schema_name, array_position(['city','schools','business','osm','external','apis','knowledge','web'], schema_name) as position
-from s where schema_name in ('city','schools','business','osm','external','apis','knowledge','web')
+@query("category_intersect", "U4 W6", """
+select c_custkey, min(o_orderkey) as first_order
+from customer join orders on o_custkey = c_custkey
+where c_custkey in (select o_custkey from orders where o_totalprice > 300000)
+group by c_custkey
 """)
 def category_intersect(spark, sf_dir):
-    """Groups present in the data, intersected with the fixed category order,
-    keeping that order."""
-    present = X.table(spark, sf_dir, "region").select(F.lower("r_name").alias("schema_name")).unionByName(
-        spark.createDataFrame([("osm",), ("city",), ("web",)], "schema_name string")).distinct()
-    order = spark.createDataFrame([(c, i + 1) for i, c in enumerate(ST.CATEGORY_ORDER)], "schema_name string, position int")
-    return R.intersect_ordered(order, present, "schema_name", "position")
+    """Customers in the order of their first order, intersected with those that
+    placed a large one, keeping that order."""
+    o = X.table(spark, sf_dir, "orders")
+    order = (X.table(spark, sf_dir, "customer").select("c_custkey")
+             .join(o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderkey").alias("first_order")),
+                   "c_custkey"))
+    large = o.where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    return R.intersect_ordered(order, large, "c_custkey", "first_order")
 
 
 @query("api_group_load", "P3 K1 K2", with_fixtures("""

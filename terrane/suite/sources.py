@@ -256,12 +256,22 @@ def layer_discovery(spark, sf_dir):
     return best.select("url", "name", "slug", "pref_rank")
 
 
-@query("filter_columns_points", "S24 F13", """
-select 1 as ordinal, 'feature_id' as column_name union all select 2, 'name' union all select 3, 'category'
-union all select 4, 'val' union all select 5, 'lon' union all select 6, 'lat'
-""")
+@query("filter_columns_points", "S24 F13", with_fixtures("""
+, p as (select id as feature_id, name, category, val, lon, lat from fx_points where lon is not null and lat is not null)
+select 1 as ordinal, 'feature_id' as column_name, count(distinct feature_id) as n_values from p
+union all select 2, 'name', count(distinct name) from p
+union all select 3, 'category', count(distinct category) from p
+union all select 4, 'val', count(distinct val) from p
+union all select 5, 'lon', count(distinct lon) from p
+union all select 6, 'lat', count(distinct lat) from p
+""", "fx_points"))
 def filter_columns_points(spark, sf_dir):
-    """Columns the filter builder offers for the point layer (ordinal order)."""
+    """Columns the filter builder offers for the point layer (ordinal order),
+    with the number of values to choose from in each."""
     layer = X.points_layer(spark, sf_dir)
     cols = FL.filter_columns(layer)
-    return spark.createDataFrame([(i + 1, c) for i, c in enumerate(cols)], "ordinal int, column_name string")
+    pairs = layer.select(F.explode(F.array(*[
+        F.struct(F.lit(i + 1).alias("ordinal"), F.lit(c).alias("column_name"),
+                 F.col(f"`{c}`").cast("string").alias("value")) for i, c in enumerate(cols)])).alias("v"))
+    return (pairs.select("v.*").distinct().groupBy("ordinal", "column_name")
+            .agg(F.count("value").alias("n_values")))

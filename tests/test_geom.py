@@ -104,3 +104,13 @@ def test_ring_with_one_vertex_is_safe(spark):
     r = spark.range(1).select(g.alias("g"), G.literal_polygon(**SQUARE_WITH_HOLE).alias("p")).select(
         G.length("g").alias("l"), F.expr(G.intersects_polygon_sql("g", "p")).alias("i")).first()
     assert r.l == 0.0 and r.i is True
+
+
+def test_wkt_multi_forms(spark):
+    texts = ["MULTIPOINT (1.0 2.0, 3.0 4.0)", "MULTILINESTRING ((0.0 0.0, 1.0 1.0), (2.0 2.0, 3.0 3.0, 4.0 2.0))",
+             "MULTIPOLYGON (((0.0 0.0, 4.0 0.0, 4.0 4.0, 0.0 0.0), (1.0 0.5, 2.0 0.5, 2.0 1.0, 1.0 0.5)), "
+             "((5.0 5.0, 6.0 5.0, 6.0 6.0, 5.0 5.0)))"]
+    df = spark.createDataFrame([(t,) for t in [*texts, "MULTIPOINT ((1 2), (3 4))", "GEOMETRYCOLLECTION (POINT (1 2))"]],
+                               "t string")
+    out = [r.w for r in df.select(G.geom_from_wkt(F.col("t")).alias("g")).select(G.to_wkt("g").alias("w")).collect()]
+    assert out == [*texts, texts[0], None]
