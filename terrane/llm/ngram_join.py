@@ -47,7 +47,7 @@ SKETCH_BITS = 20
 SLICE_BITS = 12
 MAX_MATCH = 8
 HOT = 100_000                 # postings of a token (by the sketch) beyond which it goes by rows
-_KNOWN_WORDS = 400_000
+_KNOWN_WORDS = 200_000
 
 _K = mix64(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 _SHORT = mix64(np.arange(101, 101 + WORDS, dtype=np.uint64))
@@ -160,7 +160,7 @@ def _postings(docs: DataFrame, sketch: np.ndarray, hot: int) -> DataFrame:
     load = float(sketch.mean())
     noise = load + 3 * load ** 0.5
     buckets = fanout(spark)
-    flush = 2_000_000
+    flush = 400_000
 
     def blobs(parts, nodes):
         token = np.concatenate([p for p, _ in parts])
