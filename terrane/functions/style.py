@@ -6,9 +6,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrane.functions import text as TX
+
 # Layer categories (schema -> label, colour) in display order.
 CATEGORIES = {
     "city": ("City", "#2563eb"),
@@ -129,6 +131,19 @@ def legend_ticks(cfg: Choropleth) -> list[tuple[float, str]]:
     return out
 
 
+def legend_tick_rows(df: DataFrame, value: str, cfg: Choropleth) -> DataFrame:
+    """X14 + X8 as rows: per break its number, place on the bar (percent), label
+    and the rows of ``df`` that fall in the class that starts there."""
+    n = len(cfg.breaks)
+    bin_, _ = classify(value, cfg)
+    counts = df.groupBy(bin_.alias("tick")).agg(F.count("*").alias("n"))
+    ticks = df.sparkSession.range(1, n + 1).select(F.col("id").cast("int").alias("tick"))
+    brk = F.element_at(F.array(*[F.lit(float(b)) for b in cfg.breaks]), F.col("tick"))
+    return (ticks.join(counts, "tick", "left")
+            .select("tick", F.round((F.col("tick") - 1) * 100.0 / max(n - 1, 1), 1).alias("percent"),
+                    TX.tick_label(brk).alias("label"), F.coalesce("n", F.lit(0)).alias("n")))
+
+
 def height_color(h) -> Column:
     """Extrusion colour from HEIGHT."""
     return ramp(h, list(HEIGHT_STOPS), HEIGHT_NA)

@@ -123,6 +123,11 @@ def permalink_center(url) -> tuple[Column, Column, Column]:
     return lat, lon, z
 
 
+def shortened(v, max_len: int = 120) -> Column:
+    """F18 (popup rows): the value as text, its first ``max_len`` characters."""
+    return F.substring(_c(v).cast("string"), 1, max_len)
+
+
 def clean_value(v, max_len: int = 80) -> Column:
     """trimmed text; null when empty, 'NA' or longer than ``max_len``."""
     t = F.trim(_c(v).cast("string"))

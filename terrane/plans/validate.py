@@ -24,11 +24,11 @@ def layer_checks(layer: DataFrame, name: str, region: BBox, expected: int | None
     null_island = (F.abs(g["xmin"]) < 1e-9) & (F.abs(g["ymin"]) < 1e-9)
     attrs = attrs or [c for c in layer.columns if c != geom]
     aggs = [F.count("*").alias("n"),
-            F.sum(F.when(inside, 1).otherwise(0)).alias("n_inside"),
-            F.sum(F.when(null_island, 1).otherwise(0)).alias("n_null_island"),
+            F.count_if(inside).alias("n_inside"),
+            F.count_if(null_island).alias("n_null_island"),
             F.countDistinct(g["kind"]).alias("n_kinds"),
-            F.sum(F.when(g["kind"] == "poly", open_rings).otherwise(0)).alias("n_open_rings"),
-            F.sum(F.when(g.isNull(), 1).otherwise(0)).alias("n_null_geom")]
+            F.coalesce(F.sum(F.when(g["kind"] == "poly", open_rings).otherwise(0)), F.lit(0)).alias("n_open_rings"),
+            F.count_if(g.isNull()).alias("n_null_geom")]
     aggs += [F.count(F.col(f"`{c}`")).alias(f"nn_{i}") for i, c in enumerate(attrs)]
     row = layer.agg(*aggs)
 
@@ -47,7 +47,8 @@ def layer_checks(layer: DataFrame, name: str, region: BBox, expected: int | None
         check("geometry_present", F.lit(0), F.col("n_null_geom"), F.col("n_null_geom") == 0),
     ]
     for i, c in enumerate(attrs):
-        checks.append(check(f"populated:{c}", n, F.col(f"nn_{i}"), F.col(f"nn_{i}") > 0))
+        checks.append(check(f"populated:{c}", n, F.col(f"nn_{i}"),
+                            (F.col(f"nn_{i}") > 0) | ((n == 0) & F.lit(expected == 0))))
     return row.select(F.explode(F.array(*checks)).alias("c")).select(
         F.lit(name).alias("layer"), "c.check", "c.expected", "c.got", "c.ok")
 
@@ -62,6 +63,14 @@ def key_check(layer: DataFrame, table: DataFrame, name: str, key: str, table_key
                     (F.col("match_rate") >= min_rate).alias("ok"))
 
 
+def mark_validated(store, checks: DataFrame) -> None:
+    """P12 into K3: set ``validated`` in the store's catalog for the layers of
+    ``checks`` (named schema.table); other catalog rows keep theirs."""
+    at = F.split("layer", r"\.", 2)
+    store.set_validated(validated_flags(checks).select(
+        at[0].alias("schema_name"), at[1].alias("table_name"), "validated"))
+
+
 def validated_flags(checks: DataFrame) -> DataFrame:
     """(layer, validated): true when every check of the layer passed."""
     return checks.groupBy("layer").agg(F.min(F.col("ok").cast("int")).cast("boolean").alias("validated"))

@@ -1,16 +1,20 @@
 """The layer store and its catalog: K1 write layer, K2 write table, K3 keyed
 upsert, K4 list flattening, K5 init, A3 row counts, A5 / A9 summaries.
 
-Layers and tables are Parquet directories ``<base>/<schema>/<table>``; the
-catalog is a versioned Parquet table ``<base>/_catalog/v<n>``: an upsert reads
-the newest version and writes the next one, so the version being read is never
-overwritten and a failed write leaves the previous version in force.
+Layers and tables are versioned Parquet directories
+``<base>/<schema>/<table>/v<n>`` and so is the catalog, ``<base>/_catalog/v<n>``:
+a write makes the next version, complete once Spark has put ``_SUCCESS`` there,
+and a read takes the newest complete one. What is being read is never
+overwritten, a failed write leaves the version before in force, and no rename
+is needed. The version before is kept for readers that opened it; older ones
+are removed. A group of loads updates the catalog once (``Store.group``).
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import re
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -128,6 +132,7 @@ class Store:
     def __init__(self, spark: SparkSession, base: str):
         self.spark = spark
         self.base = base.rstrip("/")
+        self._pending: list[tuple] | None = None
 
     # K5 ---------------------------------------------------------------------
     def init(self) -> "Store":
@@ -145,19 +150,32 @@ class Store:
     def _catalog_path(self, v: int) -> str:
         return f"{self._catalog_root()}/v{v:06d}"
 
-    def _latest_version(self) -> int | None:
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _latest_version(self, root: str | None = None) -> int | None:
+        vs = self._versions(root or self._catalog_root())
+        return vs[-1] if vs else None
+
+    def _versions(self, root: str) -> list[int]:
+        """Complete versions under ``root``, oldest first."""
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self._catalog_root())
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        path, fs = self._fs(root)
         if not fs.exists(path):
-            return None
+            return []
         vs = []
         for st in fs.listStatus(path):
             name = st.getPath().getName()
             m = re.fullmatch(r"v(\d{6})", name)
             if m and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
                 vs.append(int(m.group(1)))
-        return max(vs) if vs else None
+        return sorted(vs)
+
+    def _forget(self, root: str, keep: int = 2) -> None:
+        for v in self._versions(root)[:-keep]:
+            path, fs = self._fs(f"{root}/v{v:06d}")
+            fs.delete(path, True)
 
     def catalog(self) -> DataFrame:
         v = self._latest_version()
@@ -168,12 +186,41 @@ class Store:
     def upsert_catalog(self, rows: DataFrame, loaded_at: dt.datetime | None = None) -> None:
         v = self._latest_version()
         new = upsert(self.catalog(), rows, loaded_at)
-        new.select(*[f.name for f in CATALOG_SCHEMA.fields]).write.parquet(
-            self._catalog_path((v if v is not None else -1) + 1))
+        self._write_catalog(new, (v if v is not None else -1) + 1)
 
-    def path(self, schema: str, table: str) -> str:
+    def _write_catalog(self, rows: DataFrame, version: int) -> None:
+        rows.select(*[f.name for f in CATALOG_SCHEMA.fields]).write.parquet(self._catalog_path(version))
+        self._forget(self._catalog_root())
+
+    def set_validated(self, flags: DataFrame) -> None:
+        """K3: ``validated`` of the layers in ``flags`` (schema_name, table_name,
+        validated)."""
+        v = self._latest_version()
+        new = (self.catalog().withColumnRenamed("validated", "__old").join(flags, KEY, "left")
+               .withColumn("validated", F.coalesce("validated", "__old")))
+        self._write_catalog(new, (v if v is not None else -1) + 1)
+
+    @contextmanager
+    def group(self):
+        """Loads inside the block enter the catalog together, at its end."""
+        self._pending = []
+        try:
+            yield self
+            rows, self._pending = self._pending, None
+            if rows:
+                self._upsert_rows(list({r[:2]: r for r in rows}.values()))
+        finally:
+            self._pending = None
+
+    def root(self, schema: str, table: str) -> str:
         return f"{self.base}/{schema}/{table}"
 
+    def path(self, schema: str, table: str) -> str:
+        """The newest complete version of a layer or table."""
+        root = self.root(schema, table)
+        v = self._latest_version(root)
+        return root if v is None else f"{root}/v{v:06d}"
+
     def read(self, schema: str, table: str, where: str = "1=1") -> DataFrame:
         """A stored layer or table with an optional predicate; a layer the
         catalog lists with 0 features reads as empty even if old files remain."""
@@ -185,10 +232,17 @@ class Store:
         return df
 
     def _register(self, schema, table, target, source, scope, n) -> None:
-        row = self.spark.createDataFrame(
-            [(schema, table, target, source, scope, int(n))],
-            "schema_name string, table_name string, target string, source string, scope string, n_features long")
-        self.upsert_catalog(row)
+        if target not in TARGETS:
+            raise ValueError(f"unknown target {target!r}")
+        row = (schema, table, target, source, scope, int(n))
+        if self._pending is not None:
+            self._pending.append(row)
+        else:
+            self._upsert_rows([row])
+
+    def _upsert_rows(self, rows: list[tuple]) -> None:
+        self.upsert_catalog(self.spark.createDataFrame(
+            rows, "schema_name string, table_name string, target string, source string, scope string, n_features long"))
 
     # K2 ---------------------------------------------------------------------
     def write_table(self, df: DataFrame | None, schema: str, table: str,
@@ -220,25 +274,21 @@ class Store:
         return n
 
     def _write(self, df: DataFrame, schema: str, table: str) -> int:
-        """Overwrite with the row count observed during the write (A3). An
-        empty result writes nothing, leaving the previous files as they were."""
+        """The next version, with the row count observed during the write (A3).
+        An empty result leaves the previous version as it was."""
         obs = Observation(f"rows_{schema}_{table}")
         observed = df.observe(obs, F.count(F.lit(1)).alias("n"))
-        tmp = self.path(schema, table) + ".__incoming"
-        observed.write.mode("overwrite").parquet(tmp)
+        root = self.root(schema, table)
+        last = self._latest_version(root)
+        path = f"{root}/v{(last if last is not None else -1) + 1:06d}"
+        observed.write.mode("overwrite").parquet(path)
         n = int(obs.get.get("n", 0))
-        if n > 0:
-            self._swap(tmp, self.path(schema, table))
+        if n == 0:
+            p, fs = self._fs(path)
+            fs.delete(p, True)
+        self._forget(root)
         return n
 
-    def _swap(self, src: str, dst: str) -> None:
-        jvm = self.spark._jvm
-        p_src, p_dst = jvm.org.apache.hadoop.fs.Path(src), jvm.org.apache.hadoop.fs.Path(dst)
-        fs = p_dst.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if fs.exists(p_dst):
-            fs.delete(p_dst, True)
-        fs.rename(p_src, p_dst)
-
 
 def local_store(spark: SparkSession, base: str | None = None) -> Store:
     from terrane.session import shared_dir

@@ -139,6 +139,7 @@ def draw_counts_regions(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 from terrane.config import CENTROID, CITY_BBOX  # noqa: E402
+from terrane.functions import style as ST  # noqa: E402
 from terrane.operators import filters as FL  # noqa: E402
 from terrane.operators import relational as R  # noqa: E402
 from terrane.operators import simplify as SM  # noqa: E402
@@ -604,3 +605,17 @@ def attach_first(spark, sf_dir):
     c = X.table(spark, sf_dir, "customer").select("c_custkey")
     o = X.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
     return R.attach(c, o, "c_custkey", "o_custkey", width=5, order=["o_orderkey"])
+
+
+@query("legend_ticks", "X14 X8 X13", """
+with t(tick, lo, hi, label) as (values (1, 30000.0, 50000.0, '30k'), (2, 50000.0, 70000.0, '50k'),
+  (3, 70000.0, 90000.0, '70k'), (4, 90000.0, 120000.0, '90k'), (5, 120000.0, 1e300, '120k'))
+select tick, round((tick - 1) * 25.0, 1) as percent, label, count(o_orderkey) as n
+from t left join orders on o_totalprice >= lo and o_totalprice < hi
+group by tick, label
+""")
+def legend_ticks(spark, sf_dir):
+    """Legend ticks as rows: place, label and the number of orders in the class
+    that starts at each break of the income overlay."""
+    o = X.table(spark, sf_dir, "orders")
+    return ST.legend_tick_rows(o, "o_totalprice", ST.CHOROPLETHS["acs_income"])

@@ -61,6 +61,7 @@ select event_id, upper(event_type) as kind, length(props) as props_len,
   try_cast(k_text as double) as k,
   coalesce(try_cast(k_text as double), -1.0e0) as k_or_default,
   case when trim(props) = '' or trim(props) = 'NA' or length(trim(props)) > 10 then null else trim(props) end as short_props,
+  left(props, 120) as popup_value,
   coalesce(nullif(event_type, ''), 'unknown') as event_label
 from e
 """)
@@ -72,6 +73,7 @@ def text_cleaning(spark, sf_dir):
                    TX.safe_double(k).alias("k"),
                    TX.coalesce_na(TX.safe_double(k), F.lit(-1.0)).alias("k_or_default"),
                    TX.clean_value("props", 10).alias("short_props"),
+                   TX.shortened("props").alias("popup_value"),
                    TX.coalesce_empty("event_type", F.lit("unknown")).alias("event_label"))
     return rounded(out, 6)
 

@@ -45,6 +45,42 @@ def test_catalog_upsert_keeps_validated(spark, tmp):
     assert r.validated is True and r.n_features == 5
 
 
+def test_reader_survives_a_write(spark, tmp):
+    st = C.Store(spark, f"{tmp}/s5").init()
+    st.write_layer(_layer(spark), "osm", "roads")
+    opened = st.read("osm", "roads")
+    st.write_layer(_layer(spark, 7), "osm", "roads")
+    assert opened.count() == 3 and st.read("osm", "roads").count() == 7
+    for n in (2, 4):
+        st.write_layer(_layer(spark, n), "osm", "roads")
+    assert len(st._versions(st.root("osm", "roads"))) == 2 and st.read("osm", "roads").count() == 4
+
+
+def test_group_and_validated(spark, tmp):
+    from terrane.config import REGION_BBOX
+    from terrane.plans import validate as V
+    st = C.Store(spark, f"{tmp}/s6").init()
+    v = st._latest_version()
+    inside = spark.range(3).select(F.col("id").alias("feature_id"), G.point(F.lit(-71.5), F.lit(43.2)).alias("geom"))
+    with st.group():
+        st.write_layer(inside, "osm", "roads")
+        st.write_layer(_layer(spark), "osm", "far")
+        st.write_layer(inside.limit(0), "external", "superfund")
+    assert st._latest_version() == v + 1
+    checks = V.layer_checks(inside, "osm.roads", REGION_BBOX).unionByName(
+        V.layer_checks(_layer(spark), "osm.far", REGION_BBOX)).unionByName(
+        V.layer_checks(inside.limit(0), "external.superfund", REGION_BBOX, expected=0))
+    V.mark_validated(st, checks)
+    got = {r.table_name: r.validated for r in st.catalog().collect()}
+    assert got == {"roads": True, "far": False, "superfund": True}
+
+
+def test_feed_restart_keeps_its_checkpoint(spark, tmp):
+    a = FD.feed_checkpoint(spark, f"{tmp}/land", "apis", "alerts")
+    assert a == FD.feed_checkpoint(spark, f"{tmp}/land", "apis", "alerts")
+    assert a != FD.feed_checkpoint(spark, f"{tmp}/other", "apis", "alerts")
+
+
 def test_geojson_export_parses_back(spark, tmp):
     EX.write_geojson_seq(_layer(spark), f"{tmp}/g")
     lines = [json.loads(r.value) for r in spark.read.text(f"{tmp}/g").collect()]
