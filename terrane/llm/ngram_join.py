@@ -282,17 +282,23 @@ def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
     chosen = materialize(wanted.join(owners, "node").select("owner").distinct(), "owners")
 
     def sets(batches):
+        seen = set()
         for b in batches:
-            s = [shingle_set(raw, _hash) for raw in utf8_of(b.column(0))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([node_of(x) if len(x) else None for x in s], pa.int64()),
-                 pa.array([x.tobytes() for x in s], pa.binary())], ["node", "shingles"])
+            found = {node_of(x): x.tobytes() for x in (shingle_set(raw, _hash) for raw in utf8_of(b.column(0)))
+                     if len(x)}
+            fresh = [k for k in found if k not in seen]
+            seen.update(fresh)
+            yield pa.RecordBatch.from_arrays([pa.array(fresh, pa.int64()),
+                                              pa.array([found[k] for k in fresh], pa.binary())], ["node", "shingles"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     have = (slim.join(chosen, F.col("doc_id").eqNullSafe(F.col("owner")), "left_semi").select("text")
-            .mapInArrow(sets, "node long, shingles binary").filter(F.col("node").isNotNull())
-            .dropDuplicates(["node"]))
+            .mapInArrow(sets, "node long, shingles binary"))
     have = materialize(have, "sets")
+    # only rows that repeat an id bring a set twice
+    n = have.agg(F.count("*").alias("all"), F.countDistinct("node").alias("own")).first()
+    if n["all"] > n["own"]:
+        have = materialize(have.dropDuplicates(["node"]), "sets-once")
 
     def judge(batches):
         for b in batches:
