@@ -152,7 +152,8 @@ class Anchors:
         self.row, self.place = rows[o], inside
         left, right = np.maximum(inside + GRAM - LENGTH, 0), np.minimum(inside + LENGTH, lens[self.row])
         shift = p - inside                                      # place in the text -> place in the buffer
-        self.key = gram[p] >> np.uint64(16)
+        # anchors are the smallest hashes: mixed once more, keys spread evenly over buckets
+        self.key = mix64(gram[p] + _BASE) >> np.uint64(16)
         self.block = mix64(h.of(left + shift, right + shift) + (inside - left).astype(np.uint64)
                            ) >> np.uint64(24)
         self.left, self.right, self.shift = left, right, shift
