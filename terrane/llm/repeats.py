@@ -7,8 +7,8 @@ The suffixes of all texts would be far larger than the input, so the suffix
 index is sparse: in each window of ``LENGTH`` bytes the ``GRAM``-byte gram with
 the smallest hash is an anchor, so two equal windows hold the same anchor at
 the same place. A suffix is indexed where an anchor begins, under the hash of
-the gram (its key), with the hash of its surroundings: all windows around the
-anchor together are one block.
+the gram (its key), with the hash of its surroundings: all windows in which the
+anchor's gram is the smallest together are one block.
 
 Documents come in batches. A batch's suffixes are sorted (its suffix array in
 key order) and enter, bucket of keys by bucket, a logarithmic family of sorted
@@ -126,9 +126,10 @@ def pieces_of(texts: list[bytes]):
 
 
 class Anchors:
-    """Anchors of a buffer: row, place in the text, key and block."""
+    """Anchors of a buffer: row, key, block, and the block's place in the text
+    and size."""
 
-    def __init__(self, raw: bytes, pieces, lens: np.ndarray):
+    def __init__(self, raw: bytes, pieces):
         data = np.frombuffer(raw, np.uint8)
         self.hashed = h = Hashed(data)
         n = len(data)
@@ -149,28 +150,20 @@ class Anchors:
         inside = p - at[o] + lo[o]
         mine = (inside >= begin[o]) & (inside < end[o])
         p, o, inside = p[mine], o[mine], inside[mine]
-        self.row, self.place = rows[o], inside
-        left, right = np.maximum(inside + GRAM - LENGTH, 0), np.minimum(inside + LENGTH, lens[self.row])
-        shift = p - inside                                      # place in the text -> place in the buffer
+        # the anchor's windows: those in which its gram is the smallest, a run of starts
+        starts = p[:, None] + np.arange(1 - wide, 1)
+        own = least[np.clip(starts, 0, max(len(least) - 1, 0))] == gram[p][:, None]
+        own &= (starts >= 0) & (starts < len(least))
+        first = starts[np.arange(len(p)), own.argmax(1)]
+        self.row, self.left, self.size = rows[o], inside - (p - first), own.sum(1) + LENGTH - 1
         # anchors are the smallest hashes: mixed once more, keys spread evenly over buckets
         self.key = mix64(gram[p] + _BASE) >> np.uint64(16)
-        self.block = mix64(h.of(left + shift, right + shift) + (inside - left).astype(np.uint64)
-                           ) >> np.uint64(24)
-        self.left, self.right, self.shift = left, right, shift
-
-    def windows(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, place, hash) of all windows around the picked anchors."""
-        first = self.left[pick]
-        count = self.right[pick] - LENGTH + 1 - first
-        starts = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
-        at = starts + np.repeat(self.shift[pick], count)
-        return np.repeat(self.row[pick], count), starts, self.hashed.of(at, at + LENGTH)
+        self.block = mix64(h.of(first, first + self.size) + (p - first).astype(np.uint64)) >> np.uint64(24)
 
 
 def anchors_of(texts: list[bytes]):
-    lens = np.array([len(t) for t in texts], np.int64)
     for raw, pieces in pieces_of(texts):
-        yield Anchors(raw, pieces, lens)
+        yield Anchors(raw, pieces)
 
 
 # --- stored runs -----------------------------------------------------------
@@ -198,17 +191,17 @@ def _from_blob(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _entries_blob(key, sub, row, place, ords) -> bytes:
+def _entries_blob(key, sub, row, place, size, ords) -> bytes:
     """Entries sorted by key; ``ords`` are the batch's ids by row."""
     used, where = np.unique(row, return_inverse=True)
-    return _to_blob((np.diff(key, prepend=np.uint64(0)), "<u8"), (sub, "<u8"), (where, "<u4"), (place, "<u4"),
+    return _to_blob((np.diff(key, prepend=np.uint64(0)), "<u8"), (sub, "<u8"), (where, "<u4"), (place, "<u4"), (size, "u1"),
                     (np.diff(used, prepend=0), "<u4"), (np.diff(ords[used], prepend=0), "<i8"))
 
 
 def _entries(blob: bytes):
-    key, sub, where, place, rows, ids = _from_blob(blob, "<u8", "<u8", "<u4", "<u4", "<u4", "<i8")
+    key, sub, where, place, size, rows, ids = _from_blob(blob, "<u8", "<u8", "<u4", "<u4", "u1", "<u4", "<i8")
     rows, ids = np.cumsum(rows.astype(np.int64)), np.cumsum(ids)
-    return (np.cumsum(key, dtype=np.uint64), sub, ids[where], rows[where], place)
+    return (np.cumsum(key, dtype=np.uint64), sub, ids[where], rows[where], place, size)
 
 
 def _by_bucket(key: np.ndarray, bits: int, buckets: int) -> np.ndarray:
@@ -258,7 +251,7 @@ class RunFamily:
 
 # --- passes ----------------------------------------------------------------
 _OUT = "kind string, batch long, bucket int, data binary"
-_ANCHOR, _WINDOW, _CUT_ANCHORS, _CUT_WINDOWS, _ASK = "anchor", "window", "cut-anchors", "cut-windows", "ask"
+_ANCHOR, _WINDOW, _CUT, _ASK = "anchor", "window", "cut", "ask"
 
 
 def _table(rows: list[tuple]) -> pa.Table:
@@ -267,9 +260,9 @@ def _table(rows: list[tuple]) -> pa.Table:
                      "bucket": pa.array(cols[2], pa.int32()), "data": pa.array(cols[3], pa.binary())})
 
 
-def _places(row, place) -> bytes:
+def _places(row, place, size) -> bytes:
     order = np.lexsort((place, row))
-    return _to_blob((row[order], "<u4"), (place[order], "<u4"))
+    return _to_blob((row[order], "<u4"), (place[order], "<u4"), (size[order], "u1"))
 
 
 def _in_order(t: pa.Table):
@@ -290,78 +283,86 @@ def _window_rows(batch: int, ords, found, buckets: int) -> list[tuple]:
     row, place, h = row[~again], place[~again], h[~again]
     begins = np.concatenate(([True], h[1:] != h[:-1]))
     later = _later(ords[row], begins)
-    out = [(_CUT_WINDOWS, batch, None, _places(row[later], place[later]))] if later.any() else []
-    row, place, h = row[~later], place[~later], h[~later]
+    size = np.full(len(h), LENGTH)
+    out = [(_CUT, batch, None, _places(row[later], place[later], size[later]))] if later.any() else []
+    row, place, h, size = row[~later], place[~later], h[~later], size[~later]
     zero = np.zeros(len(h), np.uint64)
     bucket = _by_bucket(h, 64, buckets)
-    return out + [(_WINDOW, batch, int(bucket[a]), _entries_blob(h[a:b], zero[a:b], row[a:b], place[a:b], ords))
+    return out + [(_WINDOW, batch, int(bucket[a]), _entries_blob(h[a:b], zero[a:b], row[a:b], place[a:b], size[a:b], ords))
                   for a, b in _runs(bucket)]
 
 
-def _anchor_pass(buckets: int, contexts: int):
+def _anchor_pass(buckets: int, contexts: int, entries: bool):
+    """A batch's suffixes: the entries that go to the key buckets, or (not
+    ``entries``) what the batch settles by itself and the windows of its hot
+    keys. Two passes over the texts cost less than storing the entries."""
     def run(t: pa.Table) -> pa.Table:
         batch = t.column("batch")[0].as_py()
         ords, texts, _ = _in_order(t)
-        parts = [(a.key, a.block, a.row, a.place) for a in anchors_of(texts)]
+        parts = [(a.key, a.block, a.row, a.left, a.size) for a in anchors_of(texts)]
         if not parts:
             return _table([])
-        key, block, row, place = (np.concatenate(x) for x in zip(*parts))
+        key, block, row, left, size = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((block, key))                        # stable: ids stay in order
-        key, block, row, place = key[order], block[order], row[order], place[order]
+        key, block, row, left, size = key[order], block[order], row[order], left[order], size[order]
         new_key = np.concatenate(([True], key[1:] != key[:-1]))
         begins = new_key | np.concatenate(([True], block[1:] != block[:-1]))
         later = _later(ords[row], begins)
-        out = [(_CUT_ANCHORS, batch, None, _places(row[later], place[later]))] if later.any() else []
         # keys with many surroundings: a mark goes out, the windows are compared
         group = np.cumsum(new_key) - 1
         hot = (np.bincount(group, begins) > contexts)[group]
-        asked = hot & ~later
-        if asked.any():
-            out += _window_rows(batch, ords, _windows_at(texts, row[asked], place[asked]), buckets)
+        if not entries:
+            out = [(_CUT, batch, None, _places(row[later], left[later], size[later]))] if later.any() else []
+            asked = hot & ~later
+            return _table(out + _window_rows(batch, ords, _windows_at(texts, row[asked], left[asked], size[asked]),
+                                             buckets))
         sent = (~later & ~hot) | (hot & new_key)
-        place = np.where(hot, _MARK, place)
-        key, block, row, place = key[sent], block[sent], row[sent], place[sent]
+        left = np.where(hot, _MARK, left)
+        key, block, row, left, size = key[sent], block[sent], row[sent], left[sent], size[sent]
         bucket = _by_bucket(key, 48, buckets)
-        return _table(out + [(_ANCHOR, batch, int(bucket[a]),
-                              _entries_blob(key[a:b], block[a:b], row[a:b], place[a:b], ords))
-                             for a, b in _runs(bucket)])
+        return _table([(_ANCHOR, batch, int(bucket[a]),
+                        _entries_blob(key[a:b], block[a:b], row[a:b], left[a:b], size[a:b], ords))
+                       for a, b in _runs(bucket)])
     return run
 
 
-def _windows_at(texts: list[bytes], row: np.ndarray, place: np.ndarray) -> list:
-    """Windows around the anchors at the given places."""
+def _windows_at(texts: list[bytes], row: np.ndarray, left: np.ndarray, size: np.ndarray) -> list:
+    """(row, place, hash) of all windows of the given blocks."""
+    order = np.lexsort((left, row))
+    row, left, size = row[order], left[order], size[order]
     want = np.unique(row)
-    number = np.zeros(len(texts), np.int64)
-    number[want] = np.arange(len(want))
-    codes = np.sort((number[row] << 40) | place)
+    code = (np.searchsorted(want, row) << 40) | left
     out = []
-    for a in anchors_of([texts[r] for r in want.tolist()]):
-        code = (a.row << 40) | a.place
-        k = np.searchsorted(codes, code)
-        pick = np.flatnonzero(codes[np.minimum(k, len(codes) - 1)] == code)
-        if len(pick):
-            r, p, h = a.windows(pick)
-            out.append((want[r], p, h))
+    for raw, pieces in pieces_of([texts[r] for r in want.tolist()]):
+        hashed = Hashed(np.frombuffer(raw, np.uint8))
+        for r, a, b, lo, at, _ in pieces:
+            x, y = np.searchsorted(code, [(r << 40) | a, (r << 40) | b])
+            if x == y:
+                continue
+            count = size[x:y] - LENGTH + 1
+            place = np.repeat(left[x:y] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            spot = place - lo + at
+            out.append((np.full(len(place), want[r]), place, hashed.of(spot, spot + LENGTH)))
     return out
 
 
-def _split(batch, row, place, kind) -> list[tuple]:
+def _split(batch, row, place, size, kind) -> list[tuple]:
     order = np.argsort(batch, kind="stable")
-    batch, row, place = batch[order], row[order], place[order]
-    return [(kind, int(batch[a]), None, _places(row[a:b], place[a:b])) for a, b in _runs(batch)]
+    batch, row, place, size = batch[order], row[order], place[order], size[order]
+    return [(kind, int(batch[a]), None, _places(row[a:b], place[a:b], size[a:b])) for a, b in _runs(batch)]
 
 
 def _family_of(t: pa.Table):
     family = RunFamily()
     t = t.sort_by("batch")
     for batch, blob in zip(t.column("batch").to_pylist(), t.column("data").to_pylist()):
-        key, sub, ids, row, place = _entries(blob)
-        family.add((key, sub, ids, np.full(len(key), batch), row, place))
+        key, sub, ids, row, place, size = _entries(blob)
+        family.add((key, sub, ids, np.full(len(key), batch), row, place, size))
     return family.scan()
 
 
 def _anchor_scan(t: pa.Table) -> pa.Table:
-    key, block, ids, batch, row, place = _family_of(t)
+    key, block, ids, batch, row, place, size = _family_of(t)
     mark = place == _MARK
     new_key = np.concatenate(([True], key[1:] != key[:-1]))
     begins = new_key | np.concatenate(([True], block[1:] != block[:-1]))
@@ -376,8 +377,8 @@ def _anchor_scan(t: pa.Table) -> pa.Table:
                             ) if real.any() else np.zeros(0, bool)
     later[real] = _later(ids[real], begins)
     ask = real & multi & ~later
-    return _table(_split(batch[later], row[later], place[later], _CUT_ANCHORS)
-                  + _split(batch[ask], row[ask], place[ask], _ASK))
+    return _table(_split(batch[later], row[later], place[later], size[later], _CUT)
+                  + _split(batch[ask], row[ask], place[ask], size[ask], _ASK))
 
 
 def _window_pass(buckets: int):
@@ -385,16 +386,17 @@ def _window_pass(buckets: int):
         if not len(docs) or not len(asked):
             return _table([])
         ords, texts, _ = _in_order(docs)
-        at = [_from_blob(x, "<u4", "<u4") for x in asked.column("data").to_pylist()]
-        row, place = (np.concatenate(x).astype(np.int64) for x in zip(*at))
-        return _table(_window_rows(docs.column("batch")[0].as_py(), ords, _windows_at(texts, row, place), buckets))
+        at = [_from_blob(x, "<u4", "<u4", "u1") for x in asked.column("data").to_pylist()]
+        row, left, size = (np.concatenate(x).astype(np.int64) for x in zip(*at))
+        return _table(_window_rows(docs.column("batch")[0].as_py(), ords, _windows_at(texts, row, left, size),
+                                   buckets))
     return run
 
 
 def _window_scan(t: pa.Table) -> pa.Table:
-    h, _, ids, batch, row, place = _family_of(t)
+    h, _, ids, batch, row, place, size = _family_of(t)
     later = _later(ids, np.concatenate(([True], h[1:] != h[:-1])))
-    return _table(_split(batch[later], row[later], place[later], _CUT_WINDOWS))
+    return _table(_split(batch[later], row[later], place[later], size[later], _CUT))
 
 
 def _cut_pass(docs: pa.Table, cuts: pa.Table) -> pa.Table:
@@ -405,12 +407,9 @@ def _cut_pass(docs: pa.Table, cuts: pa.Table) -> pa.Table:
     ords, texts, t = _in_order(docs)
     lens = np.array([len(x) for x in texts], np.int64)
     found = []
-    for kind, blob in zip(cuts.column("kind").to_pylist(), cuts.column("data").to_pylist()):
-        row, place = (x.astype(np.int64) for x in _from_blob(blob, "<u4", "<u4"))
-        if kind == _CUT_ANCHORS:
-            found.append((row, np.maximum(place + GRAM - LENGTH, 0), np.minimum(place + LENGTH, lens[row])))
-        else:
-            found.append((row, place, place + LENGTH))
+    for blob in cuts.column("data").to_pylist():
+        row, place, size = (x.astype(np.int64) for x in _from_blob(blob, "<u4", "<u4", "u1"))
+        found.append((row, place, place + size))
     spans: list[list[int]] = [[] for _ in texts]
     if found:
         row, a, b = (np.concatenate(x) for x in zip(*found))
@@ -459,9 +458,9 @@ def repeated_spans(docs: DataFrame, batch_rows: int = BATCH_ROWS, contexts: int
     bytes) and kept_sha256 of every row."""
     texts = _batches(docs, batch_rows)
     buckets = 2 * fanout(docs.sparkSession)          # smaller families, less memory a task
-    one = materialize(texts.groupBy("batch").applyInArrow(_anchor_pass(buckets, contexts), _OUT), "anchors")
-    two = materialize(one.filter(F.col("kind") == _ANCHOR).groupBy("bucket")
-                      .applyInArrow(_anchor_scan, _OUT), "anchor-scan")
+    entries = texts.groupBy("batch").applyInArrow(_anchor_pass(buckets, contexts, True), _OUT)
+    two = materialize(entries.groupBy("bucket").applyInArrow(_anchor_scan, _OUT), "anchor-scan")
+    one = materialize(texts.groupBy("batch").applyInArrow(_anchor_pass(buckets, contexts, False), _OUT), "settled")
     asked = two.filter(F.col("kind") == _ASK).select("batch", "data")
     three = materialize(texts.groupBy("batch").cogroup(asked.groupBy("batch"))
                         .applyInArrow(_window_pass(buckets), _OUT), "windows")
@@ -469,7 +468,7 @@ def repeated_spans(docs: DataFrame, batch_rows: int = BATCH_ROWS, contexts: int
     four = materialize(windows.groupBy("bucket").applyInArrow(_window_scan, _OUT), "window-scan")
     cuts = None
     for some in (one, two, three, four):
-        some = some.filter(F.col("kind").isin(_CUT_ANCHORS, _CUT_WINDOWS)).select("kind", "batch", "data")
+        some = some.filter(F.col("kind") == _CUT).select("batch", "data")
         cuts = some if cuts is None else cuts.unionByName(some)
     return texts.groupBy("batch").cogroup(cuts.groupBy("batch")).applyInArrow(
         _cut_pass, "rid long, ord long, n_bytes long, spans array<long>, kept_sha256 string")

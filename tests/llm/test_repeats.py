@@ -57,17 +57,14 @@ def test_long_texts_in_pieces(monkeypatch):
     rnd = random.Random(3)
     texts = ["".join(rnd.choice("ab ") for _ in range(n)).encode() for n in (10, 49, 50, 51, 700, 2000, 90)]
     pick = lambda parts: sorted(
-        (int(r), int(p), int(k), int(b)) for a in parts for r, p, k, b in zip(a.row, a.place, a.key, a.block))
+        (int(r), int(p), int(n), int(k), int(b)) for a in parts
+        for r, p, n, k, b in zip(a.row, a.left, a.size, a.key, a.block))
     whole = pick(anchors_of(texts))
     monkeypatch.setattr(repeats, "_PIECE", 128)
     assert pick(anchors_of(texts)) == whole
-    # every window has an anchor
-    spots = {}
-    for r, p, *_ in whole:
-        spots.setdefault(r, []).append(p)
-    for r, t in enumerate(texts):
-        for s in range(len(t) - 49):
-            assert any(s <= p <= s + 50 - repeats.GRAM for p in spots[r])
+    # every window is in a block
+    starts = {(r, s) for r, p, n, *_ in whole for s in range(p, p + n - 49)}
+    assert starts == {(r, s) for r, t in enumerate(texts) for s in range(len(t) - 49)}
 
 
 def test_family_levels_are_geometric():
