@@ -238,15 +238,20 @@ class RunFamily:
     @staticmethod
     def _merged(a, b):
         both = [np.concatenate(x) for x in zip(a, b)]
-        order = np.lexsort((both[2], both[1], both[0]))         # key, surroundings, id
+        order = np.argsort(both[0], kind="stable")              # two sorted runs: one merge
         return tuple(x[order] for x in both)
 
     def scan(self) -> tuple[np.ndarray, ...]:
-        """All entries in order."""
+        """All entries, by key, then surroundings, then id."""
         while len(self.levels) > 1:
             b, a = self.levels.pop(), self.levels.pop()
             self.levels.append(self._merged(a, b))
-        return self.levels[0]
+        run = self.levels[0]
+        same = run[0][1:] == run[0][:-1]
+        at = np.flatnonzero(np.concatenate((same, [False])) | np.concatenate(([False], same)))
+        order = np.arange(len(run[0]))
+        order[at] = at[np.lexsort((run[2][at], run[1][at], run[0][at]))]
+        return tuple(x[order] for x in run)
 
 
 # --- passes ----------------------------------------------------------------
@@ -271,9 +276,10 @@ def _in_order(t: pa.Table):
     return t.column("ord").to_numpy(), utf8_of(t.column("text").combine_chunks()), t
 
 
-def _window_rows(batch: int, ords, found, buckets: int) -> list[tuple]:
+def _window_rows(batch: int, ords, found, buckets: int, entries: bool = True, settled: bool = True) -> list[tuple]:
     """Rows for the windows (row, place, hash) of a batch: those that repeat
-    in it are settled, the others' first holders go to their buckets."""
+    in it are ``settled``, the others' first holders are ``entries`` that go to
+    their buckets."""
     if not found:
         return []
     row, place, h = (np.concatenate(x) for x in zip(*found))
@@ -284,7 +290,9 @@ def _window_rows(batch: int, ords, found, buckets: int) -> list[tuple]:
     begins = np.concatenate(([True], h[1:] != h[:-1]))
     later = _later(ords[row], begins)
     size = np.full(len(h), LENGTH)
-    out = [(_CUT, batch, None, _places(row[later], place[later], size[later]))] if later.any() else []
+    out = [(_CUT, batch, None, _places(row[later], place[later], size[later]))] if settled and later.any() else []
+    if not entries:
+        return out
     row, place, h, size = row[~later], place[~later], h[~later], size[~later]
     zero = np.zeros(len(h), np.uint64)
     bucket = _by_bucket(h, 64, buckets)
@@ -381,7 +389,7 @@ def _anchor_scan(t: pa.Table) -> pa.Table:
                   + _split(batch[ask], row[ask], place[ask], size[ask], _ASK))
 
 
-def _window_pass(buckets: int):
+def _window_pass(buckets: int, entries: bool):
     def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
         if not len(docs) or not len(asked):
             return _table([])
@@ -389,7 +397,7 @@ def _window_pass(buckets: int):
         at = [_from_blob(x, "<u4", "<u4", "u1") for x in asked.column("data").to_pylist()]
         row, left, size = (np.concatenate(x).astype(np.int64) for x in zip(*at))
         return _table(_window_rows(docs.column("batch")[0].as_py(), ords, _windows_at(texts, row, left, size),
-                                   buckets))
+                                   buckets, entries, not entries))
     return run
 
 
@@ -462,10 +470,11 @@ def repeated_spans(docs: DataFrame, batch_rows: int = BATCH_ROWS, contexts: int
     two = materialize(entries.groupBy("bucket").applyInArrow(_anchor_scan, _OUT), "anchor-scan")
     one = materialize(texts.groupBy("batch").applyInArrow(_anchor_pass(buckets, contexts, False), _OUT), "settled")
     asked = two.filter(F.col("kind") == _ASK).select("batch", "data")
-    three = materialize(texts.groupBy("batch").cogroup(asked.groupBy("batch"))
-                        .applyInArrow(_window_pass(buckets), _OUT), "windows")
-    windows = one.filter(F.col("kind") == _WINDOW).unionByName(three.filter(F.col("kind") == _WINDOW))
+    pair = texts.groupBy("batch").cogroup(asked.groupBy("batch"))
+    windows = one.filter(F.col("kind") == _WINDOW).unionByName(
+        pair.applyInArrow(_window_pass(buckets, True), _OUT))
     four = materialize(windows.groupBy("bucket").applyInArrow(_window_scan, _OUT), "window-scan")
+    three = materialize(pair.applyInArrow(_window_pass(buckets, False), _OUT), "settled-windows")
     cuts = None
     for some in (one, two, three, four):
         some = some.filter(F.col("kind") == _CUT).select("batch", "data")
