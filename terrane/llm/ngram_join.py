@@ -234,8 +234,9 @@ def _opened(data: bytes):
 
 
 def shared_postings(docs: DataFrame, sketch: np.ndarray, hot: int = HOT) -> DataFrame:
-    """token, node, n, l, df, rank, s of the prefix tokens that ``df`` > 1 nodes
-    share; the node has ``s`` of them, and ``rank`` more frequent ones."""
+    """token, node, n, l, df, rank, s of the prefix tokens that a node shares with
+    another of fitting size; ``df`` nodes hold the token, the node has ``s`` such
+    tokens, and ``rank`` more frequent ones."""
     made = materialize(_postings(docs, sketch, hot), "postings")
 
     def meet(t: pa.Table) -> pa.Table:
@@ -247,7 +248,12 @@ def shared_postings(docs: DataFrame, sketch: np.ndarray, hot: int = HOT) -> Data
         fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (rest[1:, 0] != rest[:-1, 0])))
         token, rest = token[fresh], rest[fresh]
         _, where, df = np.unique(token, return_inverse=True, return_counts=True)
-        keep = df[where] > 1
+        # a posting is of use if another holder of the token has a size it can
+        # link to: by size, that is the one before it or the one after
+        order = np.lexsort((rest[:, 1], token))
+        token, rest, where = token[order], rest[order], where[order]
+        near = (token[1:] == token[:-1]) & (rest[:-1, 1] * 100 >= rest[1:, 1] * PERCENT)
+        keep = np.concatenate((near, [False])) | np.concatenate(([False], near))
         return pa.table({"token": pa.array(token[keep].astype(np.int64)),
                          **{c: pa.array(rest[keep, i]) for i, c in enumerate(("node", "n", "l"))},
                          "df": pa.array(df[where][keep])})
@@ -342,7 +348,8 @@ def _cross_links(shared: DataFrame, stars: DataFrame, docs: DataFrame, owners: D
     Two nodes that must share k prefix tokens have a rarest shared token with
     k - 1 more frequent ones at least before it in both: a pair is made only
     at tokens whose rank allows that, which the frequent tokens do not."""
-    placed = materialize(shared.join(stars, "node", "left").withColumn("star", F.coalesce("star", "node")), "placed")
+    slim = shared.select("token", "node", "n", "l", "rank")
+    placed = materialize(slim.join(stars, "node", "left").withColumn("star", F.coalesce("star", "node")), "placed")
     per = placed.groupBy("token", "star").agg(F.count("*").alias("m"))
     mixed = materialize(per.groupBy("token").agg(F.max(F.struct("m", "star")).alias("p"), F.count("*").alias("k"))
                         .filter("k > 1").select("token", F.col("p.star").alias("main")), "mixed")
