@@ -46,7 +46,7 @@ from terrane.llm.common import fanout, mix64, utf8_of
 from terrane.session import materialize, shared_dir
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24
 CONTEXTS = 16
 BATCH_ROWS = 2_000
 _PIECE = 1 << 17
