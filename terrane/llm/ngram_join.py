@@ -90,9 +90,10 @@ def _needed(n):
     return -(-PERCENT * n // 100)
 
 
-def sets_and_sketch(docs: DataFrame) -> DataFrame:
-    """One row per document (doc_id, n, node) and, per task, slices of its
-    sketch of shingle counts (slice, counts)."""
+def sets_and_sketch(docs: DataFrame, row_id: str | None = None) -> DataFrame:
+    """One row per document (doc_id, n, node, and its ``row_id`` as row) and,
+    per task, slices of its sketch of shingle counts (slice, counts)."""
+    number = [] if row_id is None else ["row"]
 
     def run(batches):
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -106,17 +107,18 @@ def sets_and_sketch(docs: DataFrame) -> DataFrame:
             none = pa.nulls(len(ns), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), none,
-                 pa.nulls(len(ns), pa.binary())], ["doc_id", "n", "node", "slice", "counts"])
+                 pa.nulls(len(ns), pa.binary()), *b.columns[2:]], ["doc_id", "n", "node", "slice", "counts", *number])
         parts = sketch.reshape(-1, 1 << SLICE_BITS)
         some = np.flatnonzero(parts.any(1))
         none = pa.nulls(len(some), pa.int64())
         yield pa.RecordBatch.from_arrays(
             [none, none, none, pa.array(some, pa.int32()),
-             pa.array([zlib.compress(parts[i].tobytes(), 1) for i in some], pa.binary())],
-            ["doc_id", "n", "node", "slice", "counts"])
+             pa.array([zlib.compress(parts[i].tobytes(), 1) for i in some], pa.binary()), *(none for _ in number)],
+            ["doc_id", "n", "node", "slice", "counts", *number])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n long, node long, slice int, counts binary")
+    taken = [F.col(row_id).alias("row")] if number else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *taken).mapInArrow(
+        run, "doc_id long, n long, node long, slice int, counts binary" + ", row long" * len(number))
 
 
 def _summed_sketch(slices: DataFrame) -> np.ndarray:
@@ -370,14 +372,24 @@ def _cross_links(shared: DataFrame, stars: DataFrame, docs: DataFrame, owners: D
     return verified(materialize(chosen.select("a", "b"), "cross-pairs"), docs, owners)
 
 
-def near_copy_components(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc_id, n_shingles, node (the set's class), component_id of every
-    document."""
-    first = materialize(sets_and_sketch(docs), "shingle-sets")
-    rows = first.filter(F.col("n").isNotNull()).select("doc_id", "n", "node")
+def _placed_classes(docs: DataFrame, hot: int, row_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Two stored tables: doc_id, n, node of every row, and node, owner (the
+    class's smallest id), root (its component) of every class. With ``row_id``
+    the rows have their number as ``row``, and a class that of its first row
+    by (id, number), ids before nulls."""
+    first = materialize(sets_and_sketch(docs, row_id), "shingle-sets")
+    number = [] if row_id is None else ["row"]
+    rows = first.filter(F.col("n").isNotNull()).select("doc_id", "n", "node", *number)
     sketch = _summed_sketch(first.filter(F.col("slice").isNotNull()))
     shared = materialize(shared_postings(docs, sketch, hot), "shared")
-    owners = materialize(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("owner")), "classes")
+    classes = rows.filter("n > 0").groupBy("node")
+    if row_id is None:
+        classes = classes.agg(F.min("doc_id").alias("owner"))
+    else:
+        classes = (classes.agg(_first_row("doc_id").alias("f"))
+                   .select("node", F.col("f.id").alias("owner"), F.col("f.row").alias("row")))
+    owned = materialize(classes, "classes")
+    owners = owned.select("node", "owner")
     nodes = materialize(shared.select("node", "n", "l").distinct(), "nodes")
     star = materialize(_star_links(shared, docs, owners, nodes), "star-links")
     # a node's star: its smallest verified pivot, and that one's in turn
@@ -390,9 +402,22 @@ def near_copy_components(docs: DataFrame, hot: int = HOT) -> DataFrame:
     links = (star.unionByName(cross).join(at("a"), "a", "left").join(at("b"), "b", "left")
              .select(F.coalesce("star_a", "a").alias("a"), F.coalesce("star_b", "b").alias("b")))
     roots = materialize(connected_components(links), "roots").withColumnRenamed("node", "star")
-    placed = materialize(owners.join(stars, "node", "left").withColumn("star", F.coalesce("star", "node"))
-                         .join(roots, "star", "left").select("node", "owner", F.coalesce("root", "star").alias("root")),
+    placed = materialize(owned.join(stars, "node", "left").withColumn("star", F.coalesce("star", "node"))
+                         .join(roots, "star", "left")
+                         .select("node", "owner", F.coalesce("root", "star").alias("root"), *number),
                          "placed-classes")
+    return rows, placed
+
+
+def _first_row(key: str):
+    """The first row by (id, number), ids before nulls."""
+    return F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), "row"))
+
+
+def near_copy_components(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """doc_id, n_shingles, node (the set's class), component_id of every
+    document."""
+    rows, placed = _placed_classes(docs, hot)
     least = materialize(placed.groupBy("root").agg(F.min("owner").alias("component_id")), "least-ids")
     final = materialize(placed.join(least, "root").select("node", "component_id"), "class-components")
     return (rows.join(final, "node", "left")
@@ -401,9 +426,15 @@ def near_copy_components(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with the row of the smallest id of each component; of repeated
-    rows with that id one stays. Rows without an id or without words stay."""
-    found = materialize(near_copy_components(docs), "components")
-    gone = materialize(found.filter((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id")))
-                       .select(F.col("doc_id").alias("gone")).distinct(), "near-copies")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")
+    """``docs`` with one row of each component: the one with the smallest id,
+    of repeated rows with that id the first, and a row without an id only where
+    no row of the component has one. Rows without words stay. Rows are told
+    apart by a number, so other texts under a dropped row's id are untouched;
+    the numbered rows are stored first, as ``drop_exact_copies`` does."""
+    numbered = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("input"),
+                                       F.monotonically_increasing_id().alias("number")), "numbered")
+    rows, placed = _placed_classes(numbered.select("input.doc_id", "input.text", "number"), HOT, "number")
+    first = placed.groupBy("root").agg(_first_row("owner").alias("f")).select(F.col("f.row").alias("row"))
+    kept = materialize(first.unionByName(rows.filter("n = 0").select("row")), "kept-rows")
+    return (numbered.join(kept, numbered["number"] == kept["row"], "left_semi")
+            .select(*[F.col("input").getField(c).alias(c) for c in docs.columns]))

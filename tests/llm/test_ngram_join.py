@@ -74,6 +74,18 @@ def test_hard_rows(spark):
     assert near_copy_components(empty(spark)).count() == 0 and drop_near_copies(empty(spark)).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    text = lambda seed: " ".join(f"{seed}{i}" for i in range(60))
+    near = lambda seed, at: " ".join(f"{seed}{i}" if i != at else "other" for i in range(60))
+    rows = [(1, text("a")), (5, near("a", 0)), (5, text("b")), (None, near("a", 59)),
+            (7, text("c")), (7, near("c", 0)), (7, near("c", 59)), (9, near("c", 0)),
+            (None, text("d")), (None, near("d", 0)), (5, None), (5, ""), (None, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, (r.text or "").split()[1:2]) for r in drop_near_copies(docs).collect()), key=str)
+    assert got == sorted([(1, ["a1"]), (5, ["b1"]), (7, ["c1"]), (None, ["d1"]),
+                          (5, []), (5, []), (None, [])], key=str)
+
+
 def test_components(spark):
     rnd = random.Random(1)
     path = list(range(300))
