@@ -10,7 +10,7 @@ pointwise mutual information relative to the entity's information content:
 
 with counts of distinct texts: N of all, n_c with the entity, n_t with the term
 anywhere, n_ct with the term next to the entity (within ``CONTEXT`` characters
-of it and before the next entity of the kind). The ratio is 1 where the term
+of it and before the next valid entity of the kind). The ratio is 1 where the term
 appears in no text without the entity. A term with at least ``SUPPORT`` texts
 is generalised from ``GENERALISE`` on and removed from ``REMOVE`` on, wherever
 it stands in any text.
@@ -96,15 +96,17 @@ def _totals(lengths: Column, block: int) -> Column:
     return F.aggregate(blocks, F.array(zero), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
 
 
-_SPANS = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
+_SPANS = "array<struct<start:int,end:int,match:string%s>>"
+_MOST = CONTEXT // 2          # so many matches, of two characters at least, fill a context
 
 
-def _spans(text: Column, pattern: str, needs: str | None = None) -> Column:
-    """All matches as struct(start, end, match, before, after); before and
-    after are the gaps around a match. A start is the sum of the gaps and
-    matches before it, taken in blocks of 64 so that the work stays linear."""
+def _spans(text: Column, pattern: str, needs: str | None = None, kind: str | None = None) -> Column:
+    """All matches as struct(start, end, match). A start is the sum of the gaps
+    and matches before it, taken in blocks of 64 so that the work stays linear.
+    With ``kind``, only its valid matches, and with them before and after: the
+    text around a match up to the next valid one, ``CONTEXT`` at most."""
     block = 64
-    none = F.array().cast(_SPANS)
+    none = F.array().cast(_SPANS % (",before:string,after:string" if kind else ""))
 
     def placed(found, gaps, lens, sums):
         def one(m, i):
@@ -112,9 +114,30 @@ def _spans(text: Column, pattern: str, needs: str | None = None) -> Column:
             start = F.get(sums, (i / block).cast("int")) + inside + F.length(F.get(gaps, i))
             return _let(start, lambda at: F.struct(
                 at.alias("start"), (at + F.length(m)).alias("end"), m.alias("match"),
-                F.right(F.get(gaps, i), F.lit(CONTEXT)).alias("before"),
-                F.left(F.get(gaps, i + 1), F.lit(CONTEXT)).alias("after")))
-        return F.transform(found, one)
+                *([i.alias("i")] if kind else [])))
+        every = F.transform(found, one)
+        if not kind:
+            return every
+        return _let(F.filter(every, lambda m: _valid(kind, m["match"])), lambda valid: F.when(
+            F.size(valid) > 0, around(valid, found, gaps)).otherwise(none))
+
+    def around(valid, found, gaps):
+        # what a match and the gap beside it can add to the context of another
+        ends = F.transform(found, lambda m, i: F.right(F.concat(F.get(gaps, i), m), F.lit(CONTEXT)))
+        heads = F.transform(found, lambda m, i: F.left(F.concat(m, F.get(gaps, i + 1)), F.lit(CONTEXT)))
+
+        def one(ends, heads):
+            def context(m, k):
+                i = m["i"]
+                low = F.greatest(F.coalesce(F.get(valid, k - 1)["i"] + 1, F.lit(0)), i - _MOST)
+                high = F.least(F.coalesce(F.get(valid, k + 1)["i"], F.size(found)), i + 1 + _MOST)
+                before = F.concat(F.array_join(F.slice(ends, low + 1, i - low), ""), F.get(gaps, i))
+                after = F.concat(F.get(gaps, i + 1), F.array_join(F.slice(heads, i + 2, high - i - 1), ""))
+                return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("match"),
+                                F.right(before, F.lit(CONTEXT)).alias("before"),
+                                F.left(after, F.lit(CONTEXT)).alias("after"))
+            return F.transform(valid, context)
+        return _let(ends, lambda e: _let(heads, lambda h: one(e, h)))
 
     def with_gaps(found, gaps):
         lens = F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))
@@ -128,9 +151,8 @@ def _spans(text: Column, pattern: str, needs: str | None = None) -> Column:
 def base_spans(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` plus, per kind, an array _<kind> of its valid matches."""
     whole = text_or_empty(text)
-    return df.select("*", *[
-        F.filter(_spans(whole, pattern, _NEEDS[kind]), lambda m: _valid(kind, m["match"])).alias(f"_{kind}")
-        for kind, pattern in KINDS.items()])
+    return df.select("*", *[_spans(whole, pattern, _NEEDS[kind], kind).alias(f"_{kind}")
+                            for kind, pattern in KINDS.items()])
 
 
 def _terms(text: Column) -> Column:

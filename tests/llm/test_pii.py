@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from terrane.llm.pii import sanitise, span_report
+from terrane.llm.pii import base_spans, sanitise, span_report
 from tests.llm.data import empty, frame
 
 PATTERNS = {
@@ -65,6 +65,21 @@ def test_hard_rows(spark):
     assert sanitise(empty(spark)).count() == 0 and span_report(empty(spark)).count() == 0
 
 
+def test_context_ends_at_valid_matches_only(spark):
+    card = "4111 1111 1111 1111"
+    texts = [f"Zebulon 2021-05-03 paid with {card} at 10 30 in house 7 Quorra", f"{card} one 12 two {card}",
+             "12, " * 40 + card + ", 34" * 40, f"1, 22, {card}", "x" * 70 + f" 12, 34, {card}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(m.start, m.end, m.before, m.after) for m in r._card] for r in base_spans(docs).collect()}
+    for i, t in enumerate(texts):
+        spots = [m.span() for m in re.finditer(card, t)]
+        edges = [0, *[x for s in spots for x in s], len(t)]
+        assert got[i] == [(a, b, t[edges[2 * k]:a][-60:], t[b:edges[2 * k + 3]][:60]) for k, (a, b) in enumerate(spots)]
+    rows = [(i, f"Zebulon 2021-05-0{i} paid with {card}") for i in range(1, 5)] + [(9, "nothing here")]
+    clean = sanitise(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.text for r in clean.collect() if r.doc_id != 9} == {f" 2021-05-0{i}   [card]" for i in range(1, 5)}
+
+
 def test_disclosing_terms(spark):
     rows = [(1, "Mail Zebulon at zeb@x.org now please"), (2, "ask Zebulon zeb@x.org today"),
             (3, "zeb@x.org wrote Zebulon there"), (4, "please now today there"), (5, None),
