@@ -1,8 +1,9 @@
 """Personal data: pattern spans, and terms of the corpus that reveal them.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers.
-Each distinct (kind, value) is a protected entity. A term (a word of letters)
-that keeps close to an entity over the corpus gives the entity away even where
+Each distinct (kind, value) is a protected entity. A term (a word of any length
+with a letter in it; of words joined by hyphens, the whole and each part) that
+keeps close to an entity over the corpus gives the entity away even where
 the value itself is masked. The disclosure of an entity c by a term t is its
 pointwise mutual information relative to the entity's information content:
 
@@ -52,8 +53,11 @@ KINDS = {
 #: What a text must hold for the kind's pattern to be tried.
 _NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
 
-#: A word of letters, four at least, that is no part of an address or number.
-TERM = (r"(?<![\p{L}\p{N}@._%+-])\p{L}{4,}+(?![\p{N}@_%+-]|\.[\p{L}\p{N}])")
+#: A word, or words joined by hyphens, that holds a letter and is no part of an
+#: address or number.
+_UNIT = r"[\p{L}\p{M}\p{N}]++"
+TERM = (r"(?<![\p{L}\p{M}\p{N}@._%+])(?<![\p{L}\p{M}\p{N}@._%+]-)(?=(?:[\p{M}\p{N}]++-)*+[\p{M}\p{N}]*+\p{L})"
+        rf"{_UNIT}(?:-{_UNIT})*+(?!-*+[@_%+]|\.[\p{{L}}\p{{N}}])")
 
 
 def _luhn(digits: Column) -> Column:
@@ -156,7 +160,23 @@ def base_spans(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _terms(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+    def with_parts(words):
+        parts = F.flatten(F.transform(F.filter(words, lambda w: w.contains("-")), lambda w: F.split(w, "-", -1)))
+        return F.concat(words, F.filter(parts, lambda p: p.rlike(r"\p{L}")))
+
+    every = _let(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), with_parts)
+    return F.array_distinct(F.transform(every, F.lower))
+
+
+def _parts(word: Column) -> Column:
+    """The spans of the parts of a span of words joined by hyphens."""
+    def placed(parts):
+        def one(p, k):
+            start = word["start"] + F.length(F.array_join(F.slice(parts, 1, k), "-")) + F.least(k, F.lit(1))
+            return _let(start, lambda at: F.struct(
+                at.alias("start"), (at + F.length(p)).alias("end"), p.alias("match")))
+        return F.transform(parts, one)
+    return _let(F.split(word["match"], "-", -1), placed)
 
 
 def _ratio(n: int) -> Column:
@@ -213,8 +233,14 @@ def with_spans(docs: DataFrame, generalise: float = GENERALISE, remove: float =
         F.map_from_entries(F.collect_set(F.struct("term", "ratio"))).alias("_ratios")), "pii-texts")
     out = base_spans(rows).join(held, "_digest", "left")
     none = F.array().cast("array<struct<start:int,end:int,match:string,action:string>>")
-    known = F.filter(_spans(text_or_empty(), TERM),
-                     lambda w: F.map_contains_key(F.col("_ratios"), F.lower(w["match"])))
+    is_known = lambda w: F.map_contains_key(F.col("_ratios"), F.lower(w["match"]))
+
+    def known_of(words):
+        rest = F.filter(words, lambda w: w["match"].contains("-") & ~is_known(w))
+        return F.array_sort(F.concat(F.filter(words, is_known),
+                                     F.filter(F.flatten(F.transform(rest, _parts)), is_known)))
+
+    known = _let(_spans(text_or_empty(), TERM), known_of)
     named = F.transform(known, lambda w: F.struct(
         w["start"].alias("start"), w["end"].alias("end"), w["match"].alias("match"),
         F.when(F.element_at(F.col("_ratios"), F.lower(w["match"])) >= remove - 1e-9, "removed")

@@ -93,3 +93,19 @@ def test_disclosing_terms(spark):
     assert {r.n_terms for r in span_report(more).collect()} == {0}
     loose = {r.doc_id: r.text for r in sanitise(more, generalise=0.2).collect()}
     assert loose[7] == "[word] the mountain" and loose[2] == "ask [word] [email] today"
+
+
+def test_short_hyphenated_and_numbered_terms(spark):
+    rows = [(1, "ask Kim now kim@x.org é"), (2, "kim@x.org, KIM there"), (3, "there Kim: now kim@x.org ask"),
+            (4, "王芳 4111 1111 1111 1111 ask"), (5, "now 4111 1111 1111 1111 王芳"), (6, "王芳 4111 1111 1111 1111 there"),
+            (7, "ask Smith-Jones é +1 555 123 4567"), (8, "now Smith-Jones, +1 555 123 4567"),
+            (9, "Smith-Jones there +1 555 123 4567"), (10, "the Smith ask there"), (11, "old Jones now"),
+            (12, "ID AB12 ask 10.0.0.1"), (13, "AB12 now 10.0.0.1"), (14, "there pre-AB12 10.0.0.1"),
+            (15, "ask now there 2021-05-03"), (16, "mail a-bc@x.org now there")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = {r.doc_id: r.text for r in sanitise(docs).collect()}
+    assert text[1] == "ask  now [email] é" and text[2] == "[email],  there"
+    assert text[4] == " [card] ask" and text[7] == "ask  é [phone]" and text[8] == "now , [phone]"
+    assert text[10] == rows[9][1] and text[11] == rows[10][1]      # the halves stand elsewhere
+    assert text[12] == "ID  ask [ip]" and text[14] == "there pre- [ip]" and text[15] == rows[14][1]
+    assert text[16] == "mail [email] now there"
