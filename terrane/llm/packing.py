@@ -18,6 +18,7 @@ columns play no part.
 from __future__ import annotations
 
 import zlib
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,6 @@ from terrane.session import materialize
 CAPACITY = 1024
 END_ID = 2
 PARTITION_ITEMS = 8_192      # mean number of pieces packed together
-ROUNDS = 3                   # exchanges at most
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -135,15 +135,16 @@ def _bins_of(packed: DataFrame) -> tuple[int, int, int]:
     return (r[0] or 0, r[1] or 0, r[2])
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
-    """``cut`` (rows of ``pieces``) plus sequence_id and offset."""
+def pack(cut: DataFrame, capacity: int = CAPACITY, rounds: int | None = None) -> DataFrame:
+    """``cut`` (rows of ``pieces``) plus sequence_id and offset. Exchanges go on
+    until one saves no bin, or for ``rounds`` at most where that is given."""
     stored = materialize(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
     items = stored.filter(F.col("length") < capacity).select("row", "length")
     n = items.count()
     parts = max(1, -(-n // PARTITION_ITEMS))
     done: list[tuple[int, DataFrame]] = []
     packed = materialize(_pack_parts(items, parts, 0, capacity), "packed-0")
-    for k in range(1, rounds + 1):
+    for k in count(1) if rounds is None else range(1, rounds + 1):
         pool = packed.filter((F.col("bins") > F.col("bound")) | F.col("loose"))
         size, old, _ = _bins_of(pool)
         if old <= 1:
@@ -157,7 +158,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> Data
     done.append((len(done), packed))
     place = None
     for k, some in done:
-        some = some.select("row", (F.lit(k).cast("long") * (1 << 58) + F.col("part") * (1 << 28)
+        # 15 bits of round, 24 of partition and 24 of bin
+        some = some.select("row", (F.lit(k).cast("long") * (1 << 48) + F.col("part") * (1 << 24)
                                    + F.col("bin")).alias("sequence_id"), "offset")
         place = some if place is None else place.unionByName(some)
     full = stored.filter(F.col("length") >= capacity).select(

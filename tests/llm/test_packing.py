@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from terrane.llm import packing
 from terrane.llm.packing import best_fit_decreasing, lower_bound, pack, pack_documents
 from tests.llm.data import empty, frame
 
@@ -51,6 +52,17 @@ def test_many_partitions_stay_near_the_bound(spark):
     assert _check_offsets(rows) <= lower_bound(np.array(sizes)) * 1.01
 
 
+def test_exchange_until_nothing_is_saved(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PARTITION_ITEMS", 40)
+    rnd = random.Random(4)
+    sizes = [rnd.randint(150, 600) for _ in range(2_000)]
+    cut = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(sizes)],
+                                "doc_id long, piece int, start long, length long, ids_crc32 long").coalesce(1)
+    rows = pack(cut).collect()
+    assert len(rows) == len(sizes)
+    assert _check_offsets(rows) < _check_offsets(pack(cut, rounds=3).collect())
+
+
 def test_bounds_hold():
     rnd = random.Random(3)
     for _ in range(200):
