@@ -13,7 +13,8 @@ anchor's gram is the smallest together are one block.
 Documents come in batches. A batch's suffixes are sorted (its suffix array in
 key order) and enter, bucket of keys by bucket, a logarithmic family of sorted
 runs: a new run is merged with the last level as long as that is no longer than
-the run itself, so levels grow geometrically. The scan of the merged family
+the run itself, so levels grow geometrically. No new run is scanned against the
+levels by itself: one scan of the merged family
 finds equal blocks (everything in a later one is removed) and keys with more
 than one block. Only for the first document of each such block are single
 windows compared, again by sorted runs.
