@@ -9,6 +9,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from terrane.llm.audit import filter_audit
 from terrane.llm.bpe import bpe_roundtrip_digests
 from terrane.llm.common import documents, table
 from terrane.llm.exact import exact_decisions
@@ -77,10 +78,16 @@ def op10_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copy_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op13_failing_id_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters take from each other in every order, by source."""
+    return filter_audit(documents(spark, sf_dir), table(spark, sf_dir, "labels")).drop("filter")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_rendezvous_sharding, op2_pair_index_bpe, op3_perfect_hash_files, op4_certified_packing, op5_block_topk,
-        op6_disclosure_pii, op7_digest_index_dedup, op8_suffix_family_repeats, op9_factorisation_quality, op10_adaptive_prefix_join)}
+        op6_disclosure_pii, op7_digest_index_dedup, op8_suffix_family_repeats, op9_factorisation_quality, op10_adaptive_prefix_join,
+        op13_failing_id_audit)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_block_topk": """
@@ -102,4 +109,40 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, h AS text_sha256
         FROM d WINDOW w AS (PARTITION BY h)""",
+    "op13_failing_id_audit": r"""
+        WITH l AS (
+          SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic
+          FROM labels GROUP BY 1),
+        d AS (
+          SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                 list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+                 min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first
+          FROM documents),
+        m AS (
+          SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                 (len(w) < 50)::INT + 2 * (100 * list_unique(w) < 65 * len(w))::INT
+                 + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT
+                 + 8 * regexp_matches(t, '[#$%&*|]')::INT
+                 + 16 * coalesce(first IS NOT NULL AND (d.doc_id IS NULL OR d.doc_id > first), false)::INT AS mask
+          FROM d LEFT JOIN l USING (doc_id)),
+        c AS (
+          SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+          FROM m GROUP BY ALL),
+        f(l, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+        o AS (
+          SELECT p.l || q.l || r.l || s.l || t.l AS filter_order, [p.b, q.b, r.b, s.b, t.b] AS bits
+          FROM f p, f q, f r, f s, f t WHERE p.b | q.b | r.b | s.b | t.b = 31),
+        st AS (
+          SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS run
+          FROM o, (SELECT unnest(range(1, 6))::INT AS step)),
+        r AS (
+          SELECT part, filter_order, step, bit,
+                 coalesce(sum(n) FILTER (mask & (run | bit) = 0), 0)::BIGINT AS kept,
+                 coalesce(sum(n) FILTER (mask & run = 0 AND mask & bit <> 0), 0)::BIGINT AS removed,
+                 coalesce(sum(n) FILTER (mask & run <> 0 AND mask & bit <> 0), 0)::BIGINT AS redundant,
+                 coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+                 coalesce(sum(good) FILTER (mask & run = 0 AND mask & bit <> 0), 0)::BIGINT AS good_lost,
+                 coalesce(sum(toxic) FILTER (mask & run = 0 AND mask & bit <> 0), 0)::BIGINT AS toxic_lost
+          FROM st, c GROUP BY ALL)
+        SELECT * EXCLUDE (bit), (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r""",
 }
