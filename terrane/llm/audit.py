@@ -32,6 +32,7 @@ from terrane.session import materialize, shared_dir
 MIN_WORDS = 50
 MIN_DISTINCT_PERCENT = 65
 MAX_CAPITALS_PERCENT = 5
+BUCKET_ROWS = 20_000
 _ALL = ""                     # tag of the relation of all ids
 
 
@@ -77,8 +78,9 @@ class FailingIds:
 
     def __init__(self, judged: DataFrame, letters: str):
         self.spark, self.letters = judged.sparkSession, letters
-        self.buckets, self.names = fanout(self.spark), []
         stored = materialize(judged, "judged")
+        # rows are slim, so small tables get fewer buckets than the session has partitions
+        self.buckets, self.names = min(fanout(self.spark), stored.count() // BUCKET_ROWS + 1), []
         tags = F.filter(F.array(F.lit(_ALL), *(F.when(F.col(f), f) for f in letters)), lambda x: x.isNotNull())
         self._of = {f: self._store(stored.filter(f).select("id"), "id long") for f in letters}
         self.tagged = self._store(stored.select("id", "part", "good", "toxic", F.explode(tags).alias("tag")),

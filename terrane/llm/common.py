@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrane.session import materialize
+
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -37,6 +40,23 @@ def fanout(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def numbered(rows: DataFrame, *columns, name: str = "numbered") -> DataFrame:
+    """``columns`` of ``rows`` and ``number``, which tells rows apart and is the
+    same each time the result is read. Rows that come straight from stored
+    files are numbered by file and place in it; others are stored first."""
+    plan = rows._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    if plan.nodeName().startswith(("Relation", "LogicalRelation")) and "_metadata" not in rows.columns:
+        try:
+            return rows.select(*columns, F.struct(F.xxhash64("_metadata.file_path").alias("file"),
+                                                  F.col("_metadata.row_index").alias("at")).alias("number"))
+        except AnalysisException:             # files without places of rows
+            pass
+    return materialize(rows.select(*columns, F.struct(
+        F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at")).alias("number")), name)
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -21,6 +21,7 @@ from terrane.llm.repeats import removal_report
 from terrane.llm.sharding import shard_documents
 from terrane.llm.tokenfile import token_file_report
 from terrane.llm.topk import exact_topk
+from terrane.llm.warc import warc_report
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -78,6 +79,11 @@ def op10_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copy_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives and read back."""
+    return warc_report(table(spark, sf_dir, "pages"))
+
+
 def op13_failing_id_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters take from each other in every order, by source."""
     return filter_audit(documents(spark, sf_dir), table(spark, sf_dir, "labels")).drop("filter")
@@ -87,7 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_rendezvous_sharding, op2_pair_index_bpe, op3_perfect_hash_files, op4_certified_packing, op5_block_topk,
         op6_disclosure_pii, op7_digest_index_dedup, op8_suffix_family_repeats, op9_factorisation_quality, op10_adaptive_prefix_join,
-        op13_failing_id_audit)}
+        op11_dictionary_warc, op13_failing_id_audit)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_block_topk": """
@@ -109,6 +115,15 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, h AS text_sha256
         FROM d WINDOW w AS (PARTITION BY h)""",
+    "op11_dictionary_warc": """
+        WITH p AS (
+          SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+          FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
+        FROM f""",
     "op13_failing_id_audit": r"""
         WITH l AS (
           SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic
