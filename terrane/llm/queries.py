@@ -8,11 +8,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from terrane.llm.audit import filter_audit
 from terrane.llm.bpe import bpe_roundtrip_digests
 from terrane.llm.common import documents, table
 from terrane.llm.exact import exact_decisions
+from terrane.llm.negatives import hard_negatives
 from terrane.llm.ngram_join import near_copy_components
 from terrane.llm.packing import pack_documents
 from terrane.llm.pii import span_report
@@ -84,6 +86,14 @@ def op11_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_report(table(spark, sf_dir, "pages"))
 
 
+def op12_bond_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 hardest negatives of each of the 5 positives of every 100th
+    vector; every seventh vector has the next label."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved)).select(
+        "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
 def op13_failing_id_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters take from each other in every order, by source."""
     return filter_audit(documents(spark, sf_dir), table(spark, sf_dir, "labels")).drop("filter")
@@ -93,7 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_rendezvous_sharding, op2_pair_index_bpe, op3_perfect_hash_files, op4_certified_packing, op5_block_topk,
         op6_disclosure_pii, op7_digest_index_dedup, op8_suffix_family_repeats, op9_factorisation_quality, op10_adaptive_prefix_join,
-        op11_dictionary_warc, op13_failing_id_audit)}
+        op11_dictionary_warc, op12_bond_negatives, op13_failing_id_audit)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_block_topk": """
@@ -124,6 +134,26 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
         FROM f""",
+    "op12_bond_negatives": """
+        WITH v AS (
+          SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                 list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT::DOUBLE) AS v
+          FROM embeddings
+          WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+          SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+                 list_inner_product(a.v, c.v)::BIGINT AS score
+          FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),
+        p AS (
+          SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, positive_id,
+               row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+               vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+                     AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
+        QUALIFY rank <= 10""",
     "op13_failing_id_audit": r"""
         WITH l AS (
           SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic
