@@ -32,7 +32,8 @@ from terrane.session import materialize, shared_dir
 MIN_WORDS = 50
 MIN_DISTINCT_PERCENT = 65
 MAX_CAPITALS_PERCENT = 5
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 200_000
+JOB_PREFIXES = 4
 _ALL = ""                     # tag of the relation of all ids
 
 
@@ -105,30 +106,41 @@ class FailingIds:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def taken(ids: FailingIds) -> DataFrame:
+def prefixes_of(letters: str) -> list[str]:
+    return ["".join(p) for k in range(len(letters) + 1) for p in combinations(letters, k)]
+
+
+def taken(ids: FailingIds, prefixes: list[str]) -> DataFrame:
     """part, prefix, tag, n, good, toxic: of each relation's ids that survive
-    all filters of ``prefix`` (letters, ascending) but its last, those that the
+    all filters of a prefix (letters, ascending) but its last, those that the
     last one fails. The empty prefix has the whole relations."""
-    count = (F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("good"),
-             F.sum(F.col("toxic").cast("long")).alias("toxic"))
     out = None
-    for k in range(len(ids.letters) + 1):
-        for prefix in combinations(ids.letters, k):
-            rows = ids.tagged.filter(~F.col("tag").isin(*prefix)) if prefix else ids.tagged
-            for f in prefix[:-1]:
-                rows = rows.join(ids.of(f), "id", "left_anti")
-            for f in prefix[-1:]:
-                rows = rows.join(ids.of(f), "id", "left_semi")
-            rows = rows.select(F.lit("".join(prefix)).alias("prefix"), "part", "tag", "good", "toxic")
-            out = rows if out is None else out.unionByName(rows)
-    return out.groupBy("part", "prefix", "tag").agg(*count)
+    for prefix in prefixes:
+        rows = ids.tagged.filter(~F.col("tag").isin(*prefix)) if prefix else ids.tagged
+        for f in prefix[:-1]:
+            rows = rows.join(ids.of(f), "id", "left_anti")
+        for f in prefix[-1:]:
+            rows = rows.join(ids.of(f), "id", "left_semi")
+        rows = rows.select(F.lit(prefix).alias("prefix"), "part", "tag", "good", "toxic")
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("part", "prefix", "tag").agg(
+        F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("good"),
+        F.sum(F.col("toxic").cast("long")).alias("toxic"))
+
+
+def all_taken(ids: FailingIds) -> DataFrame:
+    """``taken`` of every prefix, stored: a few prefixes to a job, since each
+    task reports the metrics of all joins of its job to the driver."""
+    path, prefixes = shared_dir(ids.spark, "audit-counts"), prefixes_of(ids.letters)
+    for i in range(0, len(prefixes), JOB_PREFIXES):
+        taken(ids, prefixes[i:i + JOB_PREFIXES]).write.mode("append").parquet(path)
+    return ids.spark.read.parquet(path)
 
 
 def _plan(letters: str) -> tuple[list, list]:
     """(set, prefix) for every set of filters and the prefixes that sum up to
     it, and (filter_order, step, set, filter) of all orders."""
-    sets = [c for k in range(len(letters) + 1) for c in combinations(letters, k)]
-    chains = [("".join(s), "".join(s[:i])) for s in sets for i in range(1, len(s) + 1)]
+    chains = [(s, s[:i]) for s in prefixes_of(letters) for i in range(1, len(s) + 1)]
     steps = [("".join(o), i + 1, "".join(sorted(o[:i])), o[i]) for o in permutations(letters) for i in range(len(o))]
     return chains, steps
 
@@ -137,7 +149,6 @@ def order_audit(counts: DataFrame, letters: str) -> DataFrame:
     """The report of every part, order and step from the sums of ``taken``."""
     spark = counts.sparkSession
     chains, steps = _plan(letters)
-    counts = materialize(counts, "audit-counts")
     whole = counts.filter("prefix = ''").drop("prefix")
     lost = (counts.join(F.broadcast(spark.createDataFrame(chains, "set string, prefix string")), "prefix")
             .filter("tag = '' OR instr(set, tag) = 0")
@@ -179,6 +190,6 @@ def filter_audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     letters = "".join(conditions) + "E"
     ids = FailingIds(judged_rows(docs, labels, conditions), letters)
     try:
-        return order_audit(taken(ids), letters)
+        return order_audit(all_taken(ids), letters)
     finally:
         ids.close()
