@@ -6,6 +6,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -91,10 +93,47 @@ def shared_dir(spark: SparkSession, name: str | None = None) -> str:
     return path
 
 
-def materialize(df, name: str = "stage"):
+class Scratch:
+    """Folders that were made inside a ``scratch`` block."""
+
+    def __init__(self, outer: "Scratch | None"):
+        self.outer, self.paths = outer, []
+
+
+_SCRATCH: ContextVar[Scratch | None] = ContextVar("terrane_scratch", default=None)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder this library made, in whatever store it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that ``materialize`` writes inside the block are removed at its
+    end, except those written with ``keep`` (they belong to the block around
+    it, if there is one). What leaves the block may read kept tables only."""
+    own = Scratch(_SCRATCH.get())
+    token = _SCRATCH.set(own)
+    try:
+        yield own
+    finally:
+        _SCRATCH.reset(token)
+        for path in own.paths:
+            remove_folder(spark, path)
+
+
+def materialize(df, name: str = "stage", keep: bool = False):
     """Cut lineage by writing ``df`` as a Parquet table in the shared folder
     and reading it back: the plan runs once, and a recomputation after an
-    executor loss reads the table instead of re-running upstream stages."""
+    executor loss reads the table instead of re-running upstream stages.
+    ``keep``: the table outlives the ``scratch`` block it is written in."""
     path = shared_dir(df.sparkSession, name)
+    own = _SCRATCH.get()
+    if keep and own is not None:
+        own = own.outer
+    if own is not None:
+        own.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
