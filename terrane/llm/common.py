@@ -40,10 +40,15 @@ def fanout(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Type of the number of a row (``numbered``).
+NUMBER = "struct<file: bigint, at: bigint>"
+
+
 def numbered(rows: DataFrame, *columns, name: str = "numbered") -> DataFrame:
     """``columns`` of ``rows`` and ``number``, which tells rows apart and is the
     same each time the result is read. Rows that come straight from stored
-    files are numbered by file and place in it; others are stored first."""
+    files are numbered by file and place in it; others are stored first (and
+    kept, see ``scratch``)."""
     plan = rows._jdf.queryExecution().analyzed()
     while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
         plan = plan.children().apply(0)
@@ -54,7 +59,7 @@ def numbered(rows: DataFrame, *columns, name: str = "numbered") -> DataFrame:
         except AnalysisException:             # files without places of rows
             pass
     return materialize(rows.select(*columns, F.struct(
-        F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at")).alias("number")), name)
+        F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at")).alias("number")), name, keep=True)
 
 
 def text_or_empty(col: str = "text"):

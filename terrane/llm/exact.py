@@ -21,8 +21,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm.common import fanout, text_or_empty
-from terrane.session import materialize, shared_dir
+from terrane.llm.common import NUMBER, fanout, numbered, text_or_empty
+from terrane.session import materialize, remove_folder, scratch, shared_dir
 
 _SPACE_RUN = r"[\x20\x09-\x0D]+"
 
@@ -32,22 +32,25 @@ def text_digest(text: str = "text") -> Column:
 
 
 class DigestIndex:
-    """digest -> keeper (doc_id, row id) at ``path``, in ``buckets`` buckets.
+    """digest -> keeper (doc_id, number of its row) at ``path``, in ``buckets`` buckets.
 
     An existing folder is taken up again under a new table name (the table is
-    only this session's name for the folder); give the same ``buckets``."""
+    only this session's name for the folder); give the same ``buckets`` and the
+    same type of ``number``."""
 
-    SCHEMA = "digest binary, keep_id long, keep_row long"
-
-    def __init__(self, spark: SparkSession, path: str, buckets: int):
+    def __init__(self, spark: SparkSession, path: str, buckets: int, number: str = "long"):
         self.spark, self.path, self.buckets = spark, path, buckets
         self.name = f"digest_index_{uuid.uuid4().hex[:12]}"
-        spark.sql(f"CREATE TABLE {self.name} ({self.SCHEMA}) USING parquet "
+        spark.sql(f"CREATE TABLE {self.name} (digest binary, keep_id long, keep_row {number}) USING parquet "
                   f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def close(self) -> None:
+        """Take the name out of the session; the folder stays."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def add(self, groups: DataFrame) -> None:
         """Append the digests of ``groups`` (one row each) that the index lacks."""
         fresh = groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
@@ -100,12 +103,20 @@ def exact_decisions(docs: DataFrame, index: DigestIndex | None = None, batches:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows of which an earlier equal text stays. The
-    numbered rows are stored first, so that a row keeps its number whatever
-    order the input comes in when it is read again."""
-    numbered = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("input"),
-                                       F.monotonically_increasing_id().alias("number")), "numbered")
-    gone = materialize(exact_decisions(numbered.select("input.doc_id", "input.text", "number"), row_id="number")
-                       .filter(~F.col("kept")).select("row_id"), "copies")
-    return (numbered.join(gone, numbered["number"] == gone["row_id"], "left_anti")
+    """``docs`` without the rows of which an earlier equal text stays. Rows are
+    told apart by file and place where ``docs`` reads stored files; else the
+    numbered rows are stored first. Only the numbers of the dropped rows stay
+    on disk."""
+    spark = docs.sparkSession
+    rows = numbered(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("input"))
+    with scratch(spark):
+        path = shared_dir(spark, "digest-index")
+        index = DigestIndex(spark, path, fanout(spark), NUMBER)
+        try:
+            gone = materialize(exact_decisions(rows.select("input.doc_id", "input.text", "number"), index, row_id="number")
+                               .filter(~F.col("kept")).select("row_id"), "copies", keep=True)
+        finally:
+            index.close()
+            remove_folder(spark, path)
+    return (rows.join(gone, rows["number"] == gone["row_id"], "left_anti")
             .select(*[F.col("input").getField(c).alias(c) for c in docs.columns]))

@@ -23,8 +23,10 @@ Shingles and sets are compared by 64-bit hashes.
 Edge cases: null, empty and blank texts have an empty set, are linked with
 nothing and are a component of their own; equal texts and repeated rows are
 linked; rows without an id count as copies, and give no id to a component; an
-empty table gives no rows; other columns play no part. Memory per task is one
-Arrow batch, one text's words and a sketch of fixed size.
+empty table gives no rows; other columns play no part. A task holds an Arrow
+batch, one text's words, a sketch of fixed size, and one bucket of postings
+(some BUCKET_SHINGLES shingles' prefixes, as the number of buckets follows the
+corpus) or the nodes of the sets that it has made.
 """
 
 from __future__ import annotations
@@ -37,9 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.llm.common import fanout, mix64, utf8_of
+from terrane.llm.common import NUMBER, fanout, mix64, numbered, utf8_of
 from terrane.llm.components import connected_components
-from terrane.session import materialize
+from terrane.session import materialize, scratch
 
 WORDS = 5
 PERCENT = 80
@@ -48,6 +50,9 @@ SLICE_BITS = 12
 MAX_MATCH = 8
 HOT = 100_000                 # postings of a token (by the sketch) beyond which it goes by rows
 _KNOWN_WORDS = 200_000
+BUCKET_SHINGLES = 4_000_000   # shingles (all of a set, not the prefix) per bucket of postings, about
+GUESTS = 2_000                # sets that one copy of a pivot's set is compared with, about
+_ARROW_NUMBER = pa.struct([("file", pa.int64()), ("at", pa.int64())])
 
 _K = mix64(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 _SHORT = mix64(np.arange(101, 101 + WORDS, dtype=np.uint64))
@@ -113,12 +118,13 @@ def sets_and_sketch(docs: DataFrame, row_id: str | None = None) -> DataFrame:
         none = pa.nulls(len(some), pa.int64())
         yield pa.RecordBatch.from_arrays(
             [none, none, none, pa.array(some, pa.int32()),
-             pa.array([zlib.compress(parts[i].tobytes(), 1) for i in some], pa.binary()), *(none for _ in number)],
+             pa.array([zlib.compress(parts[i].tobytes(), 1) for i in some], pa.binary()),
+             *(pa.nulls(len(some), _ARROW_NUMBER) for _ in number)],
             ["doc_id", "n", "node", "slice", "counts", *number])
 
     taken = [F.col(row_id).alias("row")] if number else []
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *taken).mapInArrow(
-        run, "doc_id long, n long, node long, slice int, counts binary" + ", row long" * len(number))
+        run, "doc_id long, n long, node long, slice int, counts binary" + f", row {NUMBER}" * len(number))
 
 
 def _summed_sketch(slices: DataFrame) -> np.ndarray:
@@ -153,7 +159,7 @@ def prefix(s: np.ndarray, sketch: np.ndarray, noise: float) -> tuple[np.ndarray,
     return s[order[:base + l]], l
 
 
-def _postings(docs: DataFrame, sketch: np.ndarray, hot: int) -> DataFrame:
+def _postings(docs: DataFrame, sketch: np.ndarray, hot: int, buckets: int) -> DataFrame:
     """Rows of two kinds: blobs (bucket, data), and single postings (token,
     node, n, l) of tokens whose counter exceeds ``hot``. A blob has one task's postings of a bucket, sorted
     by token; tokens are cut to 48 bits there, which can only add candidates."""
@@ -161,7 +167,6 @@ def _postings(docs: DataFrame, sketch: np.ndarray, hot: int) -> DataFrame:
     sent = spark.sparkContext.broadcast(sketch)
     load = float(sketch.mean())
     noise = load + 3 * load ** 0.5
-    buckets = fanout(spark)
     flush = 400_000
 
     def blobs(parts, nodes):
@@ -235,11 +240,11 @@ def _opened(data: bytes):
     return np.cumsum(diff, dtype=np.uint64), table[where]
 
 
-def shared_postings(docs: DataFrame, sketch: np.ndarray, hot: int = HOT) -> DataFrame:
+def shared_postings(docs: DataFrame, sketch: np.ndarray, hot: int, buckets: int) -> DataFrame:
     """token, node, n, l, df, rank, s of the prefix tokens that a node shares with
     another of fitting size; ``df`` nodes hold the token, the node has ``s`` such
     tokens, and ``rank`` more frequent ones."""
-    made = materialize(_postings(docs, sketch, hot), "postings")
+    made = materialize(_postings(docs, sketch, hot, buckets), "postings")
 
     def meet(t: pa.Table) -> pa.Table:
         opened = [_opened(d) for d in t.column("data").to_pylist()]
@@ -285,9 +290,18 @@ def _sizes_fit():
 
 def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
     """The pairs (a, b) with a similarity of the threshold or more, on whole
-    sets. ``owners``: node, owner (a document that has the set)."""
+    sets. ``owners``: node, owner (a document that has the set).
+
+    A set b travels once per pair. A set a, which many pairs may share, travels
+    once per GUESTS of its pairs; it stands before their b in a task, where
+    they follow one by one."""
+    with scratch(docs.sparkSession):
+        return materialize(_verified(pairs, docs, owners), "verified", keep=True)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    chosen = materialize(wanted.join(owners, "node").select("owner").distinct(), "owners")
+    chosen = materialize(wanted.join(owners.hint("merge"), "node").select("owner").distinct(), "owners")
 
     def sets(batches):
         seen = set()
@@ -308,20 +322,35 @@ def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
     if n["all"] > n["own"]:
         have = materialize(have.dropDuplicates(["node"]), "sets-once")
 
+    load = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / GUESTS).alias("parts")), "pair-load")
+    held = (load.hint("merge").join(have.withColumnRenamed("node", "a"), "a")
+            .select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
+                    F.lit(None).cast("long").alias("b"), "shingles"))
+    # both sides of each join are stored tables, so Spark can split a hot node
+    came = (pairs.join(load.hint("merge"), "a")
+            .select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), "b"))
+    came = (came.join(have.select(F.col("node").alias("b"), "shingles").hint("merge"), "b")
+            .select("a", "part", "b", "shingles"))
+
     def judge(batches):
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        pivot = s = None
+        for batch in batches:
+            at, ok = [], []
+            for a, b, raw in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+                x = np.frombuffer(raw, np.uint64)
+                if b is None:
+                    pivot, s = a, x
+                    continue
+                if a != pivot:
+                    raise RuntimeError("a set came without the one it is to be compared with")
+                both = len(np.intersect1d(s, x, assume_unique=True))
+                if 100 * both >= PERCENT * (len(s) + len(x) - both):
+                    at.append(a)
+                    ok.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(ok, pa.int64())], ["a", "b"])
 
-    # pivots stand in many pairs: both sides of each join are stored tables,
-    # so Spark can split a hot node
-    one = materialize(pairs.join(have.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a"), "pairs")
-    two = one.join(have.select(F.col("node").alias("b"), F.col("shingles").alias("s_b")), "b")
-    return two.select("a", "b", "s_a", "s_b").mapInArrow(judge, "a long, b long")
+    return (held.unionByName(came).repartition(fanout(docs.sparkSession), "a", "part")
+            .sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(judge, "a long, b long"))
 
 
 def _star_links(shared: DataFrame, docs: DataFrame, owners: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -330,7 +359,7 @@ def _star_links(shared: DataFrame, docs: DataFrame, owners: DataFrame, nodes: Da
     own = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + F.col("l")) - F.col("s")
     pivots = materialize(shared.groupBy("token").agg(F.min(F.struct(own.alias("own"), "node")).alias("p"))
                          .select("token", F.col("p.node").alias("a")), "pivots")
-    near = (shared.select("token", F.col("node").alias("b")).join(pivots, "token").filter("a <> b")
+    near = (shared.select("token", F.col("node").alias("b")).join(pivots.hint("merge"), "token").filter("a <> b")
             .groupBy("a", "b").agg(F.count("*").alias("c")))
     pairs = _with_sizes(near, nodes).filter(_sizes_fit() & (F.col("c") >= _least_shared())).select("a", "b")
     return verified(materialize(pairs, "star-pairs"), docs, owners)
@@ -339,7 +368,7 @@ def _star_links(shared: DataFrame, docs: DataFrame, owners: DataFrame, nodes: Da
 def _with_sizes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     for side in "ba":
         pairs = pairs.join(nodes.select(*(F.col(x).alias(side if x == "node" else f"{x}_{side}")
-                                          for x in nodes.columns)), side)
+                                          for x in nodes.columns)).hint("merge"), side)
     return pairs
 
 
@@ -351,22 +380,23 @@ def _cross_links(shared: DataFrame, stars: DataFrame, docs: DataFrame, owners: D
     k - 1 more frequent ones at least before it in both: a pair is made only
     at tokens whose rank allows that, which the frequent tokens do not."""
     slim = shared.select("token", "node", "n", "l", "rank")
-    placed = materialize(slim.join(stars, "node", "left").withColumn("star", F.coalesce("star", "node")), "placed")
+    placed = materialize(slim.join(stars.hint("merge"), "node", "left").withColumn("star", F.coalesce("star", "node")), "placed")
     per = placed.groupBy("token", "star").agg(F.count("*").alias("m"))
     mixed = materialize(per.groupBy("token").agg(F.max(F.struct("m", "star")).alias("p"), F.count("*").alias("k"))
                         .filter("k > 1").select("token", F.col("p.star").alias("main")), "mixed")
-    member = materialize(placed.join(mixed, "token"), "members")
+    member = materialize(placed.join(mixed.hint("merge"), "token"), "members")
     side = lambda s: member.select("token", "main", *(
         F.col(x).alias(f"{x}_{s}") for x in ("node", "n", "l", "rank", "star")))
     left, right = side("a").filter("star_a <> main").drop("main"), side("b")
-    made = left.join(right, "token").filter(
+    made = left.join(right.hint("merge"), "token").filter(
         (F.col("star_a") != F.col("star_b")) & ((F.col("star_b") == F.col("main")) | (F.col("node_a") < F.col("node_b")))
         & _sizes_fit() & (F.least("rank_a", "rank_b") + 1 >= _least_shared()))
     pairs = materialize(made.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
                         .distinct(), "cross-made")
     tokens = materialize(shared.groupBy("node").agg(F.collect_set("token").alias("tokens")), "node-tokens")
-    both = pairs.join(tokens.select(F.col("node").alias("a"), F.col("tokens").alias("t_a")), "a")
-    both = materialize(both, "cross-a").join(tokens.select(F.col("node").alias("b"), F.col("tokens").alias("t_b")), "b")
+    both = pairs.join(tokens.select(F.col("node").alias("a"), F.col("tokens").alias("t_a")).hint("merge"), "a")
+    both = materialize(both, "cross-a").join(
+        tokens.select(F.col("node").alias("b"), F.col("tokens").alias("t_b")).hint("merge"), "b")
     counted = both.select("a", "b", F.size(F.array_intersect("t_a", "t_b")).alias("c"))
     chosen = _with_sizes(materialize(counted, "cross-counted"), nodes).filter(F.col("c") >= _least_shared())
     return verified(materialize(chosen.select("a", "b"), "cross-pairs"), docs, owners)
@@ -376,37 +406,50 @@ def _placed_classes(docs: DataFrame, hot: int, row_id: str | None = None) -> tup
     """Two stored tables: doc_id, n, node of every row, and node, owner (the
     class's smallest id), root (its component) of every class. With ``row_id``
     the rows have their number as ``row``, and a class that of its first row
-    by (id, number), ids before nulls."""
-    first = materialize(sets_and_sketch(docs, row_id), "shingle-sets")
+    by (id, number), ids before nulls. What else was stored on the way is
+    removed. The joined sides grow with the corpus: none is broadcast."""
+    spark = docs.sparkSession
+    first = materialize(sets_and_sketch(docs, row_id), "shingle-sets", keep=True)
     number = [] if row_id is None else ["row"]
     rows = first.filter(F.col("n").isNotNull()).select("doc_id", "n", "node", *number)
+    with scratch(spark):
+        return rows, materialize(_classes(docs, rows, first, hot, number), "placed-classes", keep=True)
+
+
+def _classes(docs: DataFrame, rows: DataFrame, first: DataFrame, hot: int, number: list[str]) -> DataFrame:
+    spark = docs.sparkSession
     sketch = _summed_sketch(first.filter(F.col("slice").isNotNull()))
-    shared = materialize(shared_postings(docs, sketch, hot), "shared")
+    shingles = rows.agg(F.sum("n")).first()[0] or 0
+    with scratch(spark):
+        shared = materialize(shared_postings(docs, sketch, hot, max(fanout(spark), shingles // BUCKET_SHINGLES)),
+                             "shared", keep=True)
     classes = rows.filter("n > 0").groupBy("node")
-    if row_id is None:
-        classes = classes.agg(F.min("doc_id").alias("owner"))
-    else:
+    if number:
         classes = (classes.agg(_first_row("doc_id").alias("f"))
                    .select("node", F.col("f.id").alias("owner"), F.col("f.row").alias("row")))
+    else:
+        classes = classes.agg(F.min("doc_id").alias("owner"))
     owned = materialize(classes, "classes")
     owners = owned.select("node", "owner")
     nodes = materialize(shared.select("node", "n", "l").distinct(), "nodes")
-    star = materialize(_star_links(shared, docs, owners, nodes), "star-links")
+    with scratch(spark):
+        star = materialize(_star_links(shared, docs, owners, nodes), "star-links", keep=True)
     # a node's star: its smallest verified pivot, and that one's in turn
     up = materialize(star.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("star")), "stars-1")
     over = up.select(F.col("node").alias("star"), F.col("star").alias("top"))
-    stars = materialize(up.join(over, "star", "left").select("node", F.coalesce("top", "star").alias("star")), "stars")
-    cross = materialize(_cross_links(shared, stars, docs, owners, nodes), "cross-links")
+    stars = materialize(up.join(over.hint("merge"), "star", "left")
+                        .select("node", F.coalesce("top", "star").alias("star")), "stars")
+    with scratch(spark):
+        cross = materialize(_cross_links(shared, stars, docs, owners, nodes), "cross-links", keep=True)
     # components of whole stars: links within a star are contracted
-    at = lambda c: stars.select(F.col("node").alias(c), F.col("star").alias(f"star_{c}"))
+    at = lambda c: stars.select(F.col("node").alias(c), F.col("star").alias(f"star_{c}")).hint("merge")
     links = (star.unionByName(cross).join(at("a"), "a", "left").join(at("b"), "b", "left")
              .select(F.coalesce("star_a", "a").alias("a"), F.coalesce("star_b", "b").alias("b")))
-    roots = materialize(connected_components(links), "roots").withColumnRenamed("node", "star")
-    placed = materialize(owned.join(stars, "node", "left").withColumn("star", F.coalesce("star", "node"))
-                         .join(roots, "star", "left")
-                         .select("node", "owner", F.coalesce("root", "star").alias("root"), *number),
-                         "placed-classes")
-    return rows, placed
+    with scratch(spark):
+        roots = materialize(connected_components(links), "roots", keep=True).withColumnRenamed("node", "star")
+    return (owned.join(stars.hint("merge"), "node", "left").withColumn("star", F.coalesce("star", "node"))
+            .join(roots.hint("merge"), "star", "left")
+            .select("node", "owner", F.coalesce("root", "star").alias("root"), *number))
 
 
 def _first_row(key: str):
@@ -418,9 +461,11 @@ def near_copy_components(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, node (the set's class), component_id of every
     document."""
     rows, placed = _placed_classes(docs, hot)
-    least = materialize(placed.groupBy("root").agg(F.min("owner").alias("component_id")), "least-ids")
-    final = materialize(placed.join(least, "root").select("node", "component_id"), "class-components")
-    return (rows.join(final, "node", "left")
+    with scratch(docs.sparkSession):
+        least = materialize(placed.groupBy("root").agg(F.min("owner").alias("component_id")), "least-ids")
+        final = materialize(placed.join(least.hint("merge"), "root").select("node", "component_id"),
+                            "class-components", keep=True)
+    return (rows.join(final.hint("merge"), "node", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), "node",
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
@@ -429,12 +474,14 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id,
     of repeated rows with that id the first, and a row without an id only where
     no row of the component has one. Rows without words stay. Rows are told
-    apart by a number, so other texts under a dropped row's id are untouched;
-    the numbered rows are stored first, as ``drop_exact_copies`` does."""
-    numbered = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("input"),
-                                       F.monotonically_increasing_id().alias("number")), "numbered")
-    rows, placed = _placed_classes(numbered.select("input.doc_id", "input.text", "number"), HOT, "number")
-    first = placed.groupBy("root").agg(_first_row("owner").alias("f")).select(F.col("f.row").alias("row"))
-    kept = materialize(first.unionByName(rows.filter("n = 0").select("row")), "kept-rows")
-    return (numbered.join(kept, numbered["number"] == kept["row"], "left_semi")
+    apart by a number (``numbered``), so other texts under a dropped row's id
+    are untouched. Only the numbers of the dropped rows stay on disk."""
+    taken = numbered(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("input"))
+    with scratch(docs.sparkSession):
+        rows, placed = _placed_classes(taken.select("input.doc_id", "input.text", "number"), HOT, "number")
+        first = placed.groupBy("root").agg(_first_row("owner").alias("f")).select("root", F.col("f.row").alias("first"))
+        stays = materialize(placed.select("node", "root").join(first.hint("merge"), "root").select("node", "first"), "stays")
+        gone = materialize(rows.filter("n > 0").join(stays.hint("merge"), "node").filter("row <> first").select("row"),
+                           "near-copies", keep=True)
+    return (taken.join(gone, taken["number"] == gone["row"], "left_anti")
             .select(*[F.col("input").getField(c).alias(c) for c in docs.columns]))
