@@ -134,6 +134,32 @@ def draw_counts_regions(spark, sf_dir):
     return M.count_in_shapes(shapes, layers)
 
 
+_PARCEL_LINES_SQL = with_fixtures(f"""
+, v as (
+  select line_id, x, y,
+    coalesce(lead(x) over w, x) as nx, coalesce(lead(y) over w, y) as ny,
+  from fx_vertices window w as (partition by line_id order by l_linenumber, l_partkey, l_suppkey)
+), t as (
+  select id, x0 as xmin, y0 as ymin, x1 as xmax, y1 as ymax from fx_squares
+)
+select t.id as parcel_id, count(distinct v.line_id) as n_lines
+from t join v on least(v.x, v.nx) <= t.xmax and greatest(v.x, v.nx) >= t.xmin
+  and least(v.y, v.ny) <= t.ymax and greatest(v.y, v.ny) >= t.ymin
+  and ({_pt_in_rect('v.x', 'v.y')} or {_seg_hits_rect('v.x', 'v.y', 'v.nx', 'v.ny')})
+group by 1
+""", "fx_points", "fx_squares", "fx_vertices")
+
+
+@query("parcel_line_counts", "J3 A4 J2 G9", _PARCEL_LINES_SQL)
+def parcel_line_counts(spark, sf_dir):
+    """Lines across every parcel: region-wide lines against small polygons,
+    each with a bounded number of cells of its own level."""
+    q = X.fx_squares(spark, sf_dir)
+    parcels = q.select(F.col("id").alias("parcel_id"), G.rect("x0", "y0", "x1", "y1").alias("geom"))
+    pairs = S.intersects_join(parcels, X.lines_layer(spark, sf_dir), ["parcel_id"], ["feature_id"])
+    return pairs.groupBy("parcel_id").agg(F.count("*").alias("n_lines"))
+
+
 # ---------------------------------------------------------------------------
 # oracle helpers for literal polygons (edges unrolled into plain SQL)
 # ---------------------------------------------------------------------------

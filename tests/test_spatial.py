@@ -54,7 +54,7 @@ def test_intersects_join_matches_brute_force(spark, force_shuffle, monkeypatch):
     shapes = _shapes_df(spark, polys)
     feats = spark.createDataFrame(pts, "feature_id long, x double, y double").withColumn("geom", G.point("x", "y"))
     got = {(r.shape_id, r.feature_id) for r in
-           S.intersects_join(shapes, feats, ["shape_id"], ["feature_id"], cell=1.0).collect()}
+           S.intersects_join(shapes, feats, ["shape_id"], ["feature_id"]).collect()}
     want = {(k, i) for k, cs in polys.items() for i, x, y in pts if _pip(cs, x, y)}
     assert got == want
 
@@ -65,7 +65,7 @@ def test_count_intersecting_keeps_zero_layers(spark):
     a = spark.createDataFrame([(1, 0.75, 0.5), (2, 5.0, 5.0)], "feature_id long, x double, y double") \
         .withColumn("geom", G.point("x", "y"))
     empty = a.where("feature_id < 0")
-    out = {(r.layer, r.n) for r in S.count_intersecting(shapes, {"a": a, "b": empty}, cell=1.0).collect()}
+    out = {(r.layer, r.n) for r in S.count_intersecting(shapes, {"a": a, "b": empty}).collect()}
     # the point in the overlap counts once for the drawing
     assert out == {("a", 1), ("b", 0)}
 
@@ -194,14 +194,10 @@ def test_lines_vs_rectangles_and_polygons_brute_force(spark):
     rnd = random.Random(7)
     paths = {i: [(round(rnd.uniform(-2, 8), 1), round(rnd.uniform(-2, 8), 1)) for _ in range(rnd.randint(1, 4))]
              for i in range(300)}
-    lines = None
-    for i, path in paths.items():
-        d = spark.range(1).select(F.lit(i).cast("long").alias("feature_id"), G.line(F.array(*[
-            F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in path])).alias("geom"))
-        lines = d if lines is None else lines.unionByName(d)
+    lines = _geoms(spark, paths.items(), "line")
     shapes = _shapes_df(spark, polys)
     got = {(r.shape_id, r.feature_id) for r in
-           S.intersects_join(shapes, lines, ["shape_id"], ["feature_id"], cell=1.0).collect()}
+           S.intersects_join(shapes, lines, ["shape_id"], ["feature_id"]).collect()}
     want = set()
     for k, cs in polys.items():
         ring = cs + [cs[0]]
@@ -212,3 +208,63 @@ def test_lines_vs_rectangles_and_polygons_brute_force(spark):
             if hit:
                 want.add((k, i))
     assert got == want and len(want) > 20
+
+
+def _geoms(spark, rows, kind):
+    """(id, [(x, y), ...]) to feature_id, geom."""
+    df = spark.createDataFrame([(i, [(float(x), float(y)) for x, y in v]) for i, v in rows],
+                               "feature_id long, v array<struct<x: double, y: double>>")
+    return df.select("feature_id", (G.line(F.col("v")) if kind == "line" else G.polygon(F.array("v"))).alias("geom"))
+
+
+def test_cells_are_bounded_and_cover(spark):
+    """Whatever its size, a geometry has few cells, and every point of it lies
+    in one of them."""
+    from terrane.operators import levels as L
+    rnd = random.Random(11)
+    lines = [(0, [(-71.9, 42.1), (-70.1, 43.9)]), (1, [(-71.5, 42.1), (-71.5, 43.9)]), (2, [(-1e-7, 0), (1e-7, 1)]),
+             (3, [(-170, -80), (170, 80), (-170, 80), (170, -80)]), (4, [(5, 5), (5, 5)]), (5, [(0.25, 0), (0.25, 8)])]
+    lines += [(i, [(rnd.gauss(0, 1) * 10 ** rnd.randint(-4, 1), rnd.gauss(0, 1) * 10 ** rnd.randint(-4, 1))
+                   for _ in range(rnd.randint(2, 30))]) for i in range(10, 150)]
+    df = _geoms(spark, lines, "line").withColumn("edges", L.edges_of("geom"))
+    for r in L.with_level_cells(df, "geom", "edges", L.Extent(df, "geom")).collect():
+        cells, size = {(c.cx, c.cy) for c in r["cells"]}, 2.0 ** r.own
+        assert 1 <= len(cells) == len(r["cells"]) <= L.MOST_CELLS
+        path = dict(lines)[r.feature_id]
+        for (ax, ay), (bx, by) in zip(path, path[1:]):
+            for t in [0, 1] + [rnd.random() for _ in range(60)]:
+                x, y = (ax + t * (bx - ax), ay + t * (by - ay)) if t < 1 else (bx, by)
+                assert (math.floor(x / size), math.floor(y / size)) in cells
+    boxes = [(i, [(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)])
+             for i, (x, y, w, h) in enumerate((rnd.uniform(-5, 5), rnd.uniform(-5, 5), 10 ** rnd.uniform(-6, 2),
+                                               10 ** rnd.uniform(-6, 2)) for _ in range(80))]
+    df = _geoms(spark, boxes, "poly").withColumn("edges", L.edges_of("geom"))
+    assert max(len(r["cells"]) for r in L.with_level_cells(df, "geom", "edges", L.Extent(df, "geom")).collect()) <= (L.POLY_CELLS + 1) ** 2
+
+
+@pytest.mark.parametrize("force_shuffle", [False, True])
+def test_sizes_of_all_orders_meet(spark, force_shuffle, monkeypatch):
+    """Boxes and lines from metres to the whole region on both sides: each
+    intersecting pair is found once."""
+    if force_shuffle:
+        monkeypatch.setattr(S, "BROADCAST_MAX_ROWS", 0)
+    rnd = random.Random(5)
+    size = lambda: 2.0 ** rnd.randint(-16, 3)
+    boxes, lines = [], []
+    for i in range(160):
+        x, y, w, h = rnd.randint(-64, 64) / 16, rnd.randint(-64, 64) / 16, size(), size()
+        boxes.append((i, [(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]))
+        path = [(x, y)] if i % 9 else [(x, y), (x + w, y)]
+        lines.append((i, path + [(x + rnd.choice([-1, 1]) * size(), y + rnd.choice([-1, 1]) * size())
+                                 for _ in range(rnd.randint(0, 3))]))
+    got = [(r.shape_id, r.feature_id) for r in S.intersects_join(
+        _geoms(spark, boxes, "poly").withColumnRenamed("feature_id", "shape_id"), _geoms(spark, lines, "line"),
+        ["shape_id"], ["feature_id"]).collect()]
+    want = set()
+    for k, ring in boxes:
+        for i, path in lines:
+            hit = any(_pip(ring[:-1], x, y) for x, y in path)
+            hit = hit or any(_seg_int(a, b, p, q) for a, b in zip(path, path[1:]) for p, q in zip(ring, ring[1:]))
+            if hit:
+                want.add((k, i))
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
