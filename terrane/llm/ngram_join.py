@@ -95,6 +95,11 @@ def _needed(n):
     return -(-PERCENT * n // 100)
 
 
+def _nullable(number: pa.Array) -> pa.Array:
+    """Row numbers in the one type that all batches have."""
+    return pa.StructArray.from_arrays([number.field("file"), number.field("at")], fields=list(_ARROW_NUMBER))
+
+
 def sets_and_sketch(docs: DataFrame, row_id: str | None = None) -> DataFrame:
     """One row per document (doc_id, n, node, and its ``row_id`` as row) and,
     per task, slices of its sketch of shingle counts (slice, counts)."""
@@ -112,7 +117,7 @@ def sets_and_sketch(docs: DataFrame, row_id: str | None = None) -> DataFrame:
             none = pa.nulls(len(ns), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), none,
-                 pa.nulls(len(ns), pa.binary()), *b.columns[2:]], ["doc_id", "n", "node", "slice", "counts", *number])
+                 pa.nulls(len(ns), pa.binary()), *map(_nullable, b.columns[2:])], ["doc_id", "n", "node", "slice", "counts", *number])
         parts = sketch.reshape(-1, 1 << SLICE_BITS)
         some = np.flatnonzero(parts.any(1))
         none = pa.nulls(len(some), pa.int64())

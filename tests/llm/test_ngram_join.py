@@ -3,7 +3,9 @@ import re
 from collections import defaultdict
 
 from terrane.llm.components import connected_components
+from terrane.llm.exact import drop_exact_copies
 from terrane.llm.ngram_join import drop_near_copies, near_copy_components
+from terrane.session import shared_dir
 from tests.llm.data import empty, frame
 
 
@@ -86,6 +88,25 @@ def test_rows_that_share_an_id(spark):
                           (5, []), (5, []), (None, [])], key=str)
 
 
+def test_stored_rows_need_no_copy(spark):
+    """Rows of stored files are told apart by their place; what stays in the
+    shared folder are the numbers of the dropped rows."""
+    import os
+    folder = shared_dir(spark, "docs")
+    frame(spark).write.parquet(folder)
+    docs = spark.read.parquet(folder)
+    base = os.path.dirname(folder)
+    before = set(os.listdir(base))
+    near, exact = drop_near_copies(docs), drop_exact_copies(docs)
+    made = sorted(x.rpartition("-")[0] for x in set(os.listdir(base)) - before)
+    assert made == ["copies", "near-copies"]
+    key = lambda r: (str(r.doc_id), r.text or "")
+    stored = spark.createDataFrame(docs.collect(), docs.schema)
+    assert len(near.collect()) == len(drop_near_copies(stored).collect())
+    texts = sorted(key(r) for r in exact.collect())
+    assert [t for _, t in texts] == [t for _, t in sorted(key(r) for r in drop_exact_copies(stored).collect())]
+
+
 def test_components(spark):
     rnd = random.Random(1)
     path = list(range(300))
