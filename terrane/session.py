@@ -64,7 +64,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
                                "executors share; a driver-local folder can't be read by executors")
         d = tempfile.mkdtemp(prefix="terrane-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(d)
     ship_package(spark)
     return d
 

@@ -13,6 +13,7 @@ are removed. A group of loads updates the catalog once (``Store.group``).
 from __future__ import annotations
 
 import datetime as dt
+import json
 import re
 from contextlib import contextmanager
 
@@ -20,7 +21,6 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrane.config import SCHEMAS
 from terrane.functions import style as ST
 
 CATALOG_SCHEMA = T.StructType([
@@ -136,12 +136,10 @@ class Store:
 
     # K5 ---------------------------------------------------------------------
     def init(self) -> "Store":
-        """Namespaces and an empty catalog; idempotent."""
-        for s in SCHEMAS:
-            self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {s}")
+        """An empty catalog; idempotent. Namespaces are folders under the base,
+        made with their first layer."""
         if self._latest_version() is None:
-            self.spark.createDataFrame([], CATALOG_SCHEMA).write.mode("errorifexists").parquet(
-                self._catalog_path(0))
+            self._write_catalog(self.spark.createDataFrame([], CATALOG_SCHEMA), 0)
         return self
 
     def _catalog_root(self) -> str:
@@ -189,7 +187,9 @@ class Store:
         self._write_catalog(new, (v if v is not None else -1) + 1)
 
     def _write_catalog(self, rows: DataFrame, version: int) -> None:
-        rows.select(*[f.name for f in CATALOG_SCHEMA.fields]).write.parquet(self._catalog_path(version))
+        # a version that a write which died left incomplete is replaced
+        (rows.select(*[f.name for f in CATALOG_SCHEMA.fields])
+         .write.mode("overwrite").parquet(self._catalog_path(version)))
         self._forget(self._catalog_root())
 
     def set_validated(self, flags: DataFrame) -> None:
@@ -244,35 +244,80 @@ class Store:
         self.upsert_catalog(self.spark.createDataFrame(
             rows, "schema_name string, table_name string, target string, source string, scope string, n_features long"))
 
+    def register(self, rows: list[tuple]) -> None:
+        """Enter (schema, table, target, source, scope, n) rows in the catalog
+        together."""
+        with self.group():
+            for r in rows:
+                self._register(*r)
+
     # K2 ---------------------------------------------------------------------
     def write_table(self, df: DataFrame | None, schema: str, table: str,
                     source: str = "", scope: str = "") -> int:
         """Overwrite the table when it has rows; register it as 'db' either way.
         The row count comes from an observation of the write itself."""
-        n = 0
-        if df is not None:
-            n = self._write(flatten_lists(df, geom=None), schema, table)
-        self._register(schema, table, "db", source, scope, n)
+        target, n = self.put(df, schema, table, None)
+        self._register(schema, table, target, source, scope, n)
         return n
 
     # K1 ---------------------------------------------------------------------
     def write_layer(self, df: DataFrame | None, schema: str, table: str,
-                    source: str = "", scope: str = "", geom: str = "geom") -> int:
+                    source: str = "", scope: str = "", geom: str = "geom", batch: str | None = None) -> int:
         """No geometry column -> stored as a 'db' table (K2). Otherwise, when it
         has rows: geometry is set to 4326, list columns flattened, the table
         overwritten; registered as 'map+db' with its count (0 when empty, in
-        which case nothing is written)."""
-        if df is not None and geom not in df.columns:
-            return self.write_table(df, schema, table, source, scope)
-        n = 0
-        if df is not None:
-            out = df.withColumn(geom, F.struct(*[F.col(f"{geom}.{f}") for f in
-                                                 ("kind", "parts", "xmin", "ymin", "xmax", "ymax")],
-                                               F.lit(4326).alias("srid")))
-            n = self._write(flatten_lists(out, geom), schema, table)
-        self._register(schema, table, "map+db", source, scope, n)
+        which case nothing is written).
+
+        ``batch`` names what is written: when the layer's last write has that
+        name and reached the catalog, nothing is done; when it did not get that
+        far, only what is missing is done."""
+        mark = self._mark(schema, table) if batch is not None else None
+        if mark and mark["batch"] == batch and mark["done"] == "catalog":
+            return int(mark["n"])
+        if mark and mark["batch"] == batch:
+            target, n = mark["target"], int(mark["n"])
+        else:
+            target, n = self.put(df, schema, table, geom)
+            if batch is not None:
+                self._set_mark(schema, table, batch=batch, target=target, n=n, done="layer")
+        self._register(schema, table, target, source, scope, n)
+        if batch is not None:
+            self._set_mark(schema, table, batch=batch, target=target, n=n, done="catalog")
         return n
 
+    def put(self, df: DataFrame | None, schema: str, table: str, geom: str | None = "geom") -> tuple[str, int]:
+        """Write without entering the catalog: (target, rows)."""
+        if geom is None or (df is not None and geom not in df.columns):
+            return "db", 0 if df is None else self._write(flatten_lists(df, geom=None), schema, table)
+        if df is None:
+            return "map+db", 0
+        out = df.withColumn(geom, F.struct(*[F.col(f"{geom}.{f}") for f in
+                                             ("kind", "parts", "xmin", "ymin", "xmax", "ymax")],
+                                           F.lit(4326).alias("srid")))
+        return "map+db", self._write(flatten_lists(out, geom), schema, table)
+
+    def _mark(self, schema: str, table: str) -> dict | None:
+        """What the layer's last named write noted of itself; None without one,
+        or when the note was cut short."""
+        path, fs = self._fs(f"{self.root(schema, table)}/_batch")
+        if not fs.exists(path):
+            return None
+        stream = fs.open(path)
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        try:
+            return json.loads(text)
+        except ValueError:
+            return None
+
+    def _set_mark(self, schema: str, table: str, **note) -> None:
+        path, fs = self._fs(f"{self.root(schema, table)}/_batch")
+        out = fs.create(path, True)
+        out.writeBytes(json.dumps(note))
+        out.close()
+
     def _write(self, df: DataFrame, schema: str, table: str) -> int:
         """The next version, with the row count observed during the write (A3).
         An empty result leaves the previous version as it was."""

@@ -4,7 +4,8 @@ Feed payloads (alerts, air quality, fire detections, sensors) land as files
 in a directory. A file stream picks up new files; each micro-batch is
 normalised and fully replaces its layer through the store (K1), which also
 touches the catalog (K3). Full-replace semantics per batch need no watermark
-or state. ``availableNow`` processes what has landed and stops (a scheduled
+or state. The batch's number names the write, so a batch that is replayed
+after a failure does only what is missing. ``availableNow`` processes what has landed and stops (a scheduled
 refresh); ``processingTime`` keeps polling. The checkpoint lives under the
 session's shared checkpoint folder so a restarted query resumes exactly.
 """
@@ -35,12 +36,12 @@ def refresh_feed(spark: SparkSession, store, landing: str, schema: T.StructType,
     """Start the refresh stream; returns the StreamingQuery."""
     stream = spark.readStream.schema(schema).format(fmt).load(landing)
     s, t = layer
+    place = checkpoint or feed_checkpoint(spark, landing, s, t)
 
     def replace(batch: DataFrame, epoch: int) -> None:
-        out = normalise(batch)
-        store.write_layer(out, s, t, source, scope)
+        # a batch that is run again after a failure writes nothing twice
+        store.write_layer(normalise(batch), s, t, source, scope, batch=f"{place}#{epoch}")
 
-    w = (stream.writeStream.foreachBatch(replace)
-         .option("checkpointLocation", checkpoint or feed_checkpoint(spark, landing, s, t)))
+    w = stream.writeStream.foreachBatch(replace).option("checkpointLocation", place)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     return w.start()

@@ -12,6 +12,7 @@ from terrane.functions import style as ST
 from terrane.operators import filters as FL
 from terrane.operators import relational as R
 from terrane.operators import spatial as S
+from terrane.plans import loads as LD
 from terrane.registry import query, rounded
 from terrane.session import shared_dir
 from terrane.sources import fixtures as X
@@ -167,23 +168,70 @@ def api_group_load(spark, sf_dir):
     from terrane.suite import sources as SRC
     from terrane.suite import tables as TB
     store = C.local_store(spark)
+    layer = lambda name, make: LD.Source("apis", name, make)
     sources = [
-        ("usgs_earthquakes", "map+db", lambda: SRC.geojson_pages(spark, sf_dir).withColumn("geom", G.point("lon", "lat"))),
-        ("purpleair", "map+db", lambda: SRC.sensor_arrays(spark, sf_dir).withColumn("geom", G.point("longitude", "latitude"))),
-        ("nasa_firms", "map+db", lambda: SRC.csv_detections(spark, sf_dir).withColumn("geom", G.point("longitude", "latitude"))),
-        ("epa_frs_facilities", "db", lambda: TB.facility_rollup(spark, sf_dir)),
+        layer("usgs_earthquakes", lambda: SRC.geojson_pages(spark, sf_dir).withColumn("geom", G.point("lon", "lat"))),
+        layer("purpleair", lambda: SRC.sensor_arrays(spark, sf_dir).withColumn("geom", G.point("longitude", "latitude"))),
+        layer("nasa_firms", lambda: SRC.csv_detections(spark, sf_dir).withColumn("geom", G.point("longitude", "latitude"))),
+        LD.Source("apis", "epa_frs_facilities", lambda: TB.facility_rollup(spark, sf_dir), table=True),
     ]
-    status = []
-    for name, target, make in sources:
-        df = make()
-        n = store.write_layer(df, "apis", name) if target == "map+db" else store.write_table(df, "apis", name)
-        status.append((f"apis.{name}", target, int(n)))
-    out = spark.createDataFrame(status, "layer string, target string, n long")
-    cat = store.catalog().select(F.concat_ws(".", "schema_name", "table_name").alias("layer"),
+    out = LD.run_sources(spark, store, sources).select("layer", "n")
+    cat = store.catalog().select(F.concat_ws(".", "schema_name", "table_name").alias("layer"), "target",
                                  F.col("n_features").alias("catalog_n"))
     return out.join(cat, "layer")
 
 
+@query("manifest_group_load", "P1 S21 K1 A3", with_fixtures("""
+select 'external.' || regexp_replace(lower(regexp_replace(lower(r_name) || ':' || n_name, '[^A-Za-z0-9]+', '_', 'g')),
+    '^_|_$', '', 'g') as layer,
+  'Layer of ' || n_name as source, count(p.id) as n
+from nation join region on n_regionkey = r_regionkey
+left join (customer join fx_points p on p.id = c_custkey and p.lon is not null and p.lat is not null)
+  on c_nationkey = n_nationkey
+group by 1, 2
+""", "fx_points"))
+def manifest_group_load(spark, sf_dir):
+    """The rows of the manifests drive a group load: each entry's located
+    customers as a layer of the store, read back from its catalog."""
+    from terrane.suite import sources as SRC
+    store = C.local_store(spark)
+    cust = X.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("feature_id"), "c_nationkey")
+    pts = X.points_layer(spark, sf_dir).join(cust, "feature_id")
+    LD.load_group(spark, store, "external", SRC.manifest_layers(spark, sf_dir),
+                  lambda e: pts.where(F.col("c_nationkey") == int(e["url"].rpartition("/")[2])))
+    return store.catalog().select(F.concat_ws(".", "schema_name", "table_name").alias("layer"), "source",
+                                  F.col("n_features").alias("n"))
+
+
+@query("city_group_load", "P2 S22 U3 F16 W2 K1", with_fixtures("""
+, d as (
+  select *, case when strpos(url, 'AMERICA/') > 0 then 1 when strpos(url, 'EUROPE/') > 0 then 2
+    when strpos(url, 'ASIA/') > 0 then 3 when strpos(url, 'AFRICA/') > 0 then 4 end as pref_rank
+  from fx_discovery where type in ('MapServer', 'FeatureServer')
+)
+select 'city.' || regexp_replace(lower(regexp_replace(service, '[^A-Za-z0-9]+', '_', 'g')), '^_|_$', '', 'g') as layer,
+  count(*) as n
+from d join nation on n_name = service join customer on c_nationkey = n_nationkey
+join fx_points p on p.id = c_custkey and p.lon is not null and p.lat is not null
+where pref_rank is not null group by 1
+""", "fx_discovery", "fx_points"))
+def city_group_load(spark, sf_dir):
+    """The rows of the discovery drive the city load: vector services in
+    preferred folders, one layer per slug, empty ones without a catalog row."""
+    from terrane.suite import sources as SRC
+    store = C.local_store(spark)
+    d = X.fx_discovery(spark, sf_dir)
+    services = d.select(F.concat_ws("/", "url", "type", F.lit("0")).alias("url"), F.col("service").alias("name"),
+                        "type", F.struct("folder", "service").alias("ordinal"))
+    nation = X.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    cust = X.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("feature_id"), "c_nationkey")
+    pts = X.points_layer(spark, sf_dir).join(cust, "feature_id").join(nation, "c_nationkey")
+    status = LD.load_city(spark, store, services, SRC.PREFERRED, lambda e: pts.where(F.col("n_name") == e["name"]))
+    cat = store.catalog().select(F.concat_ws(".", "schema_name", "table_name").alias("layer"),
+                                 F.col("n_features").alias("n"))
+    return status.where("error IS NULL").select("layer").join(cat, "layer")
+
+
 def _schools_sql():
     from terrane.suite import tables as TB  # noqa: F401  (registers enrollment_totals)
     from terrane.registry import REGISTRY
@@ -207,11 +255,12 @@ def schools_load(spark, sf_dir):
     from terrane.suite import tables as TB
     store = C.local_store(spark)
     tracts = X.tracts_layer(spark, sf_dir)
-    ids = [r.geoid for r in tracts.where(F.col("regionkey") == 1).select("geoid").collect()]
-    n1 = store.write_layer(tracts.where(FL.in_list("geoid", ids, width=11)), "schools", "school_districts")
+    own = tracts.where(F.col("regionkey") == 1).select("geoid")
+    n1 = store.write_layer(tracts.join(own, "geoid", "left_semi"), "schools", "school_districts")
     n2 = store.write_layer(S.bbox_filter(tracts, CITY_BBOX), "schools", "school_districts_region")
     pts = X.points_layer(spark, sf_dir).withColumn("leaid", F.lpad((F.col("feature_id") % 25).cast("string"), 11, "0"))
-    n3 = store.write_layer(pts.where(FL.in_list("leaid", ids)), "schools", "public_schools_districts")
+    n3 = store.write_layer(pts.join(own.withColumnRenamed("geoid", "leaid"), "leaid", "left_semi"), "schools",
+                           "public_schools_districts")
     n4 = store.write_table(TB.enrollment_totals(spark, sf_dir), "schools", "enrollment_districts")
     return spark.createDataFrame([("school_districts", n1), ("school_districts_region", n2),
                                   ("public_schools_districts", n3), ("enrollment_districts", n4)],

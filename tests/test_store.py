@@ -75,6 +75,104 @@ def test_group_and_validated(spark, tmp):
     assert got == {"roads": True, "far": False, "superfund": True}
 
 
+def test_a_write_that_died_blocks_nothing(spark, tmp):
+    """Incomplete versions, of the catalog and of a layer, are replaced."""
+    st = C.Store(spark, f"{tmp}/s7").init()
+    st.write_layer(_layer(spark), "osm", "roads")
+    for folder in (st._catalog_path(st._latest_version() + 1), f"{st.root('osm', 'roads')}/v000001"):
+        spark.range(1).write.parquet(folder)
+        path, fs = st._fs(folder + "/_SUCCESS")
+        fs.delete(path, True)
+    assert st.read("osm", "roads").count() == 3
+    st.write_layer(_layer(spark, 5), "osm", "roads")
+    st.set_validated(spark.createDataFrame([("osm", "roads", True)], "schema_name string, table_name string, validated boolean"))
+    r = st.catalog().where("table_name = 'roads'").first()
+    assert (r.n_features, r.validated) == (5, True) and st.read("osm", "roads").count() == 5
+    half = C.Store(spark, f"{tmp}/s8")
+    path, fs = half._fs(half._catalog_path(0))
+    fs.mkdirs(path)                                    # the very first catalog write died
+    assert half.init().write_layer(_layer(spark), "osm", "roads") == 3
+
+
+def test_a_replayed_batch_does_what_is_missing(spark, tmp, monkeypatch):
+    st = C.Store(spark, f"{tmp}/s9").init()
+    put, calls = C.Store.put, []
+    monkeypatch.setattr(C.Store, "put", lambda self, *a, **k: (calls.append(a[1:3]), put(self, *a, **k))[1])
+    assert st.write_layer(_layer(spark), "apis", "live", batch="f#0") == 3
+    before = (st._latest_version(), st._versions(st.root("apis", "live")), st.catalog().collect())
+    assert st.write_layer(_layer(spark, 9), "apis", "live", batch="f#0") == 3        # replayed whole
+    assert before == (st._latest_version(), st._versions(st.root("apis", "live")), st.catalog().collect())
+
+    def dies(self, *a):
+        raise RuntimeError("died")
+    with monkeypatch.context() as m:                   # between the layer and the catalog
+        m.setattr(C.Store, "_register", dies)
+        try:
+            st.write_layer(_layer(spark, 4), "apis", "live", batch="f#1")
+        except RuntimeError:
+            pass
+    assert st.catalog().first().n_features == 3
+    n = len(calls)
+    assert st.write_layer(_layer(spark, 4), "apis", "live", batch="f#1") == 4 and len(calls) == n
+    assert st.catalog().first().n_features == 4 and st.read("apis", "live").count() == 4
+    path, fs = st._fs(st.root("apis", "live") + "/_batch")
+    out = fs.create(path, True)
+    out.writeBytes('{"batch": "f#1", ')                # a note cut short: written again
+    out.close()
+    assert st.write_layer(_layer(spark, 4), "apis", "live", batch="f#1") == 4 and len(calls) == n + 1
+    assert st.write_layer(_layer(spark, 0), "apis", "live", batch="f#2") == 0 and st.read("apis", "live").count() == 0
+
+
+def test_group_load_statuses(spark, tmp):
+    """Entries side by side: loaded, empty, unreadable and unwritable; one
+    catalog version for all."""
+    from terrane.plans import loads as LD
+    st = C.Store(spark, f"{tmp}/s10").init()
+    v = st._latest_version()
+
+    def unreadable():
+        raise OSError("no such page")
+
+    sources = [LD.Source("osm", "roads", lambda: _layer(spark)), LD.Source("osm", "none", lambda: _layer(spark, 0)),
+               LD.Source("osm", "lost", unreadable, "t"),
+               LD.Source("osm", "broken", lambda: _layer(spark).withColumn("x", F.raise_error(F.lit("bad")).cast("string"))),
+               LD.Source("osm", "attrs", lambda: spark.range(4), table=True)]
+    got = {r.layer: (r.n, r.error) for r in LD.run_sources(spark, st, sources).collect()}
+    assert got == {"osm.roads": (3, None), "osm.none": (0, None), "osm.lost": (0, "read: OSError"),
+                   "osm.broken": (0, next(e for _, e in got.values() if e and e.startswith("write"))), "osm.attrs": (4, None)}
+    assert st._latest_version() == v + 1
+    assert {r.table_name: (r.target, r.n_features) for r in st.catalog().collect()} == {
+        "roads": ("map+db", 3), "none": ("map+db", 0), "lost": ("map+db", 0), "attrs": ("db", 4)}
+
+
+def test_late_entry_is_cancelled(spark, tmp):
+    import time
+
+    from terrane.plans import loads as LD
+    st = C.Store(spark, f"{tmp}/s11").init()
+
+    def endless():
+        wait = F.udf(lambda i: time.sleep(1) or i, "long")
+        return _layer(spark, 400).withColumn("w", wait("feature_id"))
+    got = LD.run_sources(spark, st, [LD.Source("osm", "huge", endless), LD.Source("osm", "roads", lambda: _layer(spark))],
+                         cap_s=15, grace_s=30).collect()
+    assert {r.layer: (r.n, r.error) for r in got} == {"osm.huge": (0, "timeout"), "osm.roads": (3, None)}
+    assert {r.table_name for r in st.catalog().collect()} == {"roads"}
+
+
+def test_city_load_skips_empty_layers(spark, tmp):
+    from terrane.plans import loads as LD
+    st = C.Store(spark, f"{tmp}/s12").init()
+    services = spark.createDataFrame(
+        [("u/Public/MapServer/0", "Parcels", "MapServer", 1), ("u/Public/MapServer/1", "Gone", "MapServer", 2),
+         ("u/Other/MapServer/2", "Roads", "MapServer", 3), ("u/Public/MapServer/3", "Bad", "MapServer", 4)],
+        "url string, name string, type string, ordinal int")
+    pages = {"Parcels": lambda: _layer(spark), "Gone": lambda: _layer(spark, 0)}
+    got = {r.layer: (r.n, r.error) for r in LD.load_city(spark, st, services, ["Public/"], lambda e: pages[e["name"]]()).collect()}
+    assert got == {"city.parcels": (3, None), "city.gone": (0, "empty"), "city.bad": (0, "read: KeyError")}
+    assert [r.table_name for r in st.catalog().collect()] == ["parcels"]
+
+
 def test_feed_restart_keeps_its_checkpoint(spark, tmp):
     a = FD.feed_checkpoint(spark, f"{tmp}/land", "apis", "alerts")
     assert a == FD.feed_checkpoint(spark, f"{tmp}/land", "apis", "alerts")
