@@ -98,7 +98,7 @@ def test_stored_rows_need_no_copy(spark):
     base = os.path.dirname(folder)
     before = set(os.listdir(base))
     near, exact = drop_near_copies(docs), drop_exact_copies(docs)
-    made = sorted(x.rpartition("-")[0] for x in set(os.listdir(base)) - before)
+    made = sorted(x.rpartition("-")[0] for x in set(os.listdir(base)) - before)   # named name-1a2b3c
     assert made == ["copies", "near-copies"]
     key = lambda r: (str(r.doc_id), r.text or "")
     stored = spark.createDataFrame(docs.collect(), docs.schema)
