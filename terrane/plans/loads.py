@@ -171,6 +171,20 @@ def theme_layers(features: DataFrame, keys: list[str], id_col: str = "id") -> Da
     return R.dominant_kind(t, "theme")
 
 
+def load_themes(spark: SparkSession, store, features: DataFrame, themes: dict[str, str] | None = None,
+                schema: str = "osm", source: str = "OpenStreetMap", id_col: str = "id",
+                cap_s: float = CAP_S, workers: int = 4) -> DataFrame:
+    """Each theme's features (name, geometry of its dominant kind) as a
+    layer ``schema.theme``; a theme whose key the features lack registers 0.
+    Returns the status table."""
+    def read(key: str) -> DataFrame | None:
+        if key not in features.columns:
+            return None
+        return theme_layers(features, [key], id_col).select(id_col, "name", "kind", "geom")
+    sources = [Source(schema, theme, partial(read, key), source) for theme, key in (themes or OSM_THEMES).items()]
+    return run_sources(spark, store, sources, cap_s, workers)
+
+
 def business_points(features: DataFrame, keys: tuple[str, ...] = BUSINESS_KEYS,
                     id_col: str = "id") -> DataFrame:
     """P5: union of the business themes (a feature with two tags appears

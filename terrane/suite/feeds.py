@@ -398,7 +398,7 @@ def filter_columns_counts(spark, sf_dir):
 SUPPLIER_PREFERRED = ["NATION_1/", "NATION_2/", "NATION_3/", "NATION_5/", "NATION_8/"]
 
 
-@query("discovery_suppliers", "S22 U3 F16 W2 X1 F19 P2", """
+@query("discovery_suppliers", "S22 U3 F16 W2 X1 F19", """
 with s as (
   select n.n_name as folder, floor(s_suppkey / 1000) as page, s_suppkey,
     n.n_name || '/' || s_name as service,
@@ -453,7 +453,7 @@ def discovery_suppliers(spark, sf_dir):
     return R.first_by_rank(ranked, "slug", [F.col("pref_rank"), F.col("ordinal")]).select("url", "name", "slug", "pref_rank")
 
 
-@query("manifest_suppliers", "S21 P1 X1", """
+@query("manifest_suppliers", "S21 X1", """
 with e as (
   select lower(n_name) || ':' || s_name as key, 'Layer of ' || s_name as title,
     'https://host/' || n_name || '/MapServer/' || cast(s_suppkey as varchar) as url,

@@ -182,7 +182,7 @@ def places_bbox(spark, sf_dir):
     return rounded(g.select("name", "category", "confidence", G.to_wkt("geom").alias("wkt")), 6)
 
 
-@query("manifest_layers", "S21 P1 X1", """
+@query("manifest_layers", "S21 X1", """
 with e as (
   select lower(r_name) || ':' || n_name as key, 'Layer of ' || n_name as title,
     'https://host/' || r_name || '/MapServer/' || cast(n_nationkey as varchar) as url,
@@ -210,7 +210,7 @@ def manifest_layers(spark, sf_dir):
 PREFERRED = ["AMERICA/", "EUROPE/", "ASIA/", "AFRICA/"]
 
 
-@query("layer_discovery", "S22 U3 F16 W2 X1 F19 P2", with_fixtures("""
+@query("layer_discovery", "S22 U3 F16 W2 X1 F19", with_fixtures("""
 , l as (
   select url as service_url, folder, 0 as li, 'Parcels' as name, 0 as id, 'esriGeometryPolygon' as gt from fx_discovery
   union all select url, folder, 1, null, 1, 'esriGeometryPoint' from fx_discovery
