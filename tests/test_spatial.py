@@ -141,6 +141,63 @@ def test_nearest_within_matches_brute_force(spark):
     assert got == want and len(want) > 10
 
 
+def _planar_nearest(px, py, segs):
+    """(d, id) of the nearest of the segments (id, a, b)."""
+    def dist(a, b):
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        l2 = dx * dx + dy * dy
+        t = 0.0 if l2 == 0 else max(0.0, min(1.0, ((px - a[0]) * dx + (py - a[1]) * dy) / l2))
+        return math.hypot(px - a[0] - t * dx, py - a[1] - t * dy)
+    return min((dist(a, b), k) for k, a, b in segs)
+
+
+def test_nearest_rings_in_a_dense_layer(spark, monkeypatch):
+    """Thousands of crossing lines: the first rings are far smaller than the
+    search radius, some clicks lie off the crowd and go on to the last ring,
+    axis-parallel lines lie on cell borders, equal lines tie, and long lines
+    pass by far from every click."""
+    monkeypatch.setattr(S, "CROWD", 8)
+    rnd = random.Random(5)
+    paths = []
+    for i in range(3000):
+        x, y = -71.6 + rnd.uniform(0, 0.03), 43.2 + rnd.uniform(0, 0.03)
+        paths.append((i, (x, y), (x + rnd.uniform(-0.02, 0.02), y + rnd.uniform(-0.02, 0.02))))
+    paths += [(5000 + i, (-71.5 + i * 0.0001, 43.2), (-71.5 + i * 0.0001, 43.23)) for i in range(20)]
+    paths += [(6000 + i, paths[i][1], paths[i][2]) for i in range(50)]
+    paths += [(7000, (-75.0, 40.0), (-65.0, 41.0)), (7001, (-71.45, 42.0), (-71.45, 45.0))]
+    clicks = [(i, -71.6 + rnd.uniform(0, 0.03), 43.2 + rnd.uniform(0, 0.03)) for i in range(150)]
+    clicks += [(1000 + i, -71.4515 + i * 0.0001, 43.0 + i * 0.01) for i in range(20)]
+    clicks += [(2000 + i, -71.5 + rnd.uniform(0, 0.002), 43.2 + rnd.uniform(0, 0.03)) for i in range(20)]
+    lf = (spark.createDataFrame([(k, *a, *b) for k, a, b in paths], "feature_id long, ax double, ay double, bx double, by double")
+          .select("feature_id", G.line(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")),
+                                               F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).alias("geom")))
+    cf = spark.createDataFrame([*clicks, (9000, None, 43.2)], "click_id long, x double, y double")
+    occupied = S._Occupied(cf.select("click_id", F.col("x").alias("px"), F.col("y").alias("py")).dropna(),
+                           S.search_radius_deg(43.3, 200.0))
+    pieces = occupied.pieces(S.segment_rows(lf))
+    assert pieces.where("feature_id = 7000").count() == 0
+    assert pieces.where("feature_id = 7001").count() < 20
+    rings = S._Density(pieces, occupied).rings()
+    assert len(rings) > 1 and rings[-1] == occupied.unit
+    got = {r.click_id: (r.feature_id, r.dist_deg) for r in S.nearest_within(cf, [("lines", lf)], 200.0,
+                                                                             poly_layers=set()).collect()}
+    for cid, x, y in clicks:
+        d, k = _planar_nearest(x, y, paths)
+        metres = d * 111_195
+        if cid in got:
+            assert got[cid][0] == k and got[cid][1] == pytest.approx(d, abs=1e-12), cid
+        else:
+            assert metres > 140, cid         # beyond 200 m, a degree of longitude is 0.73 of one of latitude
+    assert len(got) > 170 and 9000 not in got
+
+
+def test_nearest_without_clicks_or_features(spark):
+    cf = spark.createDataFrame([(1, -71.6, 43.2)], "click_id long, x double, y double")
+    pf = cf.select(F.col("click_id").alias("feature_id"), G.point("x", "y").alias("geom"))
+    assert S.nearest_within(cf.limit(0), [("points", pf), ("more", pf)]).count() == 0
+    assert S.nearest_within(cf, [("points", pf.limit(0)), ("more", pf)]).first().layer == "more"
+
+
 def test_union_boundary_length_overlap_and_shared_edges(spark):
     # A [0,2]x[0,2] and C [1,3]x[1,3] overlap: union perimeter = 2 * (3 + 3) = 12;
     # D [3,4]x[0,1] is disjoint: 4; E shares D's right edge: E [4,5]x[0,1] -> D+E = 6
