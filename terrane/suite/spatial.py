@@ -515,6 +515,58 @@ def tile_thinning(spark, sf_dir):
     return counts.select(F.col("z").cast("int").alias("z"), "tx", "ty", "n", "n_kept")
 
 
+_LINE_Z = (8, 11)
+_LINE_CAP = 20
+
+
+def _line_tile_sql():
+    """Every tile of each segment's envelope, clipped by the four borders."""
+    merc = lambda y: f"(1.0e0 - ln(tan(radians({y})) + 1.0e0 / cos(radians({y}))) / pi()) / 2.0e0"
+    t_in = lambda a, b, t: (f"case when {a} = {b} then (case when floor({a}) = {t} then 0.0e0 else 2.0e0 end) "
+                            f"else least(({t} - {a}) / ({b} - {a}), ({t} + 1 - {a}) / ({b} - {a})) end")
+    t_out = lambda a, b, t: (f"case when {a} = {b} then 1.0e0 "
+                             f"else greatest(({t} - {a}) / ({b} - {a}), ({t} + 1 - {a}) / ({b} - {a})) end")
+    return f"""
+, {_SEGS}
+, one as (select line_id from fx_vertices group by line_id having count(*) = 1)
+, s as (
+  select line_id, (x + 180.0e0) / 360.0e0 as ux, {merc('y')} as uy, (nx + 180.0e0) / 360.0e0 as vx, {merc('ny')} as vy
+  from v where nx is not null
+  union all
+  select line_id, (x + 180.0e0) / 360.0e0, {merc('y')}, (x + 180.0e0) / 360.0e0, {merc('y')}
+  from fx_vertices where line_id in (select line_id from one)
+), zs as (
+  select line_id, z, ux * pow(2.0e0, z) as ax, uy * pow(2.0e0, z) as ay, vx * pow(2.0e0, z) as bx, vy * pow(2.0e0, z) as "by"
+  from s, (select unnest(range({_LINE_Z[0]}, {_LINE_Z[1] + 1})) as z)
+), cx as (
+  select *, unnest(range(cast(floor(least(ax, bx)) as bigint), cast(floor(greatest(ax, bx)) as bigint) + 1)) as tx from zs
+), cy as (
+  select *, unnest(range(cast(floor(least(ay, "by")) as bigint), cast(floor(greatest(ay, "by")) as bigint) + 1)) as ty from cx
+), t as (
+  select *, greatest(0.0e0, {t_in('ax', 'bx', 'tx')}, {t_in('ay', '"by"', 'ty')}) as t0,
+    least(1.0e0, {t_out('ax', 'bx', 'tx')}, {t_out('ay', '"by"', 'ty')}) as t1
+  from cy
+), l as (
+  select z, tx, ty, line_id,
+    round(sum((t1 - t0) * sqrt(power(bx - ax, 2) + power("by" - ay, 2))), 6) as length
+  from t where t1 - t0 > 1e-9 group by z, tx, ty, line_id
+), r as (select *, row_number() over (partition by z, tx, ty order by length desc, line_id) as rn from l)
+select cast(z as integer) as z, tx, ty, count(*) as n, round(sum(length), 3) as length,
+  count(*) filter (where rn <= {_LINE_CAP}) as n_kept,
+  round(sum(length) filter (where rn <= {_LINE_CAP}), 3) as length_kept
+from r group by z, tx, ty
+"""
+
+
+@query("line_tiles", "K11", with_fixtures(_line_tile_sql(), "fx_vertices"))
+def line_tiles(spark, sf_dir):
+    """Per tile at zooms 8-11: the number and clipped length (in tiles) of the
+    lines that pass through it, all of them and the 20 with the longest part."""
+    _, counts = TL.thin_line_tiles(X.lines_layer(spark, sf_dir), *_LINE_Z, _LINE_CAP)
+    return counts.select(F.col("z").cast("int").alias("z"), "tx", "ty", "n", F.round("length", 3).alias("length"),
+                         "n_kept", F.round("length_kept", 3).alias("length_kept"))
+
+
 @query("simplify_lines", "G8")
 def simplify_lines(spark, sf_dir):
     """Vertex counts of every line before and after simplification (tolerance
