@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -45,6 +46,26 @@ def test_pair_sum_identity():
     assert np.isclose(fm.score(stats, words), 1 / (1 + np.exp(-y)))
 
 
+def test_every_score_is_the_sum_over_all_pairs(spark):
+    """Scores of all rows from the fitted weights, pair by pair."""
+    labels = spark.read.parquet(f"{SF_LLM}/labels.parquet")
+    docs = spark.read.parquet(f"{SF_LLM}/documents.parquet").select("doc_id", "text")
+    model = fit_quality(docs, labels)
+    fm = FactorisationMachine.from_bytes(model)
+    n = 0
+    for some in (docs, frame(spark).select("doc_id", "text")):
+        for r in quality_scores(some, model).collect():
+            at, x = fm.vector(*statistics_and_words((r.text or "").encode()))
+            v = fm.v[at]
+            y = fm.w0 + sum(fm.w[a] * b for a, b in zip(at, x))
+            y += sum(float((v[:i] @ v[i] * x[:i]).sum() * x[i]) for i in range(1, len(at)))
+            want = 1 / (1 + math.exp(-max(-30.0, min(30.0, y))))
+            assert math.isclose(r.score, want, rel_tol=1e-9, abs_tol=1e-12), r.doc_id
+            assert r.predicted == int(r.score >= 0.3)
+            n += 1
+    assert n > 500
+
+
 def test_hard_rows(spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(100)] + [(None, 1, 0), (3, None, 0)],
                                    "doc_id long, quality int, toxic int")
