@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrane.functions import style as ST
+from terrane.store.ordering import space_ordered
 
 CATALOG_SCHEMA = T.StructType([
     T.StructField("schema_name", T.StringType(), False),
@@ -262,12 +263,16 @@ class Store:
 
     # K1 ---------------------------------------------------------------------
     def write_layer(self, df: DataFrame | None, schema: str, table: str,
-                    source: str = "", scope: str = "", geom: str = "geom", batch: str | None = None) -> int:
+                    source: str = "", scope: str = "", geom: str = "geom", batch: str | None = None,
+                    ordered: bool = False, files: int | None = None) -> int:
         """No geometry column -> stored as a 'db' table (K2). Otherwise, when it
         has rows: geometry is set to 4326, list columns flattened, the table
         overwritten; registered as 'map+db' with its count (0 when empty, in
         which case nothing is written).
 
+        ``ordered``: the layer is written in space-filling order (``ordering``;
+        ``files`` of them, if given), so that bbox reads skip most of it.
+
         ``batch`` names what is written: when the layer's last write has that
         name and reached the catalog, nothing is done; when it did not get that
         far, only what is missing is done."""
@@ -277,6 +282,8 @@ class Store:
         if mark and mark["batch"] == batch:
             target, n = mark["target"], int(mark["n"])
         else:
+            if ordered and df is not None and geom in df.columns:
+                df = space_ordered(df, geom, files)
             target, n = self.put(df, schema, table, geom)
             if batch is not None:
                 self._set_mark(schema, table, batch=batch, target=target, n=n, done="layer")

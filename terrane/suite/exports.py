@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrane.config import REGION_BBOX
+from terrane.config import CITY_BBOX, REGION_BBOX
 from terrane.functions import geom as G
+from terrane.operators import spatial as S
 from terrane.plans import loads as LD
 from terrane.plans import validate as V
 from terrane.registry import query, rounded
@@ -300,3 +301,16 @@ def group_load_snapshot(spark, sf_dir):
     exp = EX.export_web(store, shared_dir(spark, "web"), 10, 12, 50)
     return status.select("layer", "n", F.coalesce("error", F.lit("")).alias("detail")).unionByName(
         exp.select(F.col("output").alias("layer"), "n", F.col("format").alias("detail")))
+
+
+@query("ordered_layer_bbox", "K1 S23 F1", with_fixtures(f"""
+select id as feature_id, name, round(lon, 6) as lon, round(lat, 6) as lat from fx_points
+where lon between {n_(CITY_BBOX.xmin)} and {n_(CITY_BBOX.xmax)} and lat between {n_(CITY_BBOX.ymin)} and {n_(CITY_BBOX.ymax)}
+""", "fx_points"))
+def ordered_layer_bbox(spark, sf_dir):
+    """The point layer written in space-filling order and read back by the
+    city's bbox."""
+    store = C.local_store(spark)
+    store.write_layer(X.points_layer(spark, sf_dir), "region", "points", ordered=True)
+    inside = S.bbox_filter(store.read("region", "points"), CITY_BBOX)
+    return rounded(inside.select("feature_id", "name", "lon", "lat"), 6)

@@ -1,11 +1,15 @@
 """Layer store, catalog, exports, feed."""
 
 import json
+import math
+import random
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terrane.config import BBox
 from terrane.functions import geom as G
+from terrane.operators import spatial as S
 from terrane.store import catalog as C
 from terrane.store import export as EX
 from terrane.streaming import feed as FD
@@ -199,3 +203,52 @@ def test_feed_replaces_layer(spark, tmp):
     FD.refresh_feed(spark, st, land, schema, lambda b: b.withColumn("geom", G.point("lon", "lat")),
                     ("apis", "alerts"), checkpoint=f"{tmp}/ck").awaitTermination()
     assert [r.id for r in st.read("apis", "alerts").collect()] == [3]
+
+
+def _morton(x, y):
+    at = [min(max(math.floor((v - lo) / (hi - lo) * 2 ** 31), 0), 2 ** 31 - 1)
+          for v, lo, hi in ((x, -180.0, 180.0), (y, -90.0, 90.0))]
+    return sum(((at[0] >> i) & 1) << (2 * i) | ((at[1] >> i) & 1) << (2 * i + 1) for i in range(31))
+
+
+def test_morton_key(spark):
+    from terrane.store.ordering import morton_key
+    places = [(-180.0, -90.0), (180.0, 90.0), (0.0, 0.0), (-71.51, 43.2), (179.999, -89.9), (500.0, -500.0)]
+    df = spark.createDataFrame([*places, (None, 1.0), (float("nan"), 1.0)], "x double, y double")
+    got = [r.k for r in df.select(morton_key(F.col("x"), F.col("y")).alias("k")).collect()]
+    assert got == [_morton(*p) for p in places] + [None, None]
+
+
+def test_ordered_layer_is_read_in_part(spark, tmp_path):
+    """A small bbox meets the envelope statistics of few files; rows without a
+    place, a place of a third of all rows and equal rows are kept."""
+    import pyarrow.parquet as pq
+    rnd = random.Random(2)
+    pts = [(i, -72 + rnd.random(), 43 + rnd.random(), {"a": "b"}) for i in range(4000)]
+    pts += [(5000 + i, -71.25, 43.75, None) for i in range(2000)]
+    pts += [(8000, None, 43.2, None), (8001, -71.5, 43.5, None), (8001, -71.5, 43.5, None)]
+    df = (spark.createDataFrame(pts, "feature_id long, lon double, lat double, tags map<string, string>")
+          .withColumn("geom", G.point("lon", "lat")).repartition(16))
+    store = C.local_store(spark, str(tmp_path / "store"))
+    box = (-71.62, 43.31, -71.55, 43.38)
+    want = sorted(i for i, x, y, _ in pts if x is not None and box[0] <= x <= box[2] and box[1] <= y <= box[3])
+    met = {}
+    for name, settings in (("plain", {}), ("ordered", {"ordered": True, "files": 16})):
+        assert store.write_layer(df, "s", name, **settings) == len(pts)
+        lay = store.read("s", name)
+        assert lay.count() == len(pts)
+        got = S.bbox_filter(lay, BBox(*box)).select("feature_id").collect()
+        assert sorted(r.feature_id for r in got) == want and want
+        files = [f.removeprefix("file://").removeprefix("file:") for f in lay.inputFiles()]
+        met[name] = [0, len(files)]
+        for f in files:
+            meta = pq.ParquetFile(f).metadata
+            at = {meta.schema.column(c).path: c for c in range(meta.num_columns)}
+            stats = {c: meta.row_group(0).column(at["geom." + c]).statistics for c in ("xmin", "xmax", "ymin", "ymax")}
+            met[name][0] += (stats["xmin"].has_min_max and stats["xmin"].min <= box[2] and stats["xmax"].max >= box[0]
+                             and stats["ymin"].min <= box[3] and stats["ymax"].max >= box[1])
+        if name == "ordered":
+            crowd = lay.where("feature_id between 5000 and 6999").select(F.input_file_name().alias("f")).distinct()
+            assert crowd.count() > 3
+    assert met["plain"][0] == met["plain"][1] == 16
+    assert met["ordered"][0] <= 4 and met["ordered"][1] == 16
