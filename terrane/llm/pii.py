@@ -12,7 +12,10 @@ pointwise mutual information relative to the entity's information content:
 with counts of distinct texts: N of all, n_c with the entity, n_t with the term
 anywhere, n_ct with the term next to the entity (within ``CONTEXT`` characters
 of it and before the next valid entity of the kind). The ratio is 1 where the term
-appears in no text without the entity. A term with at least ``SUPPORT`` texts
+appears in no text without the entity. Written otherwise it is
+1 + ln(n_ct / n_t) / IC, so a term that also stands elsewhere nears 1 as the
+corpus grows: an entity in 4 texts and a term in these and a fifth have 0.60
+at N = 7 and 0.98 at N = 10**6. A term with at least ``SUPPORT`` texts
 is generalised from ``GENERALISE`` on and removed from ``REMOVE`` on, wherever
 it stands in any text.
 

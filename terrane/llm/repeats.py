@@ -24,7 +24,8 @@ first holder of a block or window. A key with more than ``CONTEXTS`` blocks in
 one batch (the edge of a passage that very many documents share) sends a mark
 instead of its entries, and its windows are compared directly. So a key or
 window has a bounded number of entries per batch, however many documents hold
-it.
+it, as long as no single text repeats it: occurrences within one row are not
+merged, and a periodic text sends one entry for each.
 
 Keys are 48-bit, blocks 40-bit (within a key) and windows 64-bit hashes.
 
