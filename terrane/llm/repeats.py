@@ -10,28 +10,31 @@ the same place. A suffix is indexed where an anchor begins, under the hash of
 the gram (its key), with the hash of its surroundings: all windows in which the
 anchor's gram is the smallest together are one block.
 
-Documents come in batches. A batch's suffixes are sorted (its suffix array in
-key order) and enter, bucket of keys by bucket, a logarithmic family of sorted
-runs: a new run is merged with the last level as long as that is no longer than
-the run itself, so levels grow geometrically. No new run is scanned against the
-levels by itself: one scan of the merged family
-finds equal blocks (everything in a later one is removed) and keys with more
-than one block. Only for the first document of each such block are single
-windows compared, again by sorted runs.
-
-Hot strings: a batch settles repeats among its own documents and sends only the
-first holder of a block or window. A key with more than ``CONTEXTS`` blocks in
-one batch (the edge of a passage that very many documents share) sends a mark
-instead of its entries, and its windows are compared directly. So a key or
-window has a bounded number of entries per batch, however many documents hold
-it, as long as no single text repeats it: occurrences within one row are not
-merged, and a periodic text sends one entry for each.
+Documents come in batches of at most ``BATCH_ROWS`` rows and some ``BATCH_BYTES``
+bytes (one longer text is a batch of its own). A batch's suffixes are sorted (its
+suffix array in key order); bucket of keys by bucket, the new run is scanned
+against each level of a logarithmic family of sorted runs (a binary search for
+its keys) and then joins the family: it is merged with the last level as long as
+that is less than twice as long, so each level is at least twice the next. The scan
+finds equal blocks (everything in a later one is removed; a family keeps the
+earliest holder only) and keys with more than one block. Only for the first
+document of each such block are single windows compared, again by a family.
+
+Hot strings: a batch settles repeats among its own documents and sends one entry
+for a block or window, whatever the number of its occurrences; these stay on the
+batch's side, and an answer names the entry by its number in the batch's order.
+A key with more than ``CONTEXTS`` blocks in one batch, or entries in the family
+(the edge of a passage that very many documents share), becomes a mark, and its
+windows are compared directly. So a key has at most ``CONTEXTS`` entries per batch
+and a window one, however many documents hold it and however often one text
+repeats it. Where a text has an anchor at nearly every byte (a run of one letter),
+overlapping occurrences of a block are one.
 
 Keys are 48-bit, blocks 40-bit (within a key) and windows 64-bit hashes.
 
 Edge cases: null and empty texts, and texts under ``LENGTH`` bytes, lose
-nothing; rows without an id count as later than all ids; rows with one id never
-cover each other; very long texts are worked on in pieces that overlap; an
+nothing; rows without an id count as if they had the largest long; rows with one
+id never cover each other; very long texts are worked on in pieces that overlap; an
 empty table gives no rows; other columns play no part.
 """
 
@@ -45,16 +48,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm.common import fanout, mix64, utf8_of
-from terrane.session import materialize, shared_dir
+from terrane.session import materialize, scratch, shared_dir
 
 LENGTH = 50
 GRAM = 24
 CONTEXTS = 16
 BATCH_ROWS = 2_000
+BATCH_BYTES = 8 << 20
+#: Bytes of text whose entries a bucket of keys holds.
+BUCKET_BYTES = 32 << 20
+#: One anchor in so many bytes or fewer: a text that repeats itself closely.
+DENSE = 6
 _PIECE = 1 << 17
 _EDGE = 2 * LENGTH
-_NO_ID = 2 ** 63 - 1
-_MARK = 2 ** 32 - 1
+_LAST = 2 ** 63 - 1
+_MARK = np.uint64(1 << 40)                      # above all blocks
 
 _BASE = np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2 ** 64))
@@ -157,10 +165,26 @@ class Anchors:
         own = least[np.clip(starts, 0, max(len(least) - 1, 0))] == gram[p][:, None]
         own &= (starts >= 0) & (starts < len(least))
         first = starts[np.arange(len(p)), own.argmax(1)]
-        self.row, self.left, self.size = rows[o], inside - (p - first), own.sum(1) + LENGTH - 1
+        self.row, self.left = rows[o].astype(np.int32), inside - (p - first)
+        self.size = (own.sum(1) + LENGTH - 1).astype(np.int32)
         # anchors are the smallest hashes: mixed once more, keys spread evenly over buckets
         self.key = mix64(gram[p] + _BASE) >> np.uint64(16)
         self.block = mix64(h.of(first, first + self.size) + (p - first).astype(np.uint64)) >> np.uint64(24)
+        if len(p) > n // DENSE:
+            self._join()
+
+    def _join(self) -> None:
+        """Overlapping occurrences of a block in one text become one."""
+        order = np.lexsort((self.left, self.row, self.block, self.key))
+        key, block, row, left, size = (x[order] for x in (self.key, self.block, self.row, self.left, self.size))
+        apart = np.concatenate(([True], (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (row[1:] != row[:-1])
+                                | (left[1:] > left[:-1] + size[:-1])))
+        first = np.flatnonzero(apart)
+        last = np.append(first[1:], len(left)) - 1
+        size = (left[last] + size[last] - left[first]).astype(np.int32)
+        back = np.lexsort((left[first], row[first]))            # rows in order again
+        self.key, self.block, self.row, self.left, self.size = (
+            x[back] for x in (key[first], block[first], row[first], left[first], size))
 
 
 def anchors_of(texts: list[bytes]):
@@ -193,17 +217,25 @@ def _from_blob(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _entries_blob(key, sub, row, place, size, ords) -> bytes:
-    """Entries sorted by key; ``ords`` are the batch's ids by row."""
-    used, where = np.unique(row, return_inverse=True)
-    return _to_blob((np.diff(key, prepend=np.uint64(0)), "<u8"), (sub, "<u8"), (where, "<u4"), (place, "<u4"), (size, "u1"),
-                    (np.diff(used, prepend=0), "<u4"), (np.diff(ords[used], prepend=0), "<i8"))
+def _entries_blob(key, sub, ids, number) -> bytes:
+    """Entries of a batch, sorted by key."""
+    used, where = np.unique(ids, return_inverse=True)
+    return _to_blob((np.diff(key, prepend=np.uint64(0)), "<u8"), (sub, "<u8"), (where, "<u4"),
+                    (np.diff(number, prepend=0), "<u4"), (np.diff(used, prepend=0), "<i8"))
 
 
 def _entries(blob: bytes):
-    key, sub, where, place, size, rows, ids = _from_blob(blob, "<u8", "<u8", "<u4", "<u4", "u1", "<u4", "<i8")
-    rows, ids = np.cumsum(rows.astype(np.int64)), np.cumsum(ids)
-    return (np.cumsum(key, dtype=np.uint64), sub, ids[where], rows[where], place, size)
+    key, sub, where, number, ids = _from_blob(blob, "<u8", "<u8", "<u4", "<u4", "<i8")
+    return np.cumsum(key, dtype=np.uint64), sub, np.cumsum(ids)[where], np.cumsum(number.astype(np.int64))
+
+
+def _numbers_blob(number) -> bytes:
+    return _to_blob((np.diff(np.sort(number), prepend=0), "<u4"))
+
+
+def _numbers(blobs: list[bytes]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64)]
+                          + [np.cumsum(_from_blob(x, "<u4")[0].astype(np.int64)) for x in blobs])
 
 
 def _by_bucket(key: np.ndarray, bits: int, buckets: int) -> np.ndarray:
@@ -226,34 +258,85 @@ def _later(ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return ids > ids[first]
 
 
-class RunFamily:
-    """Sorted runs in levels of geometrically falling size."""
+def _spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[i], begin[i] + 1, ... (count[i] of them) for every i."""
+    return np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
+
 
-    def __init__(self):
-        self.levels: list[tuple[np.ndarray, ...]] = []
+_KEY, _SUB, _IDS, _BATCH, _NUMBER, _ASKED, _LIVE = range(7)
 
-    def add(self, run: tuple[np.ndarray, ...]) -> None:
-        while self.levels and len(self.levels[-1][0]) <= len(run[0]):
+
+class RunFamily:
+    """Sorted runs in levels of geometrically falling size. ``cuts`` and
+    ``asks`` gather (batch, number) of entries with an earlier equal and of
+    those whose windows are to be compared."""
+
+    def __init__(self, contexts: int | None):
+        self.contexts = contexts
+        self.levels: list[list[np.ndarray]] = []
+        self.cuts, self.asks = [], []
+
+    def add(self, batch: int, key, sub, ids, number) -> None:
+        """Scan the run of a batch against every level, then take it in."""
+        n = len(key)
+        run = [key, sub, ids, np.full(n, batch), number, np.zeros(n, bool), np.ones(n, bool)]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        count = np.diff(np.append(first, n))
+        met, found = count > 1, []
+        for level in self.levels:
+            low, high = (np.searchsorted(level[_KEY], key[first], side) for side in ("left", "right"))
+            met |= high > low
+            at = _spread(low, high - low)
+            found.append(at[level[_LIVE][at]])
+        mine = np.flatnonzero(np.repeat(met, count))
+        if len(mine):
+            self._judge([run, *self.levels], [mine, *found])
+        while self.levels and len(self.levels[-1][_KEY]) < 2 * len(run[_KEY]):
             run = self._merged(self.levels.pop(), run)
         self.levels.append(run)
 
     @staticmethod
     def _merged(a, b):
-        both = [np.concatenate(x) for x in zip(a, b)]
-        order = np.argsort(both[0], kind="stable")              # two sorted runs: one merge
-        return tuple(x[order] for x in both)
-
-    def scan(self) -> tuple[np.ndarray, ...]:
-        """All entries, by key, then surroundings, then id."""
-        while len(self.levels) > 1:
-            b, a = self.levels.pop(), self.levels.pop()
-            self.levels.append(self._merged(a, b))
-        run = self.levels[0]
-        same = run[0][1:] == run[0][:-1]
-        at = np.flatnonzero(np.concatenate((same, [False])) | np.concatenate(([False], same)))
-        order = np.arange(len(run[0]))
-        order[at] = at[np.lexsort((run[2][at], run[1][at], run[0][at]))]
-        return tuple(x[order] for x in run)
+        both = [np.concatenate((x[a[_LIVE]], y[b[_LIVE]])) for x, y in zip(a, b)]
+        order = np.argsort(both[_KEY], kind="stable")           # two sorted runs: one merge
+        return [x[order] for x in both]
+
+    def _judge(self, runs, spots) -> None:
+        """Compare the entries at ``spots`` of ``runs``, all there are of their keys."""
+        key, sub, ids, batch, number, asked = (
+            np.concatenate([r[c][s] for r, s in zip(runs, spots)]) for c in range(_LIVE))
+        order = np.lexsort((ids, sub, key))
+        key, sub, ids, batch, number, asked = (x[order] for x in (key, sub, ids, batch, number, asked))
+        mark = sub == _MARK
+        new_key = np.concatenate(([True], key[1:] != key[:-1]))
+        begins = new_key | np.concatenate(([True], sub[1:] != sub[:-1]))
+        later = _later(ids, begins) & ~mark
+        self.cuts.append((batch[later], number[later]))
+        dead = later | (mark & ~begins)
+        if self.contexts is not None:
+            alive = ~dead & ~mark
+            group, starts = np.cumsum(new_key) - 1, np.flatnonzero(new_key)
+            marked = np.bincount(group, mark) > 0
+            many = marked | (np.bincount(group, alive) > self.contexts)
+            least = np.minimum.reduceat(np.where(alive, ids, _LAST), starts)
+            most = np.maximum.reduceat(np.where(alive, ids, -_LAST - 1), starts)
+            several = many | ((np.bincount(group, begins & ~mark) > 1) & (most > least))
+            ask = alive & several[group] & ~asked
+            self.asks.append((batch[ask], number[ask]))
+            asked |= ask
+            # all that a key with many entries needs from now on is its mark
+            gone = np.flatnonzero(alive & many[group])
+            dead[gone] = True
+            kept = gone[np.unique(group[gone], return_index=True)[1]]
+            kept = kept[~marked[group[kept]]]
+            dead[kept], sub[kept] = False, _MARK
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        at = 0
+        for r, s in zip(runs, spots):
+            mine = back[at:at + len(s)]
+            r[_SUB][s], r[_ASKED][s], r[_LIVE][s] = sub[mine], asked[mine], ~dead[mine]
+            at += len(s)
 
 
 # --- passes ----------------------------------------------------------------
@@ -269,160 +352,152 @@ def _table(rows: list[tuple]) -> pa.Table:
 
 def _places(row, place, size) -> bytes:
     order = np.lexsort((place, row))
-    return _to_blob((row[order], "<u4"), (place[order], "<u4"), (size[order], "u1"))
+    return _to_blob((row[order], "<u4"), (place[order], "<u4"), (size[order], "<u4"))
+
+
+def _places_from(blobs: list[bytes]):
+    at = [_from_blob(x, "<u4", "<u4", "<u4") for x in blobs]
+    return [np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (zip(*at) if at else [()] * 3)]
 
 
 def _in_order(t: pa.Table):
-    """A batch's row numbers, ids and texts, by id then row number."""
-    t = t.sort_by([("ord", "ascending"), ("rid", "ascending")])
-    return t.column("ord").to_numpy(), utf8_of(t.column("text").combine_chunks()), t
+    """A batch's ids and texts, and the batch, by id then row number."""
+    t = t.sort_by([("doc_id", "ascending"), ("rid", "ascending")])
+    return t.column("doc_id").fill_null(_LAST).to_numpy(), utf8_of(t.column("text").combine_chunks()), t
 
 
-def _window_rows(batch: int, ords, found, buckets: int, entries: bool = True, settled: bool = True) -> list[tuple]:
-    """Rows for the windows (row, place, hash) of a batch: those that repeat
-    in it are ``settled``, the others' first holders are ``entries`` that go to
-    their buckets."""
-    if not found:
-        return []
-    row, place, h = (np.concatenate(x) for x in zip(*found))
-    order = np.lexsort((place, row, h))                         # rows are in order of id
-    row, place, h = row[order], place[order], h[order]
-    again = np.concatenate(([False], (h[1:] == h[:-1]) & (row[1:] == row[:-1]) & (place[1:] == place[:-1])))
-    row, place, h = row[~again], place[~again], h[~again]
-    begins = np.concatenate(([True], h[1:] != h[:-1]))
-    later = _later(ords[row], begins)
-    size = np.full(len(h), LENGTH)
-    out = [(_CUT, batch, None, _places(row[later], place[later], size[later]))] if settled and later.any() else []
-    if not entries:
-        return out
-    row, place, h, size = row[~later], place[~later], h[~later], size[~later]
-    zero = np.zeros(len(h), np.uint64)
-    bucket = _by_bucket(h, 64, buckets)
-    return out + [(_WINDOW, batch, int(bucket[a]), _entries_blob(h[a:b], zero[a:b], row[a:b], place[a:b], size[a:b], ords))
-                  for a, b in _runs(bucket)]
-
-
-def _anchor_pass(buckets: int, contexts: int, entries: bool):
-    """A batch's suffixes: the entries that go to the key buckets, or (not
-    ``entries``) what the batch settles by itself and the windows of its hot
-    keys. Two passes over the texts cost less than storing the entries."""
-    def run(t: pa.Table) -> pa.Table:
-        batch = t.column("batch")[0].as_py()
-        ords, texts, _ = _in_order(t)
+def _to_buckets(kind: str, batch: int, bucket: np.ndarray, *columns) -> list[tuple]:
+    return [(kind, batch, int(bucket[a]), _entries_blob(*(c[a:b] for c in columns))) for a, b in _runs(bucket)]
+
+
+class Suffixes:
+    """A batch's suffixes in key order: their occurrences (row, left, size),
+    whether an earlier row of the batch has the same block (``later``), whether
+    the key has many blocks in it (``hot``), and the block's ``number``."""
+
+    def __init__(self, texts: list[bytes], ords: np.ndarray, contexts: int):
         parts = [(a.key, a.block, a.row, a.left, a.size) for a in anchors_of(texts)]
+        self.found = bool(parts)
         if not parts:
-            return _table([])
+            return
         key, block, row, left, size = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((block, key))                        # stable: ids stay in order
-        key, block, row, left, size = key[order], block[order], row[order], left[order], size[order]
-        new_key = np.concatenate(([True], key[1:] != key[:-1]))
-        begins = new_key | np.concatenate(([True], block[1:] != block[:-1]))
-        later = _later(ords[row], begins)
-        # keys with many surroundings: a mark goes out, the windows are compared
-        group = np.cumsum(new_key) - 1
-        hot = (np.bincount(group, begins) > contexts)[group]
-        if not entries:
-            out = [(_CUT, batch, None, _places(row[later], left[later], size[later]))] if later.any() else []
-            asked = hot & ~later
-            return _table(out + _window_rows(batch, ords, _windows_at(texts, row[asked], left[asked], size[asked]),
-                                             buckets))
-        sent = (~later & ~hot) | (hot & new_key)
-        left = np.where(hot, _MARK, left)
-        key, block, row, left, size = key[sent], block[sent], row[sent], left[sent], size[sent]
-        bucket = _by_bucket(key, 48, buckets)
-        return _table([(_ANCHOR, batch, int(bucket[a]),
-                        _entries_blob(key[a:b], block[a:b], row[a:b], left[a:b], size[a:b], ords))
-                       for a, b in _runs(bucket)])
+        self.key, self.block, self.row, self.left, self.size = (x[order] for x in (key, block, row, left, size))
+        self.new_key = np.concatenate(([True], self.key[1:] != self.key[:-1]))
+        self.begins = self.new_key | np.concatenate(([True], self.block[1:] != self.block[:-1]))
+        self.later = _later(ords[self.row], self.begins)
+        group = np.cumsum(self.new_key) - 1
+        self.hot = (np.bincount(group, self.begins) > contexts)[group]
+        self.number = np.cumsum(self.begins) - 1
+
+
+def _anchor_pass(buckets: int, contexts: int):
+    """The entries of a batch's suffixes, one a block; a mark for a hot key."""
+    def run(t: pa.Table) -> pa.Table:
+        ords, texts, _ = _in_order(t)
+        s = Suffixes(texts, ords, contexts)
+        if not s.found:
+            return _table([])
+        sent = np.where(s.hot, s.new_key, s.begins)
+        key, number, ids = s.key[sent], s.number[sent], ords[s.row[sent]]
+        return _table(_to_buckets(_ANCHOR, t.column("batch")[0].as_py(), _by_bucket(key, 48, buckets), key,
+                                  np.where(s.hot[sent], _MARK, s.block[sent]), ids, number))
     return run
 
 
-def _windows_at(texts: list[bytes], row: np.ndarray, left: np.ndarray, size: np.ndarray) -> list:
-    """(row, place, hash) of all windows of the given blocks."""
-    order = np.lexsort((left, row))
-    row, left, size = row[order], left[order], size[order]
+def _windows_at(texts: list[bytes], row: np.ndarray, left: np.ndarray, size: np.ndarray):
+    """row, place and hash of all windows of the given stretches, by hash, then
+    row and place."""
+    count = size - LENGTH + 1
+    code = np.unique((np.repeat(row, count) << 40) | _spread(left, count))
     want = np.unique(row)
-    code = (np.searchsorted(want, row) << 40) | left
-    out = []
+    found = []
     for raw, pieces in pieces_of([texts[r] for r in want.tolist()]):
         hashed = Hashed(np.frombuffer(raw, np.uint8))
         for r, a, b, lo, at, _ in pieces:
-            x, y = np.searchsorted(code, [(r << 40) | a, (r << 40) | b])
-            if x == y:
-                continue
-            count = size[x:y] - LENGTH + 1
-            place = np.repeat(left[x:y] - np.cumsum(count) + count, count) + np.arange(count.sum())
-            spot = place - lo + at
-            out.append((np.full(len(place), want[r]), place, hashed.of(spot, spot + LENGTH)))
-    return out
-
-
-def _split(batch, row, place, size, kind) -> list[tuple]:
-    order = np.argsort(batch, kind="stable")
-    batch, row, place, size = batch[order], row[order], place[order], size[order]
-    return [(kind, int(batch[a]), None, _places(row[a:b], place[a:b], size[a:b])) for a, b in _runs(batch)]
-
-
-def _family_of(t: pa.Table):
-    family = RunFamily()
-    t = t.sort_by("batch")
-    for batch, blob in zip(t.column("batch").to_pylist(), t.column("data").to_pylist()):
-        key, sub, ids, row, place, size = _entries(blob)
-        family.add((key, sub, ids, np.full(len(key), batch), row, place, size))
-    return family.scan()
-
-
-def _anchor_scan(t: pa.Table) -> pa.Table:
-    key, block, ids, batch, row, place, size = _family_of(t)
-    mark = place == _MARK
-    new_key = np.concatenate(([True], key[1:] != key[:-1]))
-    begins = new_key | np.concatenate(([True], block[1:] != block[:-1]))
-    group = np.cumsum(new_key) - 1
-    contexts, marks = np.bincount(group, begins), np.bincount(group, mark)
-    least, most = (f.reduceat(ids, np.flatnonzero(new_key)) for f in (np.minimum, np.maximum))
-    multi = ((marks > 0) | ((contexts > 1) & (most > least)))[group]
-    # marks take no part in the comparison of blocks
-    real = ~mark
-    later = np.zeros(len(key), bool)
-    begins = np.concatenate(([True], (key[real][1:] != key[real][:-1]) | (block[real][1:] != block[real][:-1]))
-                            ) if real.any() else np.zeros(0, bool)
-    later[real] = _later(ids[real], begins)
-    ask = real & multi & ~later
-    return _table(_split(batch[later], row[later], place[later], size[later], _CUT)
-                  + _split(batch[ask], row[ask], place[ask], size[ask], _ASK))
-
-
-def _window_pass(buckets: int, entries: bool):
-    def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
-        if not len(docs) or not len(asked):
+            base = int(want[r]) << 40
+            x, y = np.searchsorted(code, [base | a, base | b])
+            if x < y:
+                spot = code[x:y] - base - lo + at
+                found.append((code[x:y], hashed.of(spot, spot + LENGTH)))
+    code, h = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    order = np.lexsort((code, h))
+    return code[order] >> 40, code[order] & ((1 << 40) - 1), h[order]
+
+
+def _settle_pass(buckets: int, contexts: int):
+    """What a batch removes by its own suffixes and by the answers about them;
+    the stretches whose windows are asked for, and these windows' entries. The
+    suffixes are worked out again, which costs less than storing them."""
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(docs):
             return _table([])
+        batch = docs.column("batch")[0].as_py()
         ords, texts, _ = _in_order(docs)
-        at = [_from_blob(x, "<u4", "<u4", "u1") for x in asked.column("data").to_pylist()]
-        row, left, size = (np.concatenate(x).astype(np.int64) for x in zip(*at))
-        return _table(_window_rows(docs.column("batch")[0].as_py(), ords, _windows_at(texts, row, left, size),
-                                   buckets, entries, not entries))
+        s = Suffixes(texts, ords, contexts)
+        if not s.found:
+            return _table([])
+        kinds, blobs = answers.column("kind").to_pylist(), answers.column("data").to_pylist()
+        told = {k: np.zeros(s.number[-1] + 1, bool) for k in (_CUT, _ASK)}
+        for kind, flags in told.items():
+            flags[_numbers([x for k, x in zip(kinds, blobs) if k == kind])] = True
+        cut = s.later | told[_CUT][s.number]
+        ask = ~cut & (s.hot | told[_ASK][s.number])
+        out = [(kind, batch, None, _places(s.row[on], s.left[on], s.size[on]))
+               for kind, on in ((_CUT, cut), (_ASK, ask)) if on.any()]
+        if ask.any():
+            row, _, h = _windows_at(texts, s.row[ask].astype(np.int64), s.left[ask], s.size[ask].astype(np.int64))
+            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            h, ids = h[first], ords[row[first]]
+            out += _to_buckets(_WINDOW, batch, _by_bucket(h, 64, buckets), h, np.zeros(len(h), np.uint64), ids,
+                               np.arange(len(h)))
+        return _table(out)
     return run
 
 
-def _window_scan(t: pa.Table) -> pa.Table:
-    h, _, ids, batch, row, place, size = _family_of(t)
-    later = _later(ids, np.concatenate(([True], h[1:] != h[:-1])))
-    return _table(_split(batch[later], row[later], place[later], size[later], _CUT))
+def _answers(kind: str, found: list) -> list[tuple]:
+    if not found:
+        return []
+    batch, number = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(batch, kind="stable")
+    batch, number = batch[order], number[order]
+    return [(kind, int(batch[a]), None, _numbers_blob(number[a:b])) for a, b in _runs(batch)]
+
+
+def _scan(contexts: int | None):
+    """A bucket's runs, batch by batch, through the family."""
+    def run(t: pa.Table) -> pa.Table:
+        family = RunFamily(contexts)
+        t = t.sort_by("batch")
+        for batch, blob in zip(t.column("batch"), t.column("data")):
+            family.add(batch.as_py(), *_entries(blob.as_py()))
+        return _table(_answers(_CUT, family.cuts) + _answers(_ASK, family.asks))
+    return run
 
 
 def _cut_pass(docs: pa.Table, cuts: pa.Table) -> pa.Table:
     if not len(docs):
-        return pa.table({"rid": pa.array([], pa.int64()), "ord": pa.array([], pa.int64()),
+        return pa.table({"rid": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()),
                          "n_bytes": pa.array([], pa.int64()), "spans": pa.array([], pa.list_(pa.int64())),
                          "kept_sha256": pa.array([], pa.string())})
     ords, texts, t = _in_order(docs)
     lens = np.array([len(x) for x in texts], np.int64)
-    found = []
-    for blob in cuts.column("data").to_pylist():
-        row, place, size = (x.astype(np.int64) for x in _from_blob(blob, "<u4", "<u4", "u1"))
-        found.append((row, place, place + size))
+    kinds, blobs = cuts.column("kind").to_pylist(), cuts.column("data").to_pylist()
+    of = lambda kind: [x for k, x in zip(kinds, blobs) if k == kind]
+    row, a, size = _places_from(of(_CUT))
+    asked = _places_from(of(_ASK))
+    if len(asked[0]):
+        at, place, h = _windows_at(texts, *asked)
+        begins = np.concatenate(([True], h[1:] != h[:-1]))
+        number = np.cumsum(begins) - 1
+        told = np.zeros(number[-1] + 1, bool)
+        told[_numbers(of(_WINDOW))] = True
+        gone = _later(ords[at], begins) | told[number]
+        row, a = np.concatenate((row, at[gone])), np.concatenate((a, place[gone]))
+        size = np.concatenate((size, np.full(gone.sum(), LENGTH)))
     spans: list[list[int]] = [[] for _ in texts]
-    if found:
-        row, a, b = (np.concatenate(x) for x in zip(*found))
+    if len(row):
+        b = a + size
         order = np.lexsort((a, row))
         row, a, b = row[order], a[order], b[order]
         # runs of touching intervals, row by row, on one line of all texts
@@ -443,19 +518,34 @@ def _cut_pass(docs: pa.Table, cuts: pa.Table) -> pa.Table:
             at = y
         kept.update(text[at:])
         digests.append(kept.hexdigest())
-    return pa.table({"rid": t.column("rid"), "ord": t.column("ord"), "n_bytes": pa.array(lens),
+    return pa.table({"rid": t.column("rid"), "doc_id": t.column("doc_id"), "n_bytes": pa.array(lens),
                      "spans": pa.array(spans, pa.list_(pa.int64())), "kept_sha256": pa.array(digests)})
 
 
-def _batches(docs: DataFrame, batch_rows: int) -> DataFrame:
-    """rid, ord, text and batch of every row, stored in buckets of batches so
-    that each pass finds a batch's texts without a shuffle."""
+def _batch_numbers(batch_rows: int, batch_bytes: int):
+    def run(tables):
+        from pyspark import TaskContext
+        number, rows, size = TaskContext.get().partitionId() << 32, 0, 0
+        for t in tables:                                # record batches
+            numbers = []
+            for n in t.column("size").to_pylist():
+                if rows and (rows == batch_rows or size + n > batch_bytes):
+                    number, rows, size = number + 1, 0, 0
+                rows, size = rows + 1, size + n
+                numbers.append(number)
+            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(numbers, pa.int64())], [*t.schema.names, "batch"])
+    return run
+
+
+def _batches(docs: DataFrame, batch_rows: int, batch_bytes: int) -> DataFrame:
+    """rid, doc_id, text, size and batch of every row, stored in buckets of
+    batches so that each pass finds a batch's texts without a shuffle."""
     spark = docs.sparkSession
-    part = F.monotonically_increasing_id()
-    rows = docs.select(part.alias("rid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("ord"),
-                       F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("batch", F.shiftright("rid", 33) * (1 << 24)
-                           + F.floor(F.col("rid").bitwiseAND((1 << 33) - 1) / batch_rows))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
+                       text.alias("text"), F.octet_length(text).alias("size"))
+    rows = rows.mapInArrow(_batch_numbers(batch_rows, batch_bytes),
+                           "rid long, doc_id long, text string, size int, batch long")
     path = shared_dir(spark, "repeat-batches")
     name = "repeat_batches_" + path[-12:]
     (rows.write.format("parquet").option("path", path).bucketBy(fanout(spark), "batch").sortBy("batch")
@@ -463,26 +553,25 @@ def _batches(docs: DataFrame, batch_rows: int) -> DataFrame:
     return spark.table(name)
 
 
-def repeated_spans(docs: DataFrame, batch_rows: int = BATCH_ROWS, contexts: int = CONTEXTS) -> DataFrame:
-    """rid, ord (doc_id), n_bytes, spans (begin, end of each removed run, in
-    bytes) and kept_sha256 of every row."""
-    texts = _batches(docs, batch_rows)
-    buckets = 2 * fanout(docs.sparkSession)          # smaller families, less memory a task
-    entries = texts.groupBy("batch").applyInArrow(_anchor_pass(buckets, contexts, True), _OUT)
-    two = materialize(entries.groupBy("bucket").applyInArrow(_anchor_scan, _OUT), "anchor-scan")
-    one = materialize(texts.groupBy("batch").applyInArrow(_anchor_pass(buckets, contexts, False), _OUT), "settled")
-    asked = two.filter(F.col("kind") == _ASK).select("batch", "data")
-    pair = texts.groupBy("batch").cogroup(asked.groupBy("batch"))
-    windows = one.filter(F.col("kind") == _WINDOW).unionByName(
-        pair.applyInArrow(_window_pass(buckets, True), _OUT))
-    four = materialize(windows.groupBy("bucket").applyInArrow(_window_scan, _OUT), "window-scan")
-    three = materialize(pair.applyInArrow(_window_pass(buckets, False), _OUT), "settled-windows")
-    cuts = None
-    for some in (one, two, three, four):
-        some = some.filter(F.col("kind") == _CUT).select("batch", "data")
-        cuts = some if cuts is None else cuts.unionByName(some)
-    return texts.groupBy("batch").cogroup(cuts.groupBy("batch")).applyInArrow(
-        _cut_pass, "rid long, ord long, n_bytes long, spans array<long>, kept_sha256 string")
+def repeated_spans(docs: DataFrame, batch_rows: int = BATCH_ROWS, contexts: int = CONTEXTS,
+                   batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """rid, doc_id, n_bytes, spans (begin, end of each removed run, in bytes)
+    and kept_sha256 of every row."""
+    spark = docs.sparkSession
+    texts = _batches(docs, batch_rows, batch_bytes)
+    total = texts.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0
+    buckets = max(2 * fanout(spark), -(-total // bucket_bytes))
+    with scratch(spark):
+        entries = texts.groupBy("batch").applyInArrow(_anchor_pass(buckets, contexts), _OUT)
+        answers = materialize(entries.groupBy("bucket").applyInArrow(_scan(contexts), _OUT), "anchor-scan")
+        settled = materialize(texts.groupBy("batch").cogroup(answers.groupBy("batch"))
+                              .applyInArrow(_settle_pass(buckets, contexts), _OUT), "settled", keep=True)
+    windows = settled.filter(F.col("kind") == _WINDOW)
+    again = materialize(windows.groupBy("bucket").applyInArrow(_scan(None), _OUT), "window-scan", keep=True)
+    told = (settled.filter(F.col("kind") != _WINDOW).select("kind", "batch", "data")
+            .unionByName(again.select(F.lit(_WINDOW).alias("kind"), "batch", "data")))
+    return texts.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(
+        _cut_pass, "rid long, doc_id long, n_bytes long, spans array<long>, kept_sha256 string")
 
 
 def removal_report(docs: DataFrame, **settings) -> DataFrame:
@@ -491,5 +580,4 @@ def removal_report(docs: DataFrame, **settings) -> DataFrame:
     total = F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)),
                         F.lit(0).cast("long"), lambda a, x: a + x)
     return repeated_spans(docs, **settings).select(
-        F.when(F.col("ord") != _NO_ID, F.col("ord")).alias("doc_id"), "n_bytes", total.alias("n_removed"),
-        (F.size(spans) / 2).cast("long").alias("n_spans"), "kept_sha256")
+        "doc_id", "n_bytes", total.alias("n_removed"), (F.size(spans) / 2).cast("long").alias("n_spans"), "kept_sha256")
