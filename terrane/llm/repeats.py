@@ -11,7 +11,7 @@ the gram (its key), with the hash of its surroundings: all windows in which the
 anchor's gram is the smallest together are one block.
 
 Documents come in batches of at most ``BATCH_ROWS`` rows and some ``BATCH_BYTES``
-bytes (one longer text is a batch of its own). A batch's suffixes are sorted (its
+bytes, texts of like size together (one longer text is a batch of its own). A batch's suffixes are sorted (its
 suffix array in key order); bucket of keys by bucket, the new run is scanned
 against each level of a logarithmic family of sorted runs (a binary search for
 its keys) and then joins the family: it is merged with the last level as long as
@@ -522,21 +522,6 @@ def _cut_pass(docs: pa.Table, cuts: pa.Table) -> pa.Table:
                      "spans": pa.array(spans, pa.list_(pa.int64())), "kept_sha256": pa.array(digests)})
 
 
-def _batch_numbers(batch_rows: int, batch_bytes: int):
-    def run(tables):
-        from pyspark import TaskContext
-        number, rows, size = TaskContext.get().partitionId() << 32, 0, 0
-        for t in tables:                                # record batches
-            numbers = []
-            for n in t.column("size").to_pylist():
-                if rows and (rows == batch_rows or size + n > batch_bytes):
-                    number, rows, size = number + 1, 0, 0
-                rows, size = rows + 1, size + n
-                numbers.append(number)
-            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(numbers, pa.int64())], [*t.schema.names, "batch"])
-    return run
-
-
 def _batches(docs: DataFrame, batch_rows: int, batch_bytes: int) -> DataFrame:
     """rid, doc_id, text, size and batch of every row, stored in buckets of
     batches so that each pass finds a batch's texts without a shuffle."""
@@ -544,8 +529,12 @@ def _batches(docs: DataFrame, batch_rows: int, batch_bytes: int) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
                        text.alias("text"), F.octet_length(text).alias("size"))
-    rows = rows.mapInArrow(_batch_numbers(batch_rows, batch_bytes),
-                           "rid long, doc_id long, text string, size int, batch long")
+    # a text of 2^k times a row's share of the bytes is in a batch of 1 / 2^k of the rows
+    share = max(1, batch_bytes // batch_rows)
+    step = F.when(F.col("size") > share, F.least(F.lit(30), F.ceil(F.log2(F.col("size") / share)))).otherwise(0).cast("int")
+    rows = rows.withColumn("step", step).withColumn("batch", F.expr(
+        f"shiftleft(shiftright(rid, 33), 38) + shiftleft(bigint(step), 33)"
+        f" + (rid & {(1 << 33) - 1}L) div greatest(1, shiftright({batch_rows}, step))")).drop("step")
     path = shared_dir(spark, "repeat-batches")
     name = "repeat_batches_" + path[-12:]
     (rows.write.format("parquet").option("path", path).bucketBy(fanout(spark), "batch").sortBy("batch")
