@@ -10,7 +10,7 @@ the same place. A suffix is indexed where an anchor begins, under the hash of
 the gram (its key), with the hash of its surroundings: all windows in which the
 anchor's gram is the smallest together are one block.
 
-Documents come in batches of at most ``BATCH_ROWS`` rows and some ``BATCH_BYTES``
+Documents come in batches of at most ``BATCH_ROWS`` rows and ``BATCH_BYTES``
 bytes, texts of like size together (one longer text is a batch of its own). A batch's suffixes are sorted (its
 suffix array in key order); bucket of keys by bucket, the new run is scanned
 against each level of a logarithmic family of sorted runs (a binary search for
@@ -53,8 +53,10 @@ from terrane.session import materialize, scratch, shared_dir
 LENGTH = 50
 GRAM = 24
 CONTEXTS = 16
-BATCH_ROWS = 2_000
-BATCH_BYTES = 8 << 20
+BATCH_ROWS = 512
+BATCH_BYTES = 32 << 20
+#: Entries of a run; batches with fewer in a bucket enter its family together.
+RUN_ENTRIES = 1 << 15
 #: Bytes of text whose entries a bucket of keys holds.
 BUCKET_BYTES = 32 << 20
 #: One anchor in so many bytes or fewer: a text that repeats itself closely.
@@ -276,10 +278,10 @@ class RunFamily:
         self.levels: list[list[np.ndarray]] = []
         self.cuts, self.asks = [], []
 
-    def add(self, batch: int, key, sub, ids, number) -> None:
-        """Scan the run of a batch against every level, then take it in."""
+    def add(self, key, sub, ids, batch, number) -> None:
+        """Scan a run, in order of its keys, against every level, then take it in."""
         n = len(key)
-        run = [key, sub, ids, np.full(n, batch), number, np.zeros(n, bool), np.ones(n, bool)]
+        run = [key, sub, ids, batch, number, np.zeros(n, bool), np.ones(n, bool)]
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         count = np.diff(np.append(first, n))
         met, found = count > 1, []
@@ -464,13 +466,20 @@ def _answers(kind: str, found: list) -> list[tuple]:
     return [(kind, int(batch[a]), None, _numbers_blob(number[a:b])) for a, b in _runs(batch)]
 
 
-def _scan(contexts: int | None):
-    """A bucket's runs, batch by batch, through the family."""
+def _scan(contexts: int | None, run_entries: int):
+    """A bucket's runs through the family, one after the other."""
     def run(t: pa.Table) -> pa.Table:
-        family = RunFamily(contexts)
+        family, waiting, size = RunFamily(contexts), [], 0
         t = t.sort_by("batch")
-        for batch, blob in zip(t.column("batch"), t.column("data")):
-            family.add(batch.as_py(), *_entries(blob.as_py()))
+        for i, (batch, blob) in enumerate(zip(t.column("batch"), t.column("data")), 1):
+            key, sub, ids, number = _entries(blob.as_py())
+            waiting.append((key, sub, ids, np.full(len(key), batch.as_py()), number))
+            size += len(key)
+            if size >= run_entries or i == len(t):
+                columns = [np.concatenate(x) for x in zip(*waiting)]
+                order = np.argsort(columns[0], kind="stable")
+                family.add(*(x[order] for x in columns))
+                waiting, size = [], 0
         return _table(_answers(_CUT, family.cuts) + _answers(_ASK, family.asks))
     return run
 
@@ -529,9 +538,9 @@ def _batches(docs: DataFrame, batch_rows: int, batch_bytes: int) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
                        text.alias("text"), F.octet_length(text).alias("size"))
-    # a text of 2^k times a row's share of the bytes is in a batch of 1 / 2^k of the rows
+    # texts of up to 16^k times a row's share of the bytes are in batches of 1 / 16^k of the rows
     share = max(1, batch_bytes // batch_rows)
-    step = F.when(F.col("size") > share, F.least(F.lit(30), F.ceil(F.log2(F.col("size") / share)))).otherwise(0).cast("int")
+    step = F.when(F.col("size") > share, F.least(F.lit(28), 4 * F.ceil(F.log2(F.col("size") / share) / 4))).otherwise(0).cast("int")
     rows = rows.withColumn("step", step).withColumn("batch", F.expr(
         f"shiftleft(shiftright(rid, 33), 38) + shiftleft(bigint(step), 33)"
         f" + (rid & {(1 << 33) - 1}L) div greatest(1, shiftright({batch_rows}, step))")).drop("step")
@@ -543,7 +552,8 @@ def _batches(docs: DataFrame, batch_rows: int, batch_bytes: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, batch_rows: int = BATCH_ROWS, contexts: int = CONTEXTS,
-                   batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+                   batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES,
+                   run_entries: int = RUN_ENTRIES) -> DataFrame:
     """rid, doc_id, n_bytes, spans (begin, end of each removed run, in bytes)
     and kept_sha256 of every row."""
     spark = docs.sparkSession
@@ -552,11 +562,11 @@ def repeated_spans(docs: DataFrame, batch_rows: int = BATCH_ROWS, contexts: int
     buckets = max(2 * fanout(spark), -(-total // bucket_bytes))
     with scratch(spark):
         entries = texts.groupBy("batch").applyInArrow(_anchor_pass(buckets, contexts), _OUT)
-        answers = materialize(entries.groupBy("bucket").applyInArrow(_scan(contexts), _OUT), "anchor-scan")
+        answers = materialize(entries.groupBy("bucket").applyInArrow(_scan(contexts, run_entries), _OUT), "anchor-scan")
         settled = materialize(texts.groupBy("batch").cogroup(answers.groupBy("batch"))
                               .applyInArrow(_settle_pass(buckets, contexts), _OUT), "settled", keep=True)
     windows = settled.filter(F.col("kind") == _WINDOW)
-    again = materialize(windows.groupBy("bucket").applyInArrow(_scan(None), _OUT), "window-scan", keep=True)
+    again = materialize(windows.groupBy("bucket").applyInArrow(_scan(None, run_entries), _OUT), "window-scan", keep=True)
     told = (settled.filter(F.col("kind") != _WINDOW).select("kind", "batch", "data")
             .unionByName(again.select(F.lit(_WINDOW).alias("kind"), "batch", "data")))
     return texts.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(

@@ -48,7 +48,7 @@ def test_passages_over_batches(spark):
                     for _ in range(rnd.randint(0, 8)))
         rows.append((i if i % 29 else rnd.choice([5, None]), "a" * rnd.randint(30, 200) if i % 17 == 0 else t))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    _agree(df, batch_rows=20)
+    _agree(df, batch_rows=20, run_entries=1)
     _agree(df, batch_rows=20, contexts=1)         # nearly every key by its windows
     _agree(df, batch_rows=500)
 
@@ -75,8 +75,8 @@ def test_batches_by_bytes_and_many_buckets(spark):
              (None, "y" * 61), (-2 ** 63, shared[1][20:120])]
     rnd.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    _agree(df, batch_bytes=1_500, bucket_bytes=2_000)
-    _agree(df, batch_bytes=1, contexts=2)         # one row a batch
+    _agree(df, batch_bytes=1_500, batch_rows=5, bucket_bytes=2_000)
+    _agree(df, batch_bytes=1, contexts=2, run_entries=5)         # one row a batch
 
 
 def test_periodic_texts(spark):
@@ -86,7 +86,7 @@ def test_periodic_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     _agree(df)
     _agree(df, batch_rows=1)
-    _agree(df, batch_rows=2, contexts=1)
+    _agree(df, batch_rows=2, contexts=1, run_entries=1)
 
 
 def test_a_run_of_one_letter_sends_few_entries():
@@ -108,7 +108,7 @@ def test_every_run_is_scanned_against_the_levels():
         family, entries = repeats.RunFamily(contexts), []
         for batch in range(30):
             run = _run(rnd, 20, 150, 3)
-            family.add(batch, *run)
+            family.add(*run[:3], np.full(len(run[0]), batch), run[3])
             entries += [(batch, *(int(c[i]) for c in run)) for i in range(len(run[0]))]
             sizes = [len(x[0]) for x in family.levels]
             assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
@@ -134,6 +134,6 @@ def test_a_key_with_many_entries_becomes_a_mark():
     family = repeats.RunFamily(4)
     one = np.ones(1, np.uint64)
     for batch in range(50):
-        family.add(batch, one, one * np.uint64(batch), np.array([batch]), np.array([0]))
+        family.add(one, one * np.uint64(batch), np.array([batch]), np.array([batch]), np.array([0]))
         assert sum(int(lv[repeats._LIVE].sum()) for lv in family.levels) <= 5
     assert {int(b) for x in family.asks for b in x[0]} == set(range(50)) and not sum(len(x[0]) for x in family.cuts)
