@@ -134,6 +134,8 @@ class Store:
         self.spark = spark
         self.base = base.rstrip("/")
         self._pending: list[tuple] | None = None
+        #: what the last write of each layer (schema, table) measured of itself
+        self.observed: dict[tuple[str, str], dict] = {}
 
     # K5 ---------------------------------------------------------------------
     def init(self) -> "Store":
@@ -264,7 +266,7 @@ class Store:
     # K1 ---------------------------------------------------------------------
     def write_layer(self, df: DataFrame | None, schema: str, table: str,
                     source: str = "", scope: str = "", geom: str = "geom", batch: str | None = None,
-                    ordered: bool = False, files: int | None = None) -> int:
+                    ordered: bool = False, files: int | None = None, metrics: list | None = None) -> int:
         """No geometry column -> stored as a 'db' table (K2). Otherwise, when it
         has rows: geometry is set to 4326, list columns flattened, the table
         overwritten; registered as 'map+db' with its count (0 when empty, in
@@ -273,6 +275,9 @@ class Store:
         ``ordered``: the layer is written in space-filling order (``ordering``;
         ``files`` of them, if given), so that bbox reads skip most of it.
 
+        ``metrics``: named aggregates over the rows, worked out by the write
+        itself (no second scan) and left in ``observed``.
+
         ``batch`` names what is written: when the layer's last write has that
         name and reached the catalog, nothing is done; when it did not get that
         far, only what is missing is done."""
@@ -284,7 +289,7 @@ class Store:
         else:
             if ordered and df is not None and geom in df.columns:
                 df = space_ordered(df, geom, files)
-            target, n = self.put(df, schema, table, geom)
+            target, n = self.put(df, schema, table, geom, metrics)
             if batch is not None:
                 self._set_mark(schema, table, batch=batch, target=target, n=n, done="layer")
         self._register(schema, table, target, source, scope, n)
@@ -292,7 +297,8 @@ class Store:
             self._set_mark(schema, table, batch=batch, target=target, n=n, done="catalog")
         return n
 
-    def put(self, df: DataFrame | None, schema: str, table: str, geom: str | None = "geom") -> tuple[str, int]:
+    def put(self, df: DataFrame | None, schema: str, table: str, geom: str | None = "geom",
+            metrics: list | None = None) -> tuple[str, int]:
         """Write without entering the catalog: (target, rows)."""
         if geom is None or (df is not None and geom not in df.columns):
             return "db", 0 if df is None else self._write(flatten_lists(df, geom=None), schema, table)
@@ -301,7 +307,7 @@ class Store:
         out = df.withColumn(geom, F.struct(*[F.col(f"{geom}.{f}") for f in
                                              ("kind", "parts", "xmin", "ymin", "xmax", "ymax")],
                                            F.lit(4326).alias("srid")))
-        return "map+db", self._write(flatten_lists(out, geom), schema, table)
+        return "map+db", self._write(flatten_lists(out, geom), schema, table, metrics)
 
     def _mark(self, schema: str, table: str) -> dict | None:
         """What the layer's last named write noted of itself; None without one,
@@ -325,16 +331,17 @@ class Store:
         out.writeBytes(json.dumps(note))
         out.close()
 
-    def _write(self, df: DataFrame, schema: str, table: str) -> int:
+    def _write(self, df: DataFrame, schema: str, table: str, metrics: list | None = None) -> int:
         """The next version, with the row count observed during the write (A3).
         An empty result leaves the previous version as it was."""
         obs = Observation(f"rows_{schema}_{table}")
-        observed = df.observe(obs, F.count(F.lit(1)).alias("n"))
+        observed = df.observe(obs, F.count(F.lit(1)).alias("n"), *(metrics or []))
         root = self.root(schema, table)
         last = self._latest_version(root)
         path = f"{root}/v{(last if last is not None else -1) + 1:06d}"
         observed.write.mode("overwrite").parquet(path)
-        n = int(obs.get.get("n", 0))
+        self.observed[schema, table] = got = obs.get
+        n = int(got.get("n", 0))
         if n == 0:
             p, fs = self._fs(path)
             fs.delete(p, True)

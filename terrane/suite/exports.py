@@ -124,6 +124,46 @@ def validate_layers(spark, sf_dir):
     return c1.unionByName(c2).unionByName(c3)
 
 
+def _checked_sql() -> str:
+    r = REGION_BBOX
+
+    def part(layer, rows, x, y, x2, y2, attrs, cells):
+        inside = f"{x} >= {n_(r.xmin)} and {x2} <= {n_(r.xmax)} and {y} >= {n_(r.ymin)} and {y2} <= {n_(r.ymax)}"
+        cell = (f"least(floor(({x} - {n_(r.xmin)}) / ({n_(r.xmax)} - {n_(r.xmin)}) * 8), 7) * 8"
+                f" + least(floor(({y} - {n_(r.ymin)}) / ({n_(r.ymax)} - {n_(r.ymin)}) * 8), 7)")
+        nn = ", ".join(f"count({c}) as nn_{c}" for c in attrs)
+        lines = [("count", "'>0'", "n", "n > 0"), ("inside_region", "cast(n as varchar)", "n_in", "n_in = n"),
+                 ("not_null_island", "'0'", "n_ni", "n_ni = 0"), ("single_kind", "'1'", "1", "true"),
+                 ("rings_closed", "'0'", "0", "true"), ("geometry_present", "'0'", "0", "true"),
+                 ("coverage", f"'>={cells}'", "n_cells", f"n_cells >= {cells}")]
+        lines += [(f"populated:{c}", "cast(n as varchar)", f"nn_{c}", f"nn_{c} > 0") for c in attrs]
+        rows_sql = " union all ".join(f"""select '{layer}' as layer, '{c}' as "check", {e} as expected,
+  cast({g} as varchar) as got, {ok} as ok from m""" for c, e, g, ok in lines)
+        return f"""(with m as (select count(*) as n, count(*) filter (where {inside}) as n_in,
+  count(*) filter (where abs({x}) < 1e-9 and abs({y}) < 1e-9) as n_ni,
+  count(distinct case when {inside} then {cell} end) as n_cells, {nn} from {rows}) {rows_sql})"""
+
+    points = part("osm.points", "(select * from fx_points where lon is not null and lat is not null)",
+                  "lon", "lat", "lon", "lat", ["name", "category"], 40)
+    parcels = part("osm.parcels", "fx_squares", "x0", "y0", "x1", "y1", ["id"], 1)
+    return with_fixtures(f"""
+, c as ({points} union all {parcels})
+select c.*, min(ok) over (partition by layer) as validated from c
+""", "fx_points", "fx_squares")
+
+
+@query("checked_load", "P12 K1 K3", _checked_sql())
+def checked_load(spark, sf_dir):
+    """Layers stored, checked by the measures of their own writes, and flagged in
+    the catalog; the checks and the flag as the catalog has it."""
+    squares = X.fx_squares(spark, sf_dir)
+    parcels = squares.select("id", G.rect(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("geom"))
+    return V.load_checked(C.local_store(spark), {("osm", "points"): X.points_layer(spark, sf_dir),
+                                                 ("osm", "parcels"): parcels}, REGION_BBOX,
+                          {("osm", "points"): {"attrs": ["name", "category"], "min_cells": 40},
+                           ("osm", "parcels"): {"attrs": ["id"], "min_cells": 1}})
+
+
 def _tag_geom():
     """Stand-in geometry for tagged features by kind around a base point."""
     k = F.col("id")

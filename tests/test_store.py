@@ -79,6 +79,32 @@ def test_group_and_validated(spark, tmp):
     assert got == {"roads": True, "far": False, "superfund": True}
 
 
+def test_checks_from_the_write(spark, tmp):
+    """The measures of a write are those of a scan of what it wrote; the flag
+    follows from them, and a layer without rows keeps its files."""
+    from terrane.config import REGION_BBOX as R
+    from terrane.plans import validate as V
+    st = C.Store(spark, f"{tmp}/s9").init()
+    step = lambda low, high: F.lit(low) + (F.lit(high) - F.lit(low)) * F.col("id") / 10
+    good = spark.range(10).select(F.col("id").alias("feature_id"), G.point(
+        step(R.xmin, R.xmax), step(R.ymin, R.ymax)).alias("geom"), F.lit("a").alias("name"))
+    mixed = good.withColumn("name", F.lit(None).cast("string")).unionByName(spark.range(1).select(
+        F.lit(99).cast("long").alias("feature_id"), G.point(F.lit(0.0), F.lit(0.0)).alias("geom"),
+        F.lit(None).cast("string").alias("name")))
+    layers = {("osm", "good"): good, ("osm", "mixed"): mixed, ("osm", "none"): good.limit(0)}
+    rules = {("osm", "good"): {"expected": 10, "min_cells": 8}, ("osm", "mixed"): {"min_cells": 20},
+             ("osm", "none"): {"expected": 0}}
+    got = V.load_checked(st, layers, R, rules).collect()
+    for (schema, table), rule in rules.items():
+        scan = V.layer_checks(layers[schema, table], f"{schema}.{table}", R, rule.get("expected"),
+                              min_cells=rule.get("min_cells")).collect()
+        assert {tuple(r)[:5] for r in got if r.layer == f"{schema}.{table}"} == {tuple(r) for r in scan}
+    bad = {r.check: r.got for r in got if r.layer == "osm.mixed" and not r.ok}
+    assert bad == {"inside_region": "10", "not_null_island": "1", "coverage": "8", "populated:name": "0"}
+    assert {r.layer: r.validated for r in got} == {"osm.good": True, "osm.mixed": False, "osm.none": True}
+    assert {r.table_name: r.n_features for r in st.catalog().collect()} == {"good": 10, "mixed": 11, "none": 0}
+
+
 def test_a_write_that_died_blocks_nothing(spark, tmp):
     """Incomplete versions, of the catalog and of a layer, are replaced."""
     st = C.Store(spark, f"{tmp}/s7").init()
