@@ -628,7 +628,7 @@ def union_perimeter(spark, sf_dir):
     other way, its base half on the first one's base; one on top that meets the
     first one's upper side between its corners. The turned edges coincide only
     nearly. Closed form: 3 w + 4 h."""
-    c = X.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id"))
+    c = S.spread(X.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id")), "query_id")
     w, h = (F.col("query_id") % 50 + 10).cast("double"), (F.col("query_id") % 17 + 5).cast("double")
     turn, zero = (F.col("query_id") % 12) * 0.1, F.lit(0.0)
 
@@ -639,9 +639,8 @@ def union_perimeter(spark, sf_dir):
     shapes = {"a": ring((zero, zero), (w, zero), (w, h), (zero, h)),
               "b": ring((w / 2, zero), (w / 2, h / 2), (w * 1.5, h / 2), (w * 1.5, zero)),
               "c": ring((w / 4, h), (w * 0.75, h), (w * 0.75, h * 2), (w / 4, h * 2))}
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("shape_id"), G.polygon(r).alias("geom"))
-                               for k, r in shapes.items()]))
-    df = c.select("query_id", each.alias("s")).select("query_id", "s.shape_id", "s.geom")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("shape_id"), r.alias("rings")) for k, r in shapes.items()]))
+    df = c.select("query_id", each.alias("s")).select("query_id", "s.shape_id", G.polygon(F.col("s.rings")).alias("geom"))
     return S.union_boundary_length(df).select("query_id", F.round("perimeter", 3).alias("perimeter"))
 
 

@@ -325,3 +325,28 @@ def test_sizes_of_all_orders_meet(spark, force_shuffle, monkeypatch):
             if hit:
                 want.add((k, i))
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
+def _rows_of_boxes(spark, n=6):
+    """Per group a row of n boxes, each turned a little and over the next one;
+    the union's perimeter is that of the boxes less what lies inside."""
+    rows = [(q, i, i * 3.0, 4.0 + q) for q in range(3) for i in range(n)]
+    return spark.createDataFrame(rows, "query_id int, shape_id int, x double, w double").select(
+        "query_id", "shape_id", G.rect("x", F.lit(0.0), F.col("x") + F.col("w"), F.lit(2.0)).alias("geom"))
+
+
+def test_union_boundary_by_groups_and_by_cells(spark, monkeypatch):
+    """Edges that meet in their group and edges that meet in grid cells give the
+    same lengths; no side of a join is sent to every executor by way of the driver."""
+    plans = []
+    real = S.materialize
+    monkeypatch.setattr(S, "materialize", lambda df, *a, **k: (plans.append(df), real(df, *a, **k))[1])
+    want = {q: 2 * (5 * 3.0 + 4 + q) + 4 for q in range(3)}
+    for few in (64, 0):
+        plans.clear()
+        monkeypatch.setattr(S, "FEW_EDGES", few)
+        out = S.union_boundary_length(_rows_of_boxes(spark))
+        assert {r.query_id: r.perimeter for r in out.collect()} == pytest.approx(want, abs=1e-6)
+        text = "\n".join(d._jdf.queryExecution().executedPlan().toString() for d in [*plans, out])
+        assert "SortMergeJoin" in text and "Broadcast" not in text
+        assert ("cx" in text) == (few == 0)
