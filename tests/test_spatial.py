@@ -350,3 +350,20 @@ def test_union_boundary_by_groups_and_by_cells(spark, monkeypatch):
         text = "\n".join(d._jdf.queryExecution().executedPlan().toString() for d in [*plans, out])
         assert "SortMergeJoin" in text and "Broadcast" not in text
         assert ("cx" in text) == (few == 0)
+
+
+def test_measures_project_every_shape_once(spark, monkeypatch):
+    """The area and the perimeter read shapes that are projected and stored once."""
+    from terrane.plans import measure as M
+    plans = []
+    real = S.materialize
+    keep = lambda df, *a, **k: (plans.append(df), real(df, *a, **k))[1]
+    monkeypatch.setattr(S, "materialize", keep)
+    monkeypatch.setattr(M, "materialize", keep, raising=False)
+    shapes = spark.createDataFrame([(1, i, -71.5 + i / 1000) for i in range(3)], "query_id int, shape_id int, x double")
+    shapes = shapes.select("query_id", "shape_id", G.rect("x", F.lit(43.0), F.col("x") + 0.001, F.lit(43.001)).alias("geom"))
+    out = M.measure_shapes(shapes)
+    r = out.first()
+    assert 2 * (r.area_m2 / r.perim_m) < r.perim_m and r.perim_ft == pytest.approx(r.perim_m * G.FT_PER_M)
+    projected = [d for d in [*plans, out] if "sinh" in d._jdf.queryExecution().executedPlan().toString().lower()]
+    assert len(projected) == 1
