@@ -84,6 +84,16 @@ class Extent:
         self.top = min(MAX_LEVEL, max(MIN_LEVEL, math.ceil(math.log2(size)) if size > 0 else MIN_LEVEL))
         self.levels = sorted({min(x, self.top) for x in r["levels"]})
 
+    def finest(self, n: int, wide: float, row: float) -> int:
+        """The level below which it doesn't pay to cut edges, for ``n`` polygons
+        of ``wide`` units: with the fewest rows of cells (``row`` times as dear
+        as a candidate) and candidates for an edge. It bears on the work only."""
+        if self.box is None or not n:
+            return MIN_LEVEL
+        area = max((self.box[2] - self.box[0]) * (self.box[3] - self.box[1]), 1e-30)
+        work = lambda g: (row + n * (wide + g) ** 2 / area) / g
+        return min(range(MIN_LEVEL, self.top + 1), key=lambda x: work(2.0 ** x))
+
     def meets(self, geom: str) -> Column:
         """The geometry's envelope meets the query side's."""
         if self.box is None:
@@ -92,6 +102,51 @@ class Extent:
         return (g["xmin"] <= x1) & (g["xmax"] >= x0) & (g["ymin"] <= y1) & (g["ymax"] >= y0)
 
 
+def edge_cells(edges: DataFrame, levels: list[int], extent: Extent) -> DataFrame:
+    """The cells (level, cx, cy) at every one of ``levels`` that an edge (ax, ay,
+    bx, by) passes through inside the extent, each once: for every cell column it
+    spans, the rows between its clipped ends (row0 to row1), widened by far less
+    than a cell against rounding. row0_before and row1_before: the rows in the
+    column before, null in the first one."""
+    if extent.box is None:
+        return (edges.where(F.lit(False)).withColumn("level", F.lit(0))
+                .withColumns({c: F.lit(0).cast("long") for c in ("cx", "cy", "row0", "row1", "row0_before", "row1_before")}))
+    x0, y0, x1, y1 = (F.lit(float(v)) for v in extent.box)
+    size, ax, ay = F.col("size"), F.col("ax"), F.col("ay")
+    lo_x, hi_x, lo_y, hi_y = F.least("ax", "bx"), F.greatest("ax", "bx"), F.least("ay", "by"), F.greatest("ay", "by")
+    d = edges.where((lo_x <= x1) & (hi_x >= x0) & (lo_y <= y1) & (hi_y >= y0))
+    d = d.withColumn("slope", F.when(F.col("bx") != ax, (F.col("by") - ay) / (F.col("bx") - ax)))
+    d = d.withColumn("level", F.explode(F.array(*[F.lit(x) for x in sorted(set(levels))])))
+    d = d.withColumn("size", F.pow(F.lit(2.0), F.col("level")))
+    pad = size * F.lit(1e-6)
+    d = d.withColumn("slack", pad + F.coalesce(F.abs("slope"), F.lit(0.0)) * F.lit(1e-13) * (1 + F.abs(ax)))
+    d = d.withColumn("col0", F.floor((lo_x - pad) / size)).withColumn("col1", F.floor((hi_x + pad) / size))
+    d = (d.withColumn("lo", F.greatest("col0", F.floor(x0 / size))).withColumn("hi", F.least("col1", F.floor(x1 / size)))
+         .withColumn("cx", F.explode(F.expr("sequence(lo, IF(lo <= hi, hi, NULL))"))))
+
+    def height(column: Column, otherwise: str) -> Column:
+        x = F.least(F.greatest(column * size, lo_x), hi_x)
+        return F.coalesce(ay + (x - ax) * F.col("slope"), F.col(otherwise))
+
+    def rows(left: str, right: str) -> tuple[Column, Column]:
+        return (F.floor(F.greatest(F.least(left, right) - F.col("slack"), lo_y - pad) / size),
+                F.floor(F.least(F.greatest(left, right) + F.col("slack"), hi_y + pad) / size))
+
+    # of a vertical edge the whole; a steep one's row is less exact than its column
+    d = (d.withColumn("h0", height(F.col("cx") - 1, "ay")).withColumn("h1", height(F.col("cx"), "ay"))
+         .withColumn("h2", height(F.col("cx") + 1, "ay")))
+    d = d.withColumn("h0", F.when(F.col("slope").isNull(), F.col("by")).otherwise(F.col("h0"))) \
+         .withColumn("h2", F.when(F.col("slope").isNull(), F.col("by")).otherwise(F.col("h2")))
+    before0, before1 = rows("h0", "h1")
+    now0, now1 = rows("h1", "h2")
+    has_before = F.col("cx") > F.col("col0")
+    d = (d.withColumn("row0", now0).withColumn("row1", now1)
+         .withColumn("row0_before", F.when(has_before, before0)).withColumn("row1_before", F.when(has_before, before1))
+         .withColumn("lo", F.greatest("row0", F.floor(y0 / size))).withColumn("hi", F.least("row1", F.floor(y1 / size))))
+    return (d.withColumn("cy", F.explode(F.expr("sequence(lo, IF(lo <= hi, hi, NULL))")))
+            .drop("slope", "size", "slack", "col0", "col1", "lo", "hi", "h0", "h1", "h2"))
+
+
 def with_level_cells(df: DataFrame, geom: str, edges: str, extent: Extent) -> DataFrame:
     """Add ``own`` (level) and ``cells`` (at that level) to the geometries that
     meet the extent and whose edge array stands in ``edges``. What is coarser

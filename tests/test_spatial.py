@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from terrane.config import BBox
 from terrane.functions import geom as G
+from terrane.operators import levels as L
 from terrane.operators import spatial as S
 
 
@@ -386,3 +387,60 @@ def test_nearest_searches_later_layers_for_clicks_that_are_left(spark, monkeypat
     cut.clear(), around.clear()
     got = {r.click_id for r in S.nearest_within(clicks.where("click_id < 3"), layers, poly_layers=set()).collect()}
     assert got == {1, 2} and around == [2] and len(cut) == 1
+
+
+@pytest.mark.parametrize("force_shuffle", [False, True])
+def test_long_lines_meet_small_parcels_near_their_path_only(spark, force_shuffle, monkeypatch):
+    """Region-wide lines against many small parcels: pairs as by brute force,
+    each once, and the candidates of a line are those along its path, not those
+    of the line's own large cells."""
+    if force_shuffle:
+        monkeypatch.setattr(S, "BROADCAST_MAX_ROWS", 0)
+    rnd = random.Random(11)
+    boxes, lines = [], []
+    for i in range(400):
+        x, y, w = rnd.uniform(0, 10), rnd.uniform(0, 10), rnd.uniform(0.02, 0.06)
+        boxes.append((i, [(x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y)]))
+    for i in range(40):
+        lines.append((i, [(rnd.uniform(0, 10), rnd.uniform(0, 10)) for _ in range(rnd.randint(2, 5))]))
+    lines.append((40, [(boxes[0][1][0][0], 0.0), (boxes[0][1][0][0], 10.0), (boxes[0][1][0][0], 0.0)]))
+    polys = _geoms(spark, boxes, "poly").withColumnRenamed("feature_id", "shape_id")
+    feats = _geoms(spark, lines, "line")
+    got = [(r.shape_id, r.feature_id) for r in S.intersects_join(polys, feats, ["shape_id"], ["feature_id"]).collect()]
+    want = {(k, i) for k, ring in boxes for i, path in lines
+            if any(_pip(ring[:-1], x, y) for x, y in path)
+            or any(_seg_int(a, b, p, q) for a, b in zip(path, path[1:]) for p, q in zip(ring, ring[1:]))}
+    assert len(got) == len(set(got))
+    assert set(got) == want
+    assert len(want) > 50
+    # cells of the edges: each once, and every point of an edge lies in one
+    extent = L.Extent(polys, "geom")
+    level = extent.finest(400, 0.04, 1.0)
+    size = 2.0 ** level
+    edges = feats.select("feature_id", F.explode(L.edges_of("geom")).alias("e")).select("feature_id", "e.*")
+    rows = L.edge_cells(edges, [level], extent).collect()
+    cells = {}
+    for r in rows:
+        cells.setdefault((r.feature_id, r.ax, r.ay, r.bx, r.by), []).append((r.cx, r.cy))
+    x0, y0, x1, y1 = extent.box
+    for (_, ax, ay, bx, by), c in cells.items():
+        assert len(c) == len(set(c))
+        for t in range(201):
+            x, y = ax + (bx - ax) * t / 200, ay + (by - ay) * t / 200
+            if x0 <= x <= x1 and y0 <= y <= y1:
+                assert (math.floor(x / size), math.floor(y / size)) in set(c)
+    assert size <= 0.5 and len(rows) * 400 * (0.04 + size) ** 2 / 100 < 0.1 * 400 * sum(len(p) - 1 for _, p in lines)
+
+
+def test_a_layer_that_lies_by_feature_is_not_dealt_again(spark):
+    """Lines gathered from vertices lie by feature already: counting them in
+    shapes moves no line and no pair once more."""
+    v = spark.range(60).select((F.col("id") % 20).alias("feature_id"), F.col("id").alias("at"),
+                               ((F.col("id") * 7 % 60) / 10).alias("x"), ((F.col("id") * 11 % 60) / 10).alias("y"))
+    vs = F.sort_array(F.collect_list(F.struct("at", "x", "y")))
+    lines = v.repartition(4, "feature_id").groupBy("feature_id").agg(vs.alias("vs")).select(
+        "feature_id", G.line(F.transform("vs", lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y")))).alias("geom"))
+    out = S.count_intersecting(_shapes_df(spark, _polys()), {"lines": lines})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(feature_id") == 1
+    assert {r.layer: r.n for r in out.collect()} == {"lines": 20}
