@@ -156,8 +156,8 @@ def parcel_line_counts(spark, sf_dir):
     each with a bounded number of cells of its own level."""
     q = X.fx_squares(spark, sf_dir)
     parcels = q.select(F.col("id").alias("parcel_id"), G.rect("x0", "y0", "x1", "y1").alias("geom"))
-    pairs = S.intersects_join(parcels, X.lines_layer(spark, sf_dir), ["parcel_id"], ["feature_id"])
-    return pairs.groupBy("parcel_id").agg(F.count("*").alias("n_lines"))
+    met = S.intersects_join(parcels, X.lines_layer(spark, sf_dir), ["parcel_id"], ["feature_id"], count="n_lines")
+    return met.groupBy("parcel_id").agg(F.sum("n_lines").alias("n_lines"))
 
 
 # ---------------------------------------------------------------------------

@@ -444,3 +444,80 @@ def test_a_layer_that_lies_by_feature_is_not_dealt_again(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(feature_id") == 1
     assert {r.layer: r.n for r in out.collect()} == {"lines": 20}
+
+
+def _counts(df, key="shape_id"):
+    out = {}
+    for r in df.collect():
+        out[r[key]] = out.get(r[key], 0) + r.n
+    return out
+
+
+def test_counts_of_pairs_equal_the_pairs(spark, monkeypatch):
+    """Counted in rounds, of every kind of polygon and feature: rectangles of all
+    sizes, twice, without a key, other polygons; points, lines that end in, touch
+    and cross rectangles with several edges, lines with unknown and far
+    places, polygons."""
+    monkeypatch.setattr(S, "ROUND_BOXES", 60)
+    monkeypatch.setattr(S.B, "CHUNK", 50)
+    monkeypatch.setattr(S.B, "BAND_VISITS", 40)
+    rnd = random.Random(3)
+    on = lambda: rnd.randint(-40, 40) / 10
+    boxes, lines = [], []
+    for i in range(200):
+        x, y, w, h = on(), on(), rnd.choice([0.1, 0.2, 0.5, 3.0, 2.0 ** -12]), rnd.choice([0.1, 0.3, 1.0])
+        boxes.append((i % 190 or None, [(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]))
+    boxes += [(500, [(0, 0), (3, 1), (1, 3), (0, 0)]), (501, [(-1, -1), (1, -1), (0.5, 0), (1, 1), (-1, 1), (-1, -1)])]
+    for i in range(120):
+        x, y = on(), on()
+        path = [(x, y)] + [(x + rnd.choice([-1, 0, 0.1, 2]), y + rnd.choice([-1, 0, 1e-9, 0.3])) for _ in range(i % 5)]
+        lines.append((i, path + [(on(), on())] * (i % 2)))
+    nan = float("nan")
+    polys = _geoms(spark, boxes, "poly").withColumnRenamed("feature_id", "shape_id")
+    feats = _geoms(spark, lines, "line").unionByName(_geoms(spark, [(900 + i, [(on(), on())]) for i in range(20)], "line"))
+    rows = [(700, [(0.0, 0.0), (None, 1.0), (1.0, 1.0)]), (701, [(0.0, 0.0), (nan, 1.0)]),
+            (703, [(-3.0, 1.0), (3.0, None)]), (704, []), (705, [(0.0, 0.0), (2e9, 1e9)])]
+    odd = spark.createDataFrame(rows, "feature_id long, v array<struct<x: double, y: double>>").select(
+        "feature_id", G.line(F.col("v")).alias("geom"))
+    points = spark.createDataFrame([(800 + i, on(), on()) for i in range(40)], "feature_id long, x double, y double").select(
+        "feature_id", G.point("x", "y").alias("geom"))
+    areas = _geoms(spark, boxes[:20], "poly").withColumn("feature_id", F.lit(1000).cast("long"))
+    feats = feats.unionByName(odd).unionByName(points).unionByName(areas)
+    pairs = S.intersects_join(polys, feats, ["shape_id"], ["feature_id"]).withColumn("n", F.lit(1))
+    got = S.intersects_join(polys, feats, ["shape_id"], ["feature_id"], count="n")
+    assert got.columns == ["shape_id", "n"]
+    want = _counts(pairs)
+    assert _counts(got) == want and sum(want.values()) > 1000 and None in want
+    none = S.intersects_join(polys.limit(0), feats, ["shape_id"], ["feature_id"], count="n")
+    assert none.count() == 0
+    assert S.intersects_join(polys, feats.limit(0), ["shape_id"], ["feature_id"], count="n").count() == 0
+
+
+def test_parcel_line_counts_makes_no_row_for_a_pair(spark, tmp, monkeypatch):
+    """The query counts lines across parcels where the lines lie, without rows of
+    (parcel, line) or (edge, cell)."""
+    from terrane.suite.spatial import parcel_line_counts
+    rnd = random.Random(2)
+    spark.createDataFrame([(i, f"c{i}", "x", 1.0) for i in range(1, 300)],
+                          "c_custkey long, c_name string, c_mktsegment string, c_acctbal double").write.parquet(f"{tmp}/customer.parquet")
+    items = [(k, n, rnd.randint(1, 20000), rnd.randint(1, 1000)) for k in range(80) for n in range(1, 2 + k % 5)]
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{tmp}/lineitem.parquet")
+    from terrane.sources import fixtures as X
+    squares = [(r.id, r.x0, r.y0, r.x1, r.y1) for r in X.fx_squares(spark, tmp).collect()]
+    paths = {}
+    for r in sorted(X.fx_vertices(spark, tmp).collect(), key=lambda r: (r.line_id, r.l_linenumber)):
+        paths.setdefault(r.line_id, []).append((r.x, r.y))
+    want = {}
+    for k, x0, y0, x1, y1 in squares:
+        ring = [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+        n = sum(any(_pip(ring[:-1], x, y) for x, y in p) or any(
+            _seg_int(a, b, c, d) for a, b in zip(p, p[1:]) for c, d in zip(ring, ring[1:])) for p in paths.values())
+        if n:
+            want[k] = n
+
+    def no_pairs(*a, **k):
+        raise AssertionError("rows of pairs")
+
+    monkeypatch.setattr(S, "_paths_join", no_pairs)
+    got = {r.parcel_id: r.n_lines for r in parcel_line_counts(spark, tmp).collect()}
+    assert got == want and sum(want.values()) > 50
